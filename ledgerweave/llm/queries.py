@@ -8,12 +8,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerweave.llm import exact_dedup, mixing, packing
+from ledgerweave.llm import exact_dedup, langid, mixing, ngram_join, packing, sketches, toxicity
 from ledgerweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def remainder(id_col: str, divisor: int):
+    """crc32 of an id's text modulo ``divisor``: a fixed way to hold rows out."""
+    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(divisor))
+
+
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = remainder("doc_id", 5) == 0
+    scored = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn_from=~held)
+    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
+    return langid.identify_language(table(spark, sf_dir, "documents"), learn_from=~held).withColumn("held_out", held)
+
+
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -28,6 +52,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op2_toxicity": op2_toxicity,
+        "op9_language_id": op9_language_id,
+        "op5_document_fingerprints": op5_document_fingerprints,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_exact_dedup": op8_exact_dedup,
         "op10_mixing": op10_mixing,
