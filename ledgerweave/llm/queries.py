@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerweave.llm import exact_dedup, langid, mixing, ngram_join, packing, sketches, toxicity
+from ledgerweave.llm import exact_dedup, langid, license_scan, mixing, ngram_join, packing, sentence_spans, sketches, toxicity
 from ledgerweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,10 +34,19 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_language(table(spark, sf_dir, "documents"), learn_from=~held).withColumn("held_out", held)
 
 
+def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = sentence_spans.remove_repeated_spans(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_sentences", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -55,7 +64,9 @@ def queries() -> dict[str, Query]:
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_toxicity": op2_toxicity,
         "op9_language_id": op9_language_id,
+        "op3_sentence_spans": op3_sentence_spans,
         "op5_document_fingerprints": op5_document_fingerprints,
+        "op6_license_scan": op6_license_scan,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_exact_dedup": op8_exact_dedup,
         "op10_mixing": op10_mixing,
@@ -64,11 +75,27 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_sentence_spans": OP3_SQL,
         "op8_exact_dedup": OP8_SQL,
         "op10_mixing": OP10_SQL,
     }
 
 
+OP3_SQL = r"""
+WITH s AS (
+  SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?][\x20\x09-\x0D]+|\n+)', '\1' || chr(1), 'g'), chr(1)), lambda x: length(x) > 0) AS parts
+  FROM documents),
+p AS (SELECT doc_id, unnest(range(len(parts))) AS pos, unnest(parts) AS part FROM s),
+b AS (SELECT *, trim(translate(part, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' ') AS bare FROM p),
+r AS (SELECT doc_id, pos, bare || chr(10) || lead(bare, 1) OVER w || chr(10) || lead(bare, 2) OVER w AS run FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+k AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS n FROM r WHERE length(run) >= 60),
+x AS (SELECT DISTINCT doc_id, pos + unnest([0, 1, 2]) AS pos FROM k WHERE n > 1),
+j AS (SELECT p.doc_id, count(x.pos) AS n_removed, string_agg(p.part, '' ORDER BY p.pos) FILTER (WHERE x.pos IS NULL) AS kept
+      FROM p LEFT JOIN x ON p.doc_id = x.doc_id AND p.pos = x.pos GROUP BY p.doc_id)
+SELECT s.doc_id, len(parts)::BIGINT AS n_sentences, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM s LEFT JOIN j ON s.doc_id = j.doc_id
+"""
+
 OP8_SQL = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars,
