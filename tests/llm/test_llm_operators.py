@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from ledgerweave.llm import components, exact_dedup, langid, mixing, ngram_join, packing, queries, sketches, toxicity
+from ledgerweave.llm import components, exact_dedup, langid, license_scan, mixing, ngram_join, packing, queries, sentence_spans, sketches, toxicity
 from ledgerweave.llm.common import table
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -366,3 +366,68 @@ def test_isotonic_and_trees():
     assert ((raw > 0) == (y > 0)).mean() > 0.97
     px, py = toxicity.isotonic(raw, y)
     assert (np.diff(py) >= 0).all() and (np.diff(px) >= 0).all()
+
+
+def test_sentence_spans(spark, awkward, empty):
+    passage = "The first of three sentences is here. The second follows it closely. And a third ends the passage! "
+    rows = [(1, "Own words. " + passage + "More own words."), (2, passage), (3, "Start. " + passage + passage), (4, "A. B. C. D."), (5, "A. B. C. E.")]
+    got = {r.doc_id: r for r in sentence_spans.remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].kept_text == rows[0][1] and got[2].kept_text == "" and got[3].kept_text == "Start. "
+    assert got[3].removed == [1, 2, 3, 4, 5, 6] and got[4].n_removed == got[5].n_removed == 0
+    assert len(sentence_spans.remove_repeated_spans(awkward).collect()) == len(AWKWARD)
+    assert sentence_spans.remove_repeated_spans(empty).count() == 0
+
+
+def licenses_by_brute_force(text, contained=0.8):
+    fold = lambda t: re.sub(r"[!-/:-@\[-`{-~]", " ", t.translate({c: c + 32 for c in range(65, 91)}))
+
+    def cut(t):
+        w = WORD.findall(fold(t))
+        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)] or ([tuple(w)] if w else [])
+
+    found = {}
+    have = cut(text)
+    for name, template in license_scan.TEMPLATES.items():
+        want = set(cut(template))
+        size = 1
+        while size < len(want):
+            size = max(size + 1, size * 5 // 4)
+        shares = [len(want & set(have[i : i + 2 * size])) / len(want) for i in range(0, len(have), size)]
+        if shares and max(shares) >= contained:
+            found[name] = (max(shares), size * shares.index(max(shares)))
+    return found
+
+
+def test_license_scan(spark, awkward, empty):
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
+    long = " ".join(["words before"] * 40) + " " + license_scan.TEMPLATES["MIT grant"].upper() + " and after. " + license_scan.TEMPLATES["BSD clause"]
+    texts |= {-1: long, -2: "", -3: "Released, under the mit LICENSE"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = defaultdict(dict)
+    for r in license_scan.license_scan(df).collect():
+        got[r.doc_id][r.license] = (r.containment, r.window_start)
+    assert got == {d: f for d, t in texts.items() if (f := licenses_by_brute_force(t))}
+    assert set(got[-1]) == {"MIT grant", "BSD clause"} and set(got[-3]) == {"MIT notice"}
+    assert license_scan.license_scan(awkward).count() == 0 and license_scan.license_scan(empty).count() == 0
+
+
+def test_pipeline_stages(spark, sf_dir):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = table(spark, sf_dir, "documents")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = corpus_pipeline.written(stage(spark, before, sf_dir), name)
+        assert docs.columns == columns
+        if name == "exact_dedup":
+            kept = {r.doc_id for r in exact_dedup.exact_dedup(before).filter("kept").collect()}
+            assert sorted(kept) == sorted(r.doc_id for r in docs.collect())
+        if name == "ngram_jaccard_join":
+            want = classes_by_brute_force([(r.doc_id, r.text) for r in before.collect()], 5, 80)
+            assert sorted(r.doc_id for r in docs.collect()) == sorted(d for d, v in want.items() if v[1] == d)
+        if name == "mixing":
+            taken = {r.doc_id: r.copies for r in mixing.mix_sources(before).collect() if r.copies}
+            assert {k: v for k, v in taken.items()} == dict(docs.groupBy("doc_id").count().collect())
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in docs.collect()}
