@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerweave.llm import exact_dedup, langid, license_scan, mixing, ngram_join, packing, sentence_spans, sketches, toxicity
+from ledgerweave.llm import exact_dedup, langid, license_scan, mixing, ngram_join, packing, sentence_spans, sketches, suffix_dedup, toxicity
 from ledgerweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,12 @@ def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_sentences", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -65,6 +71,7 @@ def queries() -> dict[str, Query]:
         "op2_toxicity": op2_toxicity,
         "op9_language_id": op9_language_id,
         "op3_sentence_spans": op3_sentence_spans,
+        "op4_suffix_array_dedup": op4_suffix_array_dedup,
         "op5_document_fingerprints": op5_document_fingerprints,
         "op6_license_scan": op6_license_scan,
         "op7_best_fit_packing": op7_best_fit_packing,

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from ledgerweave.llm import components, exact_dedup, langid, license_scan, mixing, ngram_join, packing, queries, sentence_spans, sketches, toxicity
+from ledgerweave.llm import components, exact_dedup, langid, license_scan, mixing, ngram_join, packing, queries, sentence_spans, sketches, suffix_dedup, toxicity
 from ledgerweave.llm.common import table
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -431,3 +431,63 @@ def test_pipeline_stages(spark, sf_dir):
             assert {k: v for k, v in taken.items()} == dict(docs.groupBy("doc_id").count().collect())
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in docs.collect()}
+
+
+def repeats_by_brute_force(rows, length=100):
+    seen, out = set(), {}
+    for d, text in sorted(rows):
+        data = text.encode()
+        gone = np.zeros(len(data), bool)
+        for i in range(len(data) - length + 1):
+            part = data[i : i + length]
+            if part in seen:
+                gone[i : i + length] = True
+            seen.add(part)
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]])))
+        rest = bytes(np.frombuffer(data, np.uint8)[~gone])
+        out[d] = (len(data), int(gone.sum()), len(edges) // 2, hashlib.sha256(rest).hexdigest())
+    return out
+
+
+def repeats_of(df):
+    return {r.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), r.kept_sha256) for r in suffix_dedup.remove_repeats(df).collect()}
+
+
+def test_suffix_dedup(docs, rows):
+    assert repeats_of(docs.repartition(5)) == repeats_by_brute_force(rows)
+
+
+def test_suffix_dedup_hard(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    text = lambda n, k=26: "".join(chr(97 + c) for c in rng.integers(0, k, n))
+    base, line, low = text(900), text(60), text(700, 2)
+    rows = []
+    for d in range(60):
+        t = list(base)
+        for k in rng.integers(0, 900, int(rng.integers(0, 3))):
+            t[k] = "Z"
+        rows.append((3 * d, text(int(rng.integers(0, 80))) + "".join(t) + text(20)))
+        rows.append((3 * d + 1, text(150) + line + text(150)))
+        rows.append((3 * d + 2, low[d : 400 + 5 * d] + "a" * 250 + "ab" * 80))
+    rows += [(1000, ""), (1001, "x" * 99), (1002, "x" * 100), (1003, "x" * 100), (1004, "é" * 120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = repeats_by_brute_force(rows)
+    assert repeats_of(df) == want
+
+
+def test_difference_cover_order():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 4, 5, 40, 301, 302, 303):
+        for kinds in (1, 2, 5):
+            t = rng.integers(1, kinds + 1, n)
+            assert suffix_dedup.difference_cover_order(t, n).tolist() == sorted(range(n), key=lambda i: t[i:].tolist())
+            short = [t[i : i + 20].tolist() for i in suffix_dedup.difference_cover_order(t, 20)]
+            assert short == sorted(short)
+
+
+def test_suffix_dedup_awkward(awkward, empty):
+    got = suffix_dedup.remove_repeats(awkward).collect()
+    assert len(got) == len(AWKWARD)
+    assert {r.n_bytes for r in got if r.doc_id in (1, 2)} == {0}
+    assert next(r for r in got if r.doc_id == 8).spans and any(r.doc_id is None for r in got)
+    assert suffix_dedup.remove_repeats(empty).count() == 0
