@@ -9,6 +9,9 @@ similarity reaches a threshold.  The steps:
     among the first n - ceil(t n) + 1 of each.  The order uses the counts of all
     shingles that are frequent in some partition; every other shingle counts as
     rare.  Any one order is right; this one keeps the lists short.
+    Before that, a count over one in four shingles (by hash) drops classes that
+    cannot be linked: a linked set lacks at most n - ceil(t n) shingles of the
+    other, so a class with more sampled shingles that no other class has is out.
 3.  Classes that share a prefix shingle form families (connected components over
     one edge from each class to the list's smallest, never all pairs).
 4.  Within a family, each class is a query against an inverted index of the
@@ -41,7 +44,9 @@ FREQUENT_SHARE, FREQUENT_LEAST = 0.002, 8
 #: The ranks of at most so many of the most frequent shingles are sent to the tasks (the others count as rare).
 FREQUENT_KEPT = 100_000
 #: Shingles in an index block, about.
-BLOCK_SHINGLES = 1_500_000
+BLOCK_SHINGLES = 3_000_000
+#: One in so many shingles (by hash) is counted over all sets before candidates are sought.
+SAMPLED = 4
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -84,36 +89,29 @@ def _common(parts: list[np.ndarray], rough: np.ndarray, least: int) -> np.ndarra
     return every[rough[(every >> np.uint64(44)).astype(np.int64)] >= least]
 
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.empty(0, np.int64)])))
+
+
 def _prefixes(width: int, percent: int, frequent: np.ndarray, count: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
                 sets = shingle_sets(part["text"], width)
-                prefix = []
+                prefix, sample = [], []
                 for s in sets:
                     rank = np.zeros(len(s), np.int64)
                     if len(frequent):
                         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                         rank = np.where(frequent[at] == s, count[at], 0)
-                    order = np.lexsort((mix(s), rank))
+                    mixed = mix(s)
+                    sample.append(s[mixed < np.uint64((1 << 64) // SAMPLED)].view(np.int64))
+                    order = np.lexsort((mixed, rank))
                     prefix.append(s[order[: len(s) - needed(len(s), percent) + 1 if len(s) else 0]].view(np.int64))
                 sign = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                flat = np.concatenate(prefix) if prefix else np.empty(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)), pa.array(flat))
-                yield pa.record_batch([part["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(sign, pa.binary()), lists], names=["doc_id", "n", "sign", "prefix"])
-
-    return run
-
-
-def _sets(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for part in slices(batch, 1):
-                sets = [s.tobytes() for s in shingle_sets(part["text"], width)]
-                rest = batch.slice(at, part.num_rows).drop_columns(["text"])
-                at += part.num_rows
-                yield pa.record_batch([*rest.columns, pa.array(sets, pa.binary())], names=[*rest.schema.names, "bag"])
+                columns = [part["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(sign, pa.binary()), _lists(prefix), _lists(sample)]
+                yield pa.record_batch(columns, names=["doc_id", "n", "sign", "prefix", "sample"])
 
     return run
 
@@ -166,13 +164,13 @@ class Index:
         return found[count >= both]
 
 
-def _joined(percent: int):
+def _joined(width: int, percent: int):
     """Rows of one task come sorted by tile and side: the links of each tile as a forest, and each class's number of links."""
 
     def tile(rows: list[tuple]) -> pa.RecordBatch:
         left = [r for r in rows if r[1] == 0]
         right = [r for r in rows if r[1] == 1]
-        sets = [np.frombuffer(r[4], np.uint64) for r in left]
+        sets = [r[4] for r in left]
         index = Index(sets)
         ids = np.array([r[2] for r in left], np.int64)
         weight = np.array([r[3] for r in left], np.int64)
@@ -181,7 +179,7 @@ def _joined(percent: int):
         if right:  # two blocks: each row of the second is a query against the first
             total = np.zeros(len(left), np.int64)
             for r in right:
-                found = index.search(np.frombuffer(r[4], np.uint64), percent)
+                found = index.search(r[4], percent)
                 total[found] += r[3]
                 if len(found):
                     node.append(r[2])
@@ -215,11 +213,13 @@ def _joined(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in ("tile", "side", "doc_id", "weight", "bag")), strict=True):
-                if held and held[0][0] != row[0]:
-                    yield tile(held)
-                    held = []
-                held.append(row)
+            for part in slices(batch, 4):
+                sets = shingle_sets(part["text"], width)
+                for row in zip(*(part[c].to_pylist() for c in ("tile", "side", "doc_id", "weight")), sets, strict=True):
+                    if held and held[0][0] != row[0]:
+                        yield tile(held)
+                        held = []
+                    held.append(row)
         if held:
             yield tile(held)
 
@@ -252,17 +252,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     key = np.array([r.shingle for r in top], np.int64).view(np.uint64)
     order = np.argsort(key)
     count = np.array([r.n for r in top], np.int64)[order]
-    signed = written(rows.mapInArrow(_prefixes(width, percent, key[order], count), "doc_id long, n long, sign binary, prefix array<long>"), "prefixes")
-
-    classes = signed.filter("n > 0 and doc_id is not null").groupBy("sign").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.min("n").alias("n"), F.expr("min_by(prefix, doc_id)").alias("prefix"))
-    classes = written(classes, "classes")
-    postings = classes.select("rep", F.explode("prefix").alias("shingle"))
+    signed = written(rows.mapInArrow(_prefixes(width, percent, key[order], count), "doc_id long, n long, sign binary, prefix array<long>, sample array<long>"), "prefixes")
+
+    classes = signed.filter("n > 0 and doc_id is not null").groupBy("sign").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.min("n").alias("n"), F.expr("min_by(struct(prefix, sample), doc_id)").alias("lists"))
+    classes = written(classes.select("sign", "rep", "weight", "n", "lists.*"), "classes")
+    sampled = classes.select("rep", F.explode("sample").alias("shingle")).groupBy("shingle").agg(F.min("rep").alias("rep"), F.count("*").alias("m"))
+    alone = sampled.filter("m = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+    least = F.ceil(F.col("n") * percent / F.lit(100))
+    open_ = classes.join(alone, "rep", "left").filter(F.coalesce("alone", F.lit(0)) <= F.col("n") - least)
+    open_ = written(open_.select("rep", "weight", "n", "prefix"), "open")
+    postings = open_.select("rep", F.explode("prefix").alias("shingle"))
     hubs = postings.groupBy("shingle").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).filter("m > 1").select("shingle", "hub")
     stars = postings.join(hubs, "shingle").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     family = written(connected_components(stars), "families")
 
-    members = classes.select("rep", "weight", "n").join(family.withColumnRenamed("node", "rep"), "rep")
-    sizes = members.groupBy("component").agg(F.sum("n").alias("shingles"))
+    members = written(open_.select("rep", "weight", "n").join(family.withColumnRenamed("node", "rep"), "rep"), "members")
+    sizes = written(members.groupBy("component").agg(F.sum("n").alias("shingles")), "sizes")
     large = sizes.filter(F.col("shingles") > block)
     tiled = members.join(sizes, "component")
     # Blocks in order of set size, from sums by size: sets of one size are split by their id's hash.
@@ -282,16 +287,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     whole = tiled.filter(F.col("shingles") <= block).select("rep", "weight", F.xxhash64("component").alias("tile"), F.lit(0).alias("side"))
     placed = whole.unionByName(first).unionByName(second)
 
-    wanted = placed.select("rep").distinct()
-    bags = rows.join(wanted.hint("shuffle_hash"), rows["doc_id"] == wanted["rep"]).select("doc_id", "text")
-    bags = bags.mapInArrow(_sets(width), "doc_id long, bag binary")
-    tasks = placed.join(bags, placed["rep"] == bags["doc_id"]).select("tile", "side", "doc_id", "weight", "bag")
+    placed = written(placed, "placed")
+    # Only texts with candidates go to the tasks; their sets are made there.
+    tasks = rows.join(placed.hint("shuffle_hash"), rows["doc_id"] == placed["rep"]).select("tile", "side", "doc_id", "weight", "text")
     tasks = tasks.repartition(partitions(spark), "tile").sortWithinPartitions("tile", "side", "doc_id")
-    found = written(tasks.mapInArrow(_joined(percent), "a long, b long, links long"), "links")
+    found = written(tasks.mapInArrow(_joined(width, percent), "a long, b long, links long"), "links")
 
     component = connected_components(found.filter("links is null"))
     links = found.filter("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    named = classes.select("sign", "rep", "weight").join(component.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left").drop("prefix")
+    named = classes.select("sign", "rep", "weight").join(written(component, "components").withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left")
     out = signed.select("doc_id", "n", "sign").join(named, "sign", "left")
     linked = (F.col("n") > 0) & F.col("rep").isNotNull()
     return out.select(
