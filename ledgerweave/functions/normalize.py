@@ -38,7 +38,7 @@ def wallet_list(c: Column, commas: bool = False) -> Column:
     if commas:
         split = split.when(text.contains(","), F.split(text, ","))
     every = F.coalesce(parsed, split, F.array(text))
-    return F.filter(F.transform(every, F.trim), lambda w: w.isNotNull() & (F.length(w) > 0))
+    return F.filter(F.transform(every, lambda w: F.trim(w)), lambda w: w.isNotNull() & (F.length(w) > 0))
 
 
 def number(c: Column) -> Column:
