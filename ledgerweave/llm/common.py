@@ -89,7 +89,7 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return buf, off - off[0]
 
 
-def slices(batch: pa.RecordBatch, text: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about ``limit`` bytes of text (one row at least), for bounded working memory."""
     _, off = text_buffers(batch.column(text))
     at = 0

@@ -34,7 +34,7 @@ LOOSE = 64
 #: Left-over pieces in a task of the second round, about.
 SECOND_ROUND = 150_000
 #: Distinct words whose ids a Python worker keeps; beyond, it starts over.
-WORDS_KEPT = 600_000
+WORDS_KEPT = 250_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, fill long"
 
