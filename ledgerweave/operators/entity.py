@@ -58,8 +58,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = low.join(up, low["component"] == up["up"], "left").select("node", F.least("component", F.coalesce("upper", "component")).alias("component"), "old").checkpoint()
         labels = low.select("node", "component")
         if low.filter("component <> old").isEmpty():
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"labels still change after {rounds} rounds")
 
 
 def entity_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:

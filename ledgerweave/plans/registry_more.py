@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave import domain as d
 from ledgerweave.functions import normalize as n
-from ledgerweave.operators import features, ml, network, risk, temporal_graph, validate
+from ledgerweave.operators import behavior, features, ml, network, risk, temporal_graph, validate
 from ledgerweave.plans.registry import INTEL, query, rounded
 from ledgerweave.plans.registry_risk import RISK, fused
 
@@ -156,3 +156,57 @@ def m15(spark, sf):
 @query("a24_score_percentiles", "SELECT " + ", ".join(f"round(quantile_cont(total_btc, {p / 100}), 4) AS p{p}" for p in (1, 5, 25, 50, 75, 95, 99)) + " FROM tx")
 def a24(spark, sf):
     return rounded(d.canonical(spark, sf).agg(*(F.percentile("total_btc", F.lit(p / 100)).alias(f"p{p}") for p in (1, 5, 25, 50, 75, 95, 99))))
+
+
+# --- reports --------------------------------------------------------------------------------------------------
+
+
+@query("a9_participant_counts", "SELECT txid, time_step, i AS input_count, o AS output_count FROM counts")
+def a9(spark, sf):
+    return behavior.side_counts(d.steps(spark, sf), d.tx_inputs(spark, sf), d.tx_outputs(spark, sf))
+
+
+@query("a27_step_feature_statistics", "SELECT time_step, count(*) FILTER (WHERE input_address_count > 0) AS non_zero, round(avg(input_address_count), 4) AS mean, max(input_address_count) AS max FROM tx GROUP BY 1")
+def a27(spark, sf):
+    x = F.col("input_address_count")
+    per = d.canonical(spark, sf).groupBy("time_step").agg(F.count_if(x > 0).alias("non_zero"), F.avg(x).alias("mean"), F.max(x).alias("max"))
+    return rounded(per)
+
+
+@query("a33_observation_report", "SELECT count(*) AS n, count(*) FILTER (WHERE txid IS NULL) AS null_txid, count(DISTINCT network_event_id) AS unique_events, count(DISTINCT src_ip) AS unique_src_ips, min(timestamp) AS first_seen, max(timestamp) AS last_seen FROM obs")
+def a33(spark, sf):
+    c = F.col
+    return d.observations(spark, sf).agg(
+        F.count("*").alias("n"), F.count_if(c("txid").isNull()).alias("null_txid"), F.countDistinct("network_event_id").alias("unique_events"), F.countDistinct("src_ip").alias("unique_src_ips"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen")
+    )
+
+
+@query("a25_statistics_by_label", "SELECT label, count(*) AS n, round(avg(total_btc), 4) AS mean, round(quantile_cont(total_btc, .5), 4) AS median, round(stddev_pop(total_btc), 3) AS std FROM tx GROUP BY 1")
+def a25(spark, sf):
+    b = F.col("total_btc")
+    per = d.canonical(spark, sf).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(b), 4).alias("mean"), F.round(F.percentile(b, F.lit(0.5)), 4).alias("median"), F.round(F.stddev_pop(b), 3).alias("std"))
+    return per
+
+
+@query("j18_label_audit", "SELECT time_step, count(*) FILTER (WHERE label = 1) AS class_1, count(*) FILTER (WHERE label = 2) AS class_2, count(*) FILTER (WHERE label = 3) AS class_3 FROM tx GROUP BY 1")
+def j18(spark, sf):
+    return d.canonical(spark, sf).groupBy("time_step").agg(*(F.count_if(F.col("label") == k).alias(f"class_{k}") for k in (1, 2, 3)))
+
+
+@query("p32_wallet_search", "SELECT DISTINCT address FROM ins WHERE contains(lower(address), 'w19') ORDER BY address LIMIT 50")
+def p32(spark, sf):
+    return d.tx_inputs(spark, sf).select("address").filter(F.contains(F.lower("address"), F.lit("w19"))).distinct().orderBy("address").limit(50)
+
+
+@query("q10_network_gates", "SELECT unnest(['evidence_range', 'level_known', 'span_not_negative', 'unique_key']) AS check, 0::BIGINT AS failures")
+def q10(spark, sf):
+    seen = network.correlate(d.observations(spark, sf), d.steps(spark, sf)).filter("matched")
+    e = network.temporal_evidence(network.temporal_statistics(seen))
+    gates = {"evidence_range": F.col("temporal_observation_evidence").between(0, 1), "level_known": F.col("temporal_evidence_level").isin("LOW", "MODERATE", "HIGH", "VERY_HIGH"), "span_not_negative": F.col("span_seconds") >= 0}
+    return validate.checks(e, gates, ["txid"])
+
+
+@query("q4_steps_contiguous", "SELECT min(time_step) AS first, max(time_step) AS last, count(DISTINCT time_step) = max(time_step) - min(time_step) + 1 AS contiguous FROM steps")
+def q4(spark, sf):
+    t = F.col("time_step")
+    return d.steps(spark, sf).agg(F.min(t).alias("first"), F.max(t).alias("last"), (F.countDistinct(t) == F.max(t) - F.min(t) + 1).alias("contiguous"))
