@@ -1,7 +1,12 @@
 """Substring dedup by sliding sentence spans, in DataFrame functions.
 
 A sentence ends after ``.``, ``!`` or ``?`` and blanks, or after line feeds, and
-keeps what ends it.  Every run of ``span`` consecutive sentences is hashed; of
+keeps what ends it.  A run of consecutive sentences is large enough with
+``span`` sentences and ``least_chars`` characters, or with ``least_words`` words
+whatever its sentences.  From every sentence the smallest large enough run that
+starts there and the smallest that ends there are hashed, so that a repeated
+passage is covered whole however its sentences are cut: each of its sentences
+either starts such a run inside it or lies in the one that ends with it.  Of
 each run that occurs more than once in the corpus, all but the first occurrence
 (smallest id, then place) count, and a sentence that one of those covers is
 removed.  The parts that stay are the text's other sentences as they were.
@@ -13,8 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Sentences in a run, and the characters that a run must have at least: runs of
-#: one-word sentences repeat by chance.
+#: one-word sentences repeat by chance, so a short run goes on to further sentences.
 SPAN, LEAST_CHARS = 3, 60
+#: Words with which one sentence, or fewer than SPAN, are a run.
+LEAST_WORDS = 50
 
 _END = r"([.!?][\x20\x09-\x0D]+|\n+)"
 
@@ -29,43 +36,79 @@ def _bare(s: Column) -> Column:
     return F.trim(F.translate(s, "\t\n\x0b\x0c\r", "     "))
 
 
-def _spans(rows: DataFrame, span: int, least_chars: int) -> DataFrame:
-    """doc_id, at and the two hashes of each run of sentences."""
+def _most(span: int, least_chars: int) -> int:
+    """Sentences of the longest run: the line feeds between them count as characters."""
+    return max(span, least_chars + 1)
+
+
+def _run_size(i: Column, step: int, span: int, least_chars: int, least_words: int) -> Column:
+    """Sentences of the smallest large enough run from place ``i`` on (``step`` 1) or back (-1); null where the text ends before."""
+    total = lambda c, m: sum((F.get(F.col(c), i + step * k) for k in range(1, m)), F.get(F.col(c), i))
+    size = F
+    for m in range(1, span):
+        size = size.when(total("__words", m) >= least_words, m)
+    size = size.when(total("__chars", span) + span - 1 >= least_chars, span)
+    most = _most(span, least_chars)
+    if step > 0:
+        further = F.slice("__chars", i + 1, most)
+    else:
+        start = F.greatest(i - most + 1, F.lit(0))
+        further = F.reverse(F.slice("__chars", start + 1, i - start + 1))
+    enough = lambda a: (a["n"] >= span) & (a["chars"] >= least_chars)
+    more = lambda a, x: F.when(enough(a), a).otherwise(F.struct((a["n"] + 1).alias("n"), (a["chars"] + x + 1).alias("chars")))
+    return size.otherwise(F.aggregate(further, F.struct(F.lit(0).alias("n"), F.lit(-1).alias("chars")), more, lambda a: F.when(enough(a), a["n"])))
+
+
+def _spans(rows: DataFrame, span: int, least_chars: int, least_words: int) -> DataFrame:
+    """doc_id, at, n (sentences) and the two hashes of each run of sentences."""
     rows = rows.withColumn("__bare", F.transform("sentences", _bare))
-    run = lambda i: F.concat_ws("\n", F.slice(F.col("__bare"), i + 1, span))
-    n = F.size("__bare")
-    runs = F.when(n >= span, F.transform(F.sequence(F.lit(0), n - span), run)).otherwise(F.array().cast("array<string>"))
-    runs = rows.select("doc_id", F.posexplode(runs).alias("at", "run")).filter(F.length("run") >= least_chars)
-    return runs.select("doc_id", "at", F.xxhash64("run").alias("h1"), F.xxhash64(F.lit("second"), "run").alias("h2"))
+    rows = rows.withColumn("__chars", F.transform("__bare", F.length)).withColumn("__words", F.transform("__bare", lambda s: F.regexp_count(s, F.lit("[^ ]+"))))
+    # A run as one number, since distinct structs are found by comparing all pairs
+    base = _most(span, least_chars) + 1
+    ahead = lambda i: i.cast("long") * base + _run_size(i, 1, span, least_chars, least_words)
+
+    def back(i: Column) -> Column:
+        return F.transform(F.array(_run_size(i, -1, span, least_chars, least_words)), lambda n: (i - n + 1).cast("long") * base + n)[0]
+
+    places = F.when(F.size("__bare") > 0, F.sequence(F.lit(0), F.size("__bare") - 1)).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("__at", places)
+    rows = rows.withColumn("__runs", F.array_distinct(F.array_compact(F.concat(F.transform("__at", ahead), F.transform("__at", back)))))
+
+    def run(code: Column) -> Column:
+        at, n = F.floor(code / base).cast("int"), (code % base).cast("int")
+        return F.struct(at.alias("at"), n.alias("n"), F.concat_ws("\n", F.slice("__bare", at + 1, n)).alias("run"))
+
+    runs = rows.select("doc_id", F.inline(F.transform("__runs", run)))
+    return runs.select("doc_id", "at", "n", F.xxhash64("run").alias("h1"), F.xxhash64(F.lit("second"), "run").alias("h2"))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """doc_id, at: every run of sentences that is not the first of its kind.
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, least_chars: int = LEAST_CHARS, least_words: int = LEAST_WORDS) -> DataFrame:
+    """doc_id, at, n: every run of sentences that is not the first of its kind.
 
     Counting is combined in the map tasks; the join back to the runs has one row
     for each repeated hash on its right, so a run that a third of all rows have
     is a skewed join, which Spark splits.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), sentences(F.coalesce(F.col(text_col), F.lit(""))).alias("sentences"))
-    runs = _spans(rows, span, least_chars)
-    first = runs.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return runs.join(first, ["h1", "h2"]).filter(~F.struct("doc_id", "at").eqNullSafe(F.col("first"))).select("doc_id", "at")
+    runs = _spans(rows, span, least_chars, least_words)
+    first = runs.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
+    return runs.join(first, ["h1", "h2"]).filter(~F.struct("doc_id", "at").eqNullSafe(F.col("first"))).select("doc_id", "at", "n")
 
 
-def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, least_chars: int = LEAST_CHARS) -> DataFrame:
+def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, least_chars: int = LEAST_CHARS, least_words: int = LEAST_WORDS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_sentences, n_removed, removed (array of places from 0), kept_text.
 
     * Null text counts as empty: no sentences and empty kept text.
-    * A text with fewer sentences than a run loses nothing.
+    * A text without a large enough run loses nothing.
     * Rows that share an id count as one occurrence, so equal ones keep their text;
       a null id is the smallest.  An empty table gives an empty result; other
       columns are not read.
     """
-    found = repeated_spans(docs, id_col, text_col, span, least_chars).groupBy("doc_id").agg(F.collect_set("at").alias("runs"))
+    found = repeated_spans(docs, id_col, text_col, span, least_chars, least_words).groupBy("doc_id").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = found.withColumnRenamed("doc_id", "__id")
     rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("__id")), "left").withColumn("sentences", sentences(F.col("text"))).drop("text")
-    covered = F.flatten(F.transform(F.coalesce("runs", F.array().cast("array<int>")), lambda i: F.sequence(i, i + span - 1)))
+    covered = F.flatten(F.transform(F.coalesce("runs", F.array().cast("array<struct<at:int,n:int>>")), lambda r: F.sequence(r["at"], r["at"] + r["n"] - 1)))
     rows = rows.withColumn("removed", F.sort_array(F.array_distinct(covered)))
     places = F.when(F.size("sentences") > 0, F.sequence(F.lit(0), F.size("sentences") - 1)).otherwise(F.array().cast("array<int>"))
     rows = rows.withColumn("stay", F.array_except(places, "removed"))

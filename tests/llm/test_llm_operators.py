@@ -378,6 +378,42 @@ def test_sentence_spans(spark, awkward, empty):
     assert sentence_spans.remove_repeated_spans(empty).count() == 0
 
 
+def spans_by_brute_force(rows, span=3, chars=60, words=50):
+    """Every large enough run of sentences, of any size, counted as text: what all but its first occurrence cover."""
+    cut = {d: [p for p in re.sub("([.!?][\x20\x09-\x0d]+|\n+)", "\\1\x01", t).split("\x01") if p] for d, t in rows}
+    seen, gone = set(), defaultdict(set)
+    for d in sorted(cut):
+        bare = [re.sub("[\t\n\x0b\x0c\r]", " ", p).strip(" ") for p in cut[d]]
+        for i in range(len(bare)):
+            for j in range(i + 1, len(bare) + 1):
+                run = "\n".join(bare[i:j])
+                if (j - i >= span and len(run) >= chars) or len(run.split()) >= words:
+                    if run in seen:
+                        gone[d].update(range(i, j))
+                    seen.add(run)
+    return {d: (sorted(gone[d]), "".join(p for i, p in enumerate(cut[d]) if i not in gone[d])) for d in cut}
+
+
+def test_sentence_spans_of_short_and_of_long_sentences(spark):
+    short = "".join(f"Item {i}. " for i in range(25))
+    long = " ".join(f"word{i}" for i in range(60)) + ". "
+    pair = " ".join(f"left{i}" for i in range(30)) + "! " + " ".join(f"right{i}" for i in range(30)) + "? "
+    rows = [(1, "One. " + short + "Two. "), (2, "Other words here. " + short + "The end. "), (3, "Before. " + long + "After. "), (4, "Ahead. " + long + "Behind. ")]
+    rows += [(5, "Up. " + pair + "Down. "), (6, "In. " + pair + "Out. "), (7, "A. B. C. D. " * 20), (8, "x\n" + "}\n" * 40 + "y\n"), (9, "z\n" + "}\n" * 40), (10, "Short. " + "tail " * 48), (11, "Short. " + "tail " * 48)]
+    rows += [(12, long.strip()), (13, short + long + pair + short)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.removed, r.kept_text) for r in sentence_spans.remove_repeated_spans(df).collect()}
+    assert got[2][1] == "Other words here. The end. " and got[4][1] == "Ahead. Behind. " and got[6][1] == "In. Out. "
+    assert got[10][1] == rows[9][1] and got[11][1] == rows[10][1] and got[12][1] == ""
+    assert got == spans_by_brute_force(rows)
+
+
+def test_sentence_spans_by_brute_force(spark, rows):
+    some = [(d, t) for d, t in rows if len(t) < 3000][:250]
+    got = {r.doc_id: (r.removed, r.kept_text) for r in sentence_spans.remove_repeated_spans(spark.createDataFrame(some, "doc_id long, text string")).collect()}
+    assert got == spans_by_brute_force(some)
+
+
 def licenses_by_brute_force(text, contained=0.8):
     fold = lambda t: re.sub(r"[!-/:-@\[-`{-~]", " ", t.translate({c: c + 32 for c in range(65, 91)}))
 
