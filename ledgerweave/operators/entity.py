@@ -96,17 +96,39 @@ def entity_evidence(addresses: DataFrame, degree: DataFrame, clusters: DataFrame
     return addresses.join(degree, "address", "left").join(clusters.select("address", "cluster_size"), "address", "left").select("address", z("repeated_degree"), z("max_shared_count"), F.coalesce("cluster_size", F.lit(1)).alias("cluster_size"))
 
 
-def transaction_entity_evidence(steps: DataFrame, members: DataFrame, evidence: DataFrame, side: str) -> DataFrame:
-    """Evidence of one side's addresses rolled up to the transaction; unmatched addresses count in the ratio."""
+def clustered_evidence(addresses: DataFrame, degree: DataFrame, clusters: dict[int, DataFrame]) -> DataFrame:
+    """Address with degree, largest shared count, and its cluster's id and size at each threshold."""
+    z = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    found = addresses.join(degree, "address", "left").select("address", z("repeated_degree"), z("max_shared_count"))
+    for k, c in clusters.items():
+        found = found.join(c.select("address", F.col("cluster").alias(f"cluster_t{k}"), F.col("cluster_size").alias(f"cluster_size_t{k}")), "address", "left")
+    return found
+
+
+def transaction_entity_evidence(steps: DataFrame, members: DataFrame, evidence: DataFrame, side: str, thresholds: tuple[int, ...] = ()) -> DataFrame:
+    """Evidence of one side's addresses rolled up to the transaction; unmatched addresses count in the ratio.
+
+    With ``thresholds``, the evidence has a cluster id and size for each
+    (:func:`clustered_evidence`), and the result has the number of distinct
+    clusters and the largest size, 0 where the side has no addresses.
+    """
+    if thresholds:
+        sizes = [x for k in thresholds for x in (F.size(F.collect_set(f"cluster_t{k}")).cast("long").alias(f"clusters_t{k}"), F.max(f"cluster_size_t{k}").alias(f"size_t{k}"))]
+    else:
+        sizes = [F.max("cluster_size").alias("size")]
     per = members.join(evidence, "address", "left").groupBy("txid").agg(
-        F.count("*").alias("n"), F.count_if(F.col("repeated_degree") > 0).alias("rep"), F.max("repeated_degree").alias("deg"), F.max("max_shared_count").alias("shared"), F.max("cluster_size").alias("size")
+        F.count("*").alias("n"), F.count_if(F.col("repeated_degree") > 0).alias("rep"), F.max("repeated_degree").alias("deg"), F.max("max_shared_count").alias("shared"), *sizes
     )
     z = lambda c, d=0: F.coalesce(c, F.lit(d))
+    if thresholds:
+        sizes = [x for k in thresholds for x in (z(f"clusters_t{k}").alias(f"{side}_distinct_clusters_t{k}"), z(f"size_t{k}").alias(f"{side}_cluster_size_max_t{k}"))]
+    else:
+        sizes = [z("size", 1).alias(f"{side}_cluster_size_max")]
     return steps.select("txid").join(per, "txid", "left").select(
         "txid",
         z("rep").alias(f"{side}_repeated_addresses"),
         F.round(z(F.col("rep") / F.col("n")), 6).alias(f"{side}_repeated_ratio"),
         z("deg").alias(f"{side}_repeated_degree_max"),
         z("shared").alias(f"{side}_shared_count_max"),
-        z("size", 1).alias(f"{side}_cluster_size_max"),
+        *sizes,
     )

@@ -190,6 +190,27 @@ def j6(spark, sf):
     return entity.entity_evidence(addresses, entity.cospend_degree(_pairs(spark, sf)), _clusters(spark, sf, 3))
 
 
+def _at_threshold(least: int) -> None:
+    """The same at a lower threshold; the recursive SQL is too slow for its larger components, so tests use brute force."""
+
+    @query(f"g2_cospend_clusters_{least}")
+    def clusters(spark, sf):
+        return _clusters(spark, sf, least)
+
+    @query(f"a8_cluster_report_{least}")
+    def report(spark, sf):
+        return entity.cluster_report(_clusters(spark, sf, least))
+
+    @query(f"j6_entity_evidence_{least}")
+    def evidence(spark, sf):
+        addresses = d.tx_inputs(spark, sf).select("address").distinct()
+        return entity.entity_evidence(addresses, entity.cospend_degree(_pairs(spark, sf)), _clusters(spark, sf, least))
+
+
+_at_threshold(1)
+_at_threshold(2)
+
+
 @query("g1_a7_entity_clusters")
 def g1(spark, sf):
     nodes = entity.address_nodes(_edges(spark, sf))
@@ -202,10 +223,14 @@ ENT = ["ent AS (SELECT addr.address, coalesce(repeated_degree, 0) AS repeated_de
 @query("j7_transaction_entity_evidence", """SELECT s.txid, coalesce(rep, 0) AS input_repeated_addresses, round(coalesce(rep / n, 0), 6) AS input_repeated_ratio, coalesce(deg, 0) AS input_repeated_degree_max, coalesce(shared, 0) AS input_shared_count_max, coalesce(sz, 1) AS input_cluster_size_max
   FROM steps s LEFT JOIN (SELECT txid, count(*) AS n, count(*) FILTER (WHERE repeated_degree > 0) AS rep, max(repeated_degree) AS deg, max(max_shared_count) AS shared, max(cluster_size) AS sz FROM ins LEFT JOIN ent ON ins.address = ent.address GROUP BY txid) q ON s.txid = q.txid""", DEGREE, *ENT)
 def j7(spark, sf):
-    inputs = d.tx_inputs(spark, sf)
-    addresses = inputs.select("address").distinct()
-    evidence = entity.entity_evidence(addresses, entity.cospend_degree(_pairs(spark, sf)), addresses.select("address", F.lit(1).alias("cluster_size")))
-    return entity.transaction_entity_evidence(d.steps(spark, sf), inputs, evidence, "input")
+    """Both sides with clusters at thresholds 1, 2 and 3.  The SQL has the input side alone and clusters of one."""
+    inputs, outputs, steps = d.tx_inputs(spark, sf), d.tx_outputs(spark, sf), d.steps(spark, sf)
+    addresses = inputs.union(outputs).select("address").distinct()
+    pairs = _pairs(spark, sf).checkpoint()
+    clusters = {k: entity.cospend_clusters(pairs, addresses, k) for k in (1, 2, 3)}
+    evidence = entity.clustered_evidence(addresses, entity.cospend_degree(pairs), clusters).checkpoint()
+    of_inputs, of_outputs = (entity.transaction_entity_evidence(steps, m, evidence, side, tuple(clusters)) for m, side in ((inputs, "input"), (outputs, "output")))
+    return of_inputs.join(of_outputs, "txid")
 
 
 def _shifted(df: DataFrame) -> DataFrame:

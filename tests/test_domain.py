@@ -145,6 +145,41 @@ def test_streams(spark, tmp_path):
     assert {r.user_id: r.n for r in got} == {r.user_id: r.n for r in events.groupBy("user_id").agg(F.count("*").alias("n")).collect()}
 
 
+def clusters_by_hand(spends, least):
+    """Address: set of addresses linked by pairs that at least ``least`` transactions spend together."""
+    group = {a: {a} for s in spends.values() for a in s}
+    for a, b in [(a, b) for a in group for b in group if a < b and sum(a in s and b in s for s in spends.values()) >= least]:
+        group |= dict.fromkeys(group[a] | group[b], group[a] | group[b])
+    return group
+
+
+def test_transaction_entity_evidence_has_real_clusters_of_both_sides(spark, tmp_path):
+    spends = {1: "ab", 2: "ab", 3: "abc", 4: "cd", 5: "cd", 6: "e", 7: "ef"}
+    pays = {1: "a", 2: "x", 3: "de", 4: "bc", 5: "xy", 6: "f", 7: "a"}
+    number = {c: i for i, c in enumerate("abcdefxy", 1)}
+    lines = [(t, number[i], number[o]) for t in spends for i in spends[t] for o in pays[t]]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    orders = spark.createDataFrame([(t, "1995-02-01") for t in range(1, 9)], "o_orderkey long, o_orderdate string")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    run = entry.queries()
+    got = {r.txid: r for r in run["j7_transaction_entity_evidence"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(1, 9)) and got[8].input_cluster_size_max_t1 == got[8].output_distinct_clusters_t1 == 0
+    for least in (1, 2, 3):
+        group = clusters_by_hand(spends, least)
+        for side, members in (("input", spends), ("output", pays)):
+            for t, m in members.items():
+                own = [frozenset(group.get(a, a)) for a in m]
+                assert got[t][f"{side}_cluster_size_max_t{least}"] == max(map(len, own))
+                assert got[t][f"{side}_distinct_clusters_t{least}"] == len(set(own))
+        sizes = {f"W{number[a]}": len(g) for a, g in group.items()}
+        assert {r.address: r.cluster_size for r in run[f"g2_cospend_clusters_{least}"](spark, str(tmp_path)).collect()} == sizes
+        report = run[f"a8_cluster_report_{least}"](spark, str(tmp_path)).first()
+        assert report.largest == max(sizes.values()) and report.non_singleton_addresses == sum(n > 1 for n in sizes.values())
+        j6 = "j6_entity_evidence" + ("" if least == 3 else f"_{least}")
+        assert {r.address: r.cluster_size for r in run[j6](spark, str(tmp_path)).collect()} == sizes
+    assert got[3].input_repeated_addresses == 3 and got[4].output_repeated_addresses == 2
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
