@@ -4,14 +4,18 @@ Every source gets a target number of words.  Whole copies that every document of
 the source is certain of come first; what is left of the target is a sample
 without replacement.  Each document draws a random number u from its id, and the
 documents are ranked by u / (1 - u) divided by p / (1 - p), its random odds
-over its inclusion odds (Pareto order sampling); they are taken in
-that order while their words fit, so the sample has a fixed size in words.  One
-closing document, the one whose size is nearest to what is still missing, ends
-the sample.
+over its inclusion odds (Pareto order sampling); each is taken in that order if
+its words still fit, so the sample has a fixed size in words.  One closing
+document, the one whose size is nearest to what is still missing, ends the
+sample when no other fits.
 
 No source is sorted: two histograms of the rank (sums by source and bucket,
-combined before they are shuffled) find the bucket in which the sample ends, and
-only that bucket's rows are ranked one by one.
+combined before they are shuffled) find the bucket of the first document that
+does not fit, and only that bucket's rows are ranked one by one.  A round does
+so for the documents left whose size is at most what is missing.  What is
+missing then is less than the size of a document that fitted at the round's
+start; with sizes in random order few rounds remain, and the last leaves nothing
+that fits.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from ledgerweave.llm.common import written
 
 #: Buckets at each of the two levels of the histogram.
 BUCKETS = 4096
+#: Of each round: the words missing at its start and where it ends; no bucket where all that fitted was taken.
+ROUNDS = "array<struct<room: double, end_b1: int, end_b2: int, last: struct<q: double, doc_id: bigint>>>"
 
 
 def word_count(text: Column) -> Column:
@@ -68,43 +74,54 @@ def pareto_rank(u: Column, p: Column) -> Column:
 
 
 def _cuts(sized: DataFrame, weights: Sequence[float], total_share: float, max_copies: float) -> DataFrame:
-    """One row a source: its target, the whole copies, and where its sample ends."""
+    """One row a source: its target, the whole copies, where the rounds of its sample end, and the closing document."""
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     # floor() of a quotient that should be whole must not fall short of it
     ratio = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     whole = F.floor(ratio + F.lit(1e-12))
     targets = source_targets(per_source, weights, total_share, max_copies).withColumn("whole", whole).withColumn("p", F.greatest(ratio - whole, F.lit(0.0)))
     targets = written(targets.withColumn("need", F.col("p") * F.col("source_size")), "targets")
-    ranked = _ranked(sized, targets).filter("need > 0")
+    cut = targets.withColumns({"rounds": F.array().cast(ROUNDS), "got": F.lit(0).cast("long"), "room": F.col("need"), "least": F.lit(1).cast("long")})
+    while not cut.filter("least <= room").isEmpty():
+        cut = _round(sized, cut)
+    placed = _ranked(sized, cut)
+    near = placed.filter(~_sampled() & (F.col("need") > 0))
+    miss = F.abs(F.col("room") - F.col("size"))
+    near = near.filter(miss < F.col("room")).groupBy("source").agg(F.min(F.struct(miss.alias("m"), F.col("q"), F.col("doc_id"))).getField("doc_id").alias("closing"))
+    near = near.withColumnRenamed("source", "x5")
+    return written(cut.join(near, F.col("source").eqNullSafe(F.col("x5")), "left").drop("x5"), "cut")
+
+
+def _round(sized: DataFrame, cut: DataFrame) -> DataFrame:
+    """``cut`` with one more round for each source in which a document still fits: least, the smallest size left, is at most room, the words missing."""
+    ranked = _ranked(sized, cut.filter("least <= room")).filter("need > 0 and size > 0 and size <= room").filter(~_sampled())
     up_to = Window.partitionBy("source").orderBy("b")
 
     def end_of(rows: DataFrame, bucket: str, passed: str) -> DataFrame:
-        """The bucket in which the sums reach the need, and the sum before it."""
-        sums = rows.groupBy("source", "need", passed, F.col(bucket).alias("b")).agg(F.sum("size").alias("s"))
+        """The bucket in which the sums pass the room, and the sum before it."""
+        sums = rows.groupBy("source", "room", passed, F.col(bucket).alias("b")).agg(F.sum("size").alias("s"))
         sums = sums.withColumn("cum", F.col(passed) + F.sum("s").over(up_to))
-        return sums.filter("cum > need").groupBy("source").agg(F.min("b").alias(f"end_{bucket}"), F.min(F.struct("b", (F.col("cum") - F.col("s")).alias("v"))).getField("v").alias(f"before_{bucket}"))
+        return sums.filter("cum > room").groupBy("source").agg(F.min("b").alias(f"end_{bucket}"), F.min(F.struct("b", (F.col("cum") - F.col("s")).alias("v"))).getField("v").alias(f"before_{bucket}"))
 
     first = written(end_of(ranked.withColumn("none", F.lit(0).cast("long")), "b1", "none"), "cut1")
     inside = ranked.join(first.withColumnRenamed("source", "source1"), F.col("source").eqNullSafe(F.col("source1")) & (F.col("b1") == F.col("end_b1"))).drop("source1")
     second = written(end_of(inside, "b2", "before_b1"), "cut2")
     inside = inside.join(second.withColumnRenamed("source", "source2"), F.col("source").eqNullSafe(F.col("source2")) & (F.col("b2") == F.col("end_b2"))).drop("source2")
     one_by_one = Window.partitionBy("source").orderBy("q", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("cum", F.col("before_b2") + F.sum("size").over(one_by_one)).filter("cum <= need")
+    inside = inside.withColumn("cum", F.col("before_b2") + F.sum("size").over(one_by_one)).filter("cum <= room")
     last = inside.groupBy("source").agg(F.max(F.struct("q", "doc_id")).alias("last"))
     # An empty bucket before the end leaves no row in it: every earlier bucket still counts.
-    cut = targets
+    ends = cut
     for part, k in ((first, "x1"), (second, "x2"), (last, "x3")):
         part = part.withColumnRenamed("source", k)
-        cut = cut.join(part, F.col("source").eqNullSafe(F.col(k)), "left").drop(k)
-    cut = written(cut.select("source", "source_size", "target", "whole", "p", "need", "end_b1", "end_b2", "last"), "cut3")
-    placed = _ranked(sized, cut).withColumn("in", _sampled())
-    sums = placed.groupBy("source").agg(F.sum(F.when(F.col("in"), F.col("size")).otherwise(0)).alias("got"))
-    sums = written(sums.withColumnRenamed("source", "x4"), "got")
-    near = placed.join(sums, F.col("source").eqNullSafe(F.col("x4"))).filter("not in and need > 0")
-    miss = F.abs(F.col("need") - F.col("got") - F.col("size"))
-    near = near.filter(miss < F.col("need") - F.col("got")).groupBy("source").agg(F.min(F.struct(miss.alias("m"), F.col("q"), F.col("doc_id"))).getField("doc_id").alias("closing"))
-    near = near.withColumnRenamed("source", "x5")
-    return written(cut.join(near, F.col("source").eqNullSafe(F.col("x5")), "left").drop("x5"), "cut")
+        ends = ends.join(part, F.col("source").eqNullSafe(F.col(k)), "left").drop(k)
+    added = F.concat("rounds", F.array(F.struct("room", "end_b1", "end_b2", "last")).cast(ROUNDS))
+    ends = ends.withColumn("rounds", F.when(F.col("least") <= F.col("room"), added).otherwise(F.col("rounds")))
+    ends = written(ends.select("source", "source_size", "target", "whole", "p", "need", "rounds"), "cut3")
+    placed = _ranked(sized, ends).withColumn("in", _sampled())
+    sums = placed.groupBy("source").agg(F.sum(F.when(F.col("in"), F.col("size")).otherwise(0)).alias("got"), F.min(F.when(~F.col("in") & (F.col("size") > 0), F.col("size"))).alias("least"))
+    ends = ends.join(sums.withColumnRenamed("source", "x4"), F.col("source").eqNullSafe(F.col("x4")), "left").drop("x4")
+    return written(ends.withColumn("room", F.col("need") - F.col("got")), "got")
 
 
 def _ranked(sized: DataFrame, per_source: DataFrame) -> DataFrame:
@@ -118,11 +135,17 @@ def _ranked(sized: DataFrame, per_source: DataFrame) -> DataFrame:
 
 
 def _sampled() -> Column:
-    """Whether the row lies before the end of its source's sample."""
-    here = F.struct("q", "doc_id") <= F.col("last")
-    inner = F.col("end_b2").isNull() | (F.col("b2") < F.col("end_b2")) | ((F.col("b2") == F.col("end_b2")) & F.coalesce(here, F.lit(False)))
-    outer = F.col("end_b1").isNull() | (F.col("b1") < F.col("end_b1")) | ((F.col("b1") == F.col("end_b1")) & inner)
-    return F.coalesce((F.col("need") > 0) & outer, F.lit(False))
+    """Whether one of its source's rounds took the row; one without words counts as taken where it lies before the end of the first."""
+
+    def before_end(r: Column) -> Column:
+        here = F.struct("q", "doc_id") <= r["last"]
+        inner = r["end_b2"].isNull() | (F.col("b2") < r["end_b2"]) | ((F.col("b2") == r["end_b2"]) & F.coalesce(here, F.lit(False)))
+        return r["end_b1"].isNull() | (F.col("b1") < r["end_b1"]) | ((F.col("b1") == r["end_b1"]) & inner)
+
+    # Rows before a round's end that it passed over are larger than what is missing in all later rounds.
+    taken = F.exists("rounds", lambda r: (F.col("size") <= r["room"]) & before_end(r))
+    empty = (F.size("rounds") > 0) & before_end(F.get("rounds", F.lit(0)))
+    return F.coalesce((F.col("need") > 0) & F.when(F.col("size") > 0, taken).otherwise(empty), F.lit(False))
 
 
 def mix_sources(

@@ -316,6 +316,38 @@ def test_mixing_targets(spark):
     assert got == pytest.approx(want)
 
 
+def mixed_by_brute_force(docs, cuts, seed=7):
+    """The words taken from each document: down the Pareto order, each that still fits, then the closing one."""
+    out = {}
+    for c in cuts:
+        own = [(d, n) for d, n, s in docs if s == c.source]
+        u = {d: (int(hashlib.md5(f"{d}:{seed}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for d, _ in own}
+        order = sorted(own, key=lambda x: (u[x[0]] / (1 - u[x[0]]), x[0]))
+        left, taken = c.need, set()
+        for d, n in order:
+            if n <= left and c.need > 0:
+                left -= n
+                taken.add(d)
+        close = [(abs(left - n), d) for d, n in order if d not in taken and abs(left - n) < left]
+        taken |= {min(close)[1]} if close else set()
+        out |= {d: (c.whole + (d in taken)) * n for d, n in own}
+    return out
+
+
+@pytest.mark.parametrize("seed", [7, 8, 9])
+def test_mixing_goes_on_past_documents_that_do_not_fit(spark, seed):
+    sizes = [(i, 5000 if i % 20 == 0 else 100 + i, "ab"[i % 3 == 0]) for i in range(1, 121)]
+    df = spark.createDataFrame([(d, "w " * n, s) for d, n, s in sizes], "doc_id long, text string, source string")
+    how = {"weights": (1, 1), "total_share": 0.25, "max_copies": 1.0}
+    got = {r.doc_id: r for r in mixing.mix_sources(df, seed=seed, **how).collect()}
+    sized = df.select("doc_id", "source", mixing.word_count(df.text).alias("size"))
+    sized = sized.withColumn("u", mixing.random_number(sized.doc_id, seed))
+    cuts = mixing._cuts(sized, (1, 1), 0.25, 1.0).collect()
+    assert {d: r.taken for d, r in got.items()} == mixed_by_brute_force(sizes, cuts, seed)
+    for c in cuts:
+        assert abs(sum(r.taken for r in got.values() if r.source == c.source) - c.target) < 120
+
+
 def test_mixing_awkward(awkward, empty):
     got = mixing.mix_sources(awkward).collect()
     assert len(got) == len(AWKWARD) and all(r.taken <= 2 * r.size for r in got)
