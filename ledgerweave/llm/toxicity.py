@@ -230,11 +230,11 @@ def _describe(weights: dict[str, float]):
 def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """A model from (doc_id, toxic) and texts: columns doc_id, text, toxic (0 or 1), of at most about ``train_rows`` rows.
 
-    Rows whose texts begin with the same ten words and have equal word counts
-    are learned from once, so that copies of one text do not fill the lexicon.
+    Rows of equal label whose whole texts are equal but for case and blanks are
+    learned from once, so that copies of one text do not fill the lexicon.
     """
-    head = F.concat_ws(" ", F.slice(F.split(F.lower("text"), r"[\x20\x09-\x0D]+", 11), 1, 10))
-    rows = labelled.withColumn("family", F.xxhash64(head))
+    whole = F.trim(F.regexp_replace(F.lower("text"), r"[\x20\x09-\x0D]+", " "))
+    rows = labelled.withColumn("family", F.sha2(whole, 256))
     rows = rows.groupBy("family", "toxic").agg(F.expr("min_by(struct(doc_id, text), doc_id)").alias("one"))
     rows = written(rows.select("one.doc_id", "one.text", "toxic"), "toxic-sample")
     n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}

@@ -400,6 +400,17 @@ def test_isotonic_and_trees():
     assert (np.diff(py) >= 0).all() and (np.diff(px) >= 0).all()
 
 
+def test_toxicity_learns_from_texts_with_a_common_opening(spark, monkeypatch):
+    opening = "This page was saved by the archive in the year two thousand. "
+    rows = [(i, opening + (f"you vile scum number{i}" if i % 2 else f"a calm walk number{i}"), i % 2) for i in range(1, 81)]
+    rows += [(100 + i, (opening + f"YOU  vile\nscum number{i} "), 1) for i in (1, 3, 5)]
+    kept = []
+    monkeypatch.setattr(toxicity, "written", lambda df, name: kept.append(df) or df)
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert sorted(r.doc_id for r in kept[0].collect()) == list(range(1, 81))
+    assert model.weights and model.trees is not None
+
+
 def test_sentence_spans(spark, awkward, empty):
     passage = "The first of three sentences is here. The second follows it closely. And a third ends the passage! "
     rows = [(1, "Own words. " + passage + "More own words."), (2, passage), (3, "Start. " + passage + passage), (4, "A. B. C. D."), (5, "A. B. C. E.")]
