@@ -16,12 +16,14 @@ built where it is needed:
     segments before it sends them, so a segment that a third of all rows have
     is sent once a task.  A sample with one name only needs no more.
 3.  Samples with several names: their segments, one for each name, meet in a
-    task, which sorts all their suffixes with the difference-cover algorithm
-    modulo 3 (sort the triples at sampled places, recurse on their names until
-    they cover ``LENGTH`` bytes, sort the other suffixes by their first byte and
-    the sample's rank, and merge) and compares adjacent suffixes' first
-    ``LENGTH`` bytes.  Segments of a sample with very many names go one window
-    at a time, dealt out by the window's own bytes.
+    task.  A window whose bucket of a hash holds no other window of the task
+    cannot repeat and is dropped.  All suffixes of the rest are sorted with the
+    difference-cover algorithm modulo 3 (sort the triples at sampled places,
+    recurse on their names until they cover ``LENGTH`` bytes, sort the other
+    suffixes by their first byte and the sample's rank, and merge), and adjacent
+    suffixes' first ``LENGTH`` bytes are compared.  Segments of a sample with
+    very many names go one window at a time, dealt out by the window's own
+    bytes, once for each task and window.
 """
 
 from __future__ import annotations
@@ -38,10 +40,13 @@ from ledgerweave.llm.common import id_and_text, partitions, slices, text_buffers
 from ledgerweave.llm.wordhash import mix, running, span_hash
 
 LENGTH, GRAM = 100, 28
-#: A sample with more names than this in one task is split by window.
+#: A sample with more names than this is split by window.
 CROWDED = 256
-#: At most so many crowded samples are known to all tasks.
-CROWDED_KEPT = 100_000
+#: Names that a sample has in one task at least to be counted before names are shuffled, and the samples known to all
+#: tasks at most.  Both only spread the shuffle of names; where names meet, every sample is counted in full.
+COUNTED_FROM, CROWDED_KEPT = 8, 100_000
+#: Segments that a task holds before it sends them on.
+HELD = 1_000_000
 LAST_ID = (1 << 63) - 1
 
 _SEGMENT = "key long, sample long, name long, doc_id long, start int, n int, crowded boolean"
@@ -121,71 +126,112 @@ def _of_batch(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
         yield ids[row], start, n, sample, name
 
 
-def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts = [(s[3], s[4]) for batch in batches for s in _of_batch(batch)]
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """doc_id, start, n, sample and name of the segments of the rows, about ``HELD`` at a time."""
+    parts, size = [], 0
+    for batch in batches:
+        for found in _of_batch(batch):
+            parts.append(found)
+            size += len(found[0])
+            if size >= HELD:
+                yield tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+                parts, size = [], 0
     if parts:
-        sample, name = (np.concatenate(p) for p in zip(*parts, strict=True))
-        order = np.lexsort((name, sample))
-        sample, name = sample[order], name[order]
-        sample = sample[_groups(sample, name)]
-        found, n = np.unique(sample, return_counts=True)
-        yield pa.record_batch([pa.array(found[n > CROWDED].view(np.int64)), pa.array(n[n > CROWDED])], names=["sample", "n"])
+        yield tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+
+def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, _, _, sample, name in _held(batches):
+        sample = np.sort(sample[np.unique(mix(sample) ^ name, return_index=True)[1]])
+        head = np.flatnonzero(_groups(sample))
+        n = np.diff(np.append(head, len(sample)))
+        many = n >= COUNTED_FROM
+        yield pa.record_batch([pa.array(sample[head[many]].view(np.int64)), pa.array(n[many])], names=["sample", "n"])
 
 
 def _named(crowded: np.ndarray):
     """Each task's segments, once for each name; the others are repeats at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [s for batch in batches for s in _of_batch(batch)]
-        if not parts:
-            return
-        doc, start, n, sample, name = (np.concatenate(p) for p in zip(*parts, strict=True))
-        del parts
-        order = np.lexsort((start, doc, name, sample))
-        doc, start, n, sample, name = (x[order] for x in (doc, start, n, sample, name))
-        new = _groups(sample, name)
-        head = np.flatnonzero(new)
-        whose = head[np.cumsum(new) - 1]
-        # Rows that share an id and a place are one occurrence.
-        repeat = (doc != doc[whose]) | (start != start[whose])
-        many = np.isin(sample, crowded)
-        key = np.where(many, mix(sample ^ name), sample)
-        columns = (key.view(np.int64), sample.view(np.int64), name.view(np.int64), doc, start, n, many)
-        yield from _rows([c[new] for c in columns])
-        doc, start, n = ranges(doc[repeat], start[repeat], n[repeat])
-        yield from _rows([mix(doc.astype(np.uint64)).view(np.int64), np.zeros_like(doc), None, doc, start, n, np.zeros(len(doc), bool)])
+        for doc, start, n, sample, name in _held(batches):
+            order = np.lexsort((start, doc, name, sample))
+            doc, start, n, sample, name = (x[order] for x in (doc, start, n, sample, name))
+            new = _groups(sample, name)
+            head = np.flatnonzero(new)
+            whose = head[np.cumsum(new) - 1]
+            # Rows that share an id and a place are one occurrence.
+            repeat = (doc != doc[whose]) | (start != start[whose])
+            many = np.isin(sample[new], crowded)
+            key = np.where(many, mix(sample[new] ^ name[new]), sample[new])
+            yield from _rows([key.view(np.int64), *(c[new] for c in (sample.view(np.int64), name.view(np.int64), doc, start, n)), many])
+            doc, start, n = ranges(doc[repeat], start[repeat], n[repeat])
+            yield from _rows([mix(doc.astype(np.uint64)).view(np.int64), np.zeros_like(doc), None, doc, start, n, np.zeros(len(doc), bool)])
 
     return run
 
 
 def _first_of_name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeats of names, and the first segment of each name whose sample has several."""
-    table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-    if table is None:
-        return
-    done = table.filter(table["name"].is_null())
-    table = table.filter(table["name"].is_valid())
     columns = [f.split()[0] for f in _FOUND.split(", ")]
-    if done.num_rows:
-        done = done.append_column("repeat", pa.array(np.ones(done.num_rows, bool))).select(columns)
-        yield from done.to_batches()
-    if not table.num_rows:
+    held = []
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        done = table.filter(table["name"].is_null())
+        yield from done.append_column("repeat", pa.array(np.ones(done.num_rows, bool))).select(columns).to_batches()
+        held.append(table.filter(table["name"].is_valid()))
+    if not held:
         return
-    sample, name, doc, start = (table[c].to_numpy() for c in ("sample", "name", "doc_id", "start"))
-    order = np.lexsort((start, doc, name, sample))
-    table = table.take(pa.array(order))
-    sample, name, doc, start = (x[order] for x in (sample, name, doc, start))
-    new = _groups(sample, name)
-    head = np.flatnonzero(new)
-    whose = head[np.cumsum(new) - 1]
-    repeat = (doc != doc[whose]) | (start != start[whose])
-    group = np.cumsum(_groups(sample)) - 1
-    names = np.bincount(group, new)
-    several = new & ((names[group] > 1) | table["crowded"].to_numpy(zero_copy_only=False))
-    yield from table.filter(pa.array(several)).append_column("repeat", pa.array(np.zeros(int(several.sum()), bool))).select(columns).to_batches()
-    doc, start, n = ranges(doc[repeat], start[repeat].astype(np.int64), table["n"].to_numpy()[repeat].astype(np.int64))
-    for batch in _rows([np.zeros_like(doc), np.zeros_like(doc), None, doc, start, n, np.zeros(len(doc), bool)]):
-        yield batch.append_column("repeat", pa.array(np.ones(batch.num_rows, bool))).select(columns)
+    held = pa.concat_tables(held)
+    # By ranges of the key, so that what sorting needs stays small beside what is held
+    share = -(-held.num_rows // 500_000)
+    part = (mix(held["key"].to_numpy().view(np.uint64)) % np.uint64(max(share, 1))).astype(np.int32)
+    for k in range(share):
+        table = held.filter(pa.array(part == k))
+        sample, name, doc, start, n = (table[c].to_numpy() for c in ("sample", "name", "doc_id", "start", "n"))
+        order = np.lexsort((start, doc, name, sample))
+        sample, name, doc, start, n = (x[order] for x in (sample, name, doc, start, n))
+        new = _groups(sample, name)
+        head = np.flatnonzero(new)
+        whose = head[np.cumsum(new) - 1]
+        repeat = (doc != doc[whose]) | (start != start[whose])
+        group = np.cumsum(_groups(sample)) - 1
+        names = np.bincount(group, new)[group]
+        crowded = table["crowded"].to_numpy()[order] | (names > CROWDED)
+        several = new & ((names > 1) | crowded)
+        first = [c[several] for c in (sample, sample, name, doc, start, n, crowded)]
+        for batch in _rows(first):
+            yield batch.append_column("repeat", pa.array(np.zeros(batch.num_rows, bool))).select(columns)
+        doc, start, n = ranges(doc[repeat], start[repeat].astype(np.int64), n[repeat].astype(np.int64))
+        for batch in _rows([np.zeros_like(doc), np.zeros_like(doc), None, doc, start, n, np.zeros(len(doc), bool)]):
+            yield batch.append_column("repeat", pa.array(np.ones(batch.num_rows, bool))).select(columns)
+
+
+def _bits(largest: int) -> int:
+    return max(1, int(largest).bit_length())
+
+
+def _sorted_by(keys: list[np.ndarray], bits: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows by the keys (the first counts most), and where in it a new group begins.
+
+    Keys and row number are sorted as one integer; where they are too wide for
+    64 bits, the first two keys are replaced by their rank first.
+    """
+    low = _bits(len(keys[0]))
+    while len(keys) > 1 and sum(bits) + low > 64:
+        if bits[0] + bits[1] + low > 64:
+            order = np.lexsort(keys[::-1])
+            return order, _groups(*(k[order] for k in keys))
+        order, new = _sorted_by(keys[:2], bits[:2])
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.cumsum(new)
+        keys, bits = [rank, *keys[2:]], [low, *bits[2:]]
+    packed = keys[0].astype(np.uint64)
+    for key, width in zip(keys[1:], bits[1:], strict=True):
+        packed = packed << np.uint64(width) | key.astype(np.uint64)
+    packed = packed << np.uint64(low) | np.arange(len(packed), dtype=np.uint64)
+    packed.sort()
+    order = (packed & np.uint64((1 << low) - 1)).astype(np.int64)
+    return order, _groups(packed >> np.uint64(low))
 
 
 def difference_cover_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -198,16 +244,16 @@ def difference_cover_order(text: np.ndarray, depth: int) -> np.ndarray:
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: text[i:].tolist()), np.int64)
     t = np.concatenate([text.astype(np.int64), np.zeros(3, np.int64)])
+    wide, deep = _bits(t.max()), _bits(n + 3)
     ones, twos = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
     sampled = np.concatenate([ones, twos])
-    order = np.lexsort((t[sampled + 2], t[sampled + 1], t[sampled]))
+    order, new = _sorted_by([t[sampled], t[sampled + 1], t[sampled + 2]], [wide] * 3)
     by = sampled[order]
-    new = _groups(t[by], t[by + 1], t[by + 2])
-    names = np.empty(len(sampled), np.int64)
-    names[order] = np.cumsum(new)
     if new.all() or depth <= 3:
         ranked = by
     else:  # the two runs of sampled places one after the other, a divider between them
+        names = np.empty(len(sampled), np.int64)
+        names[order] = np.cumsum(new)
         deeper = difference_cover_order(np.concatenate([names[: len(ones)] + 1, [1], names[len(ones) :] + 1]), -(-depth // 3))
         deeper = deeper[deeper != len(ones)]
         ranked = sampled[np.where(deeper > len(ones), deeper - 1, deeper)]
@@ -215,17 +261,19 @@ def difference_cover_order(text: np.ndarray, depth: int) -> np.ndarray:
     rank[ranked] = np.arange(1, len(ranked) + 1)
     ranked = ranked[ranked < n]
     others = np.arange(0, n, 3)
-    others = others[np.lexsort((rank[others + 1], t[others]))]
+    others = others[_sorted_by([t[others], rank[others + 1]], [wide, deep])[0]]
     # Merge: a suffix of the others goes behind the sampled suffixes that are smaller, compared by
     # (symbol, rank) with those at 1 mod 3 and by (symbol, symbol, rank) with those at 2 mod 3.
+    # Sampled suffixes that are equal to the depth asked for may stand in any order: their keys are levelled.
     behind = np.zeros(len(others), np.int64)
     for kind in (1, 2):
         mine = ranked[ranked % 3 == kind]
-        keys = lambda i, kind=kind: [t[i], rank[i + 1]] if kind == 1 else [t[i], t[i + 1], rank[i + 2]]
-        both = np.concatenate([mine, others])
-        joint = np.lexsort(keys(both)[::-1])
-        is_other = joint >= len(mine)
-        behind[joint[is_other] - len(mine)] += np.cumsum(~is_other)[is_other]
+        head = [t[x] if kind == 1 else t[x] << wide | t[x + 1] for x in (mine, others)]
+        if wide * kind + deep > 63:
+            flat = np.unique(np.concatenate(head), return_inverse=True)[1]
+            head = [flat[: len(mine)], flat[len(mine) :]]
+        a, b = (h << deep | rank[x + kind] for h, x in zip(head, (mine, others), strict=True))
+        behind += np.searchsorted(np.maximum.accumulate(a), b)
     out = np.empty(n, np.int64)
     at = np.arange(len(others)) + np.maximum.accumulate(behind)
     mask = np.zeros(n, bool)
@@ -234,20 +282,46 @@ def difference_cover_order(text: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
+def _may_repeat(raw: np.ndarray, base: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Part, offset and number of windows of the runs of windows that share a hash's bucket with another window."""
+    windows = np.maximum(size - length + 1, 0)
+    ends = np.cumsum(windows)
+    part = np.repeat(np.arange(len(size)), windows)
+    offset = np.arange(len(part)) - np.repeat(ends - windows, windows)
+    at = base[part] + offset
+    hashes = span_hash(running(raw), at, at + length)
+    width = max(10, _bits(2 * len(at)))
+    alive = np.arange(len(at))
+    for shift in (64 - width, 32 - width if width < 32 else 0):  # two numbers of buckets, since other windows fall there by chance
+        bucket = (hashes[alive] >> np.uint64(shift) & np.uint64((1 << width) - 1)).astype(np.int64)
+        alive = alive[np.bincount(bucket, minlength=1)[bucket] > 1]
+    new = _groups(part[alive])
+    new[1:] |= alive[1:] != alive[:-1] + 1
+    head = np.flatnonzero(new)
+    return part[alive[head]], offset[alive[head]], np.diff(np.append(head, len(alive)))
+
+
 def repeats_in(parts: list[bytes], doc: np.ndarray, start: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Part and offset of every window of the parts that starts earlier in another place of them."""
-    size = np.array([len(p) for p in parts])
-    base = np.concatenate([[0], np.cumsum(size + 1)])
-    text = np.zeros(base[-1], np.int64)
-    raw = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8)
-    text[:] = raw
-    text += 2
-    text[base[1:] - 1] = 1  # a divider that no byte equals
+    whole = np.array([len(p) for p in parts])
+    base = np.concatenate([[0], np.cumsum(whole)])[:-1]
+    every = np.frombuffer(b"".join(parts), np.uint8)
+    source, first, n = _may_repeat(every, base, whole, length)
+    size = n + length - 1
+    if not len(size):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    # The runs that are left, each behind a divider that no byte equals
+    begin = np.concatenate([[0], np.cumsum(size + 1)])
+    place = np.repeat(base[source] + first - begin[:-1], size + 1) + np.arange(begin[-1])
+    place[begin[1:] - 1] = 0
+    raw = every[place]
+    text = raw.astype(np.int64) + 2
+    text[begin[1:] - 1] = 1
     order = difference_cover_order(text, length)
-    part = np.searchsorted(base, order, "right") - 1
-    offset = order - base[part]
-    window = offset + length <= size[part]
-    order, part, offset = order[window], part[window], offset[window]
+    run = (np.cumsum(np.bincount(begin[1:-1], minlength=begin[-1])))[order]
+    offset = order - begin[run]
+    window = offset + length <= size[run]
+    order, part, offset = order[window], source[run[window]], offset[window] + first[run[window]]
     same = np.zeros(len(order), bool)
     reach = np.arange(length)
     for k in range(1, len(order), 50_000):  # adjacent suffixes' first bytes, in full
@@ -257,30 +331,51 @@ def repeats_in(parts: list[bytes], doc: np.ndarray, start: np.ndarray, length: i
         i = np.flatnonzero(likely)
         same[k + i[(raw[a[i, None] + reach] == raw[b[i, None] + reach]).all(axis=1)]] = True
     group = np.cumsum(~same) - 1
-    by = np.lexsort((start[part] + offset, doc[part], group))
-    group, part, offset = group[by], part[by], offset[by]
-    head = np.flatnonzero(_groups(group))[group] if len(group) else group
     where = start[part] + offset
+    by = np.lexsort((where, doc[part], group))
+    group, part, offset, where = group[by], part[by], offset[by], where[by]
+    head = np.flatnonzero(_groups(group))[group] if len(group) else group
     later = (doc[part] != doc[part[head]]) | (where != where[head]) if len(group) else np.zeros(0, bool)
     return part[later], offset[later]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the wanted segments of each text; a crowded sample's, one window at a time."""
+    """The bytes of the wanted segments of each text; a crowded sample's, one window at a time.
+
+    Of equal windows that a task holds at once the first is sent, and the others
+    are repeats: n is 1 and part null.
+    """
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+
+    def rows(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(found), 50_000):
+            cols = list(zip(*found[k : k + 50_000], strict=True))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["key", "doc_id", "start", "n", "part"])
+
+    def sent(first: dict[bytes, tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+        yield from rows([(int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True), doc, at, 1, part) for part, (doc, at) in first.items()])
+
+    first: dict[bytes, tuple[int, int]] = {}
     for batch in batches:
-        rows = []
+        found = []
         for doc, text, wanted in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["wanted"].to_pylist(), strict=True):
             data = text.encode()
             for w in wanted:
                 if not w["crowded"]:
-                    rows.append((w["key"], doc, w["start"], data[w["start"] : w["start"] + w["n"] + LENGTH - 1]))
+                    found.append((w["key"], doc, w["start"], w["n"], data[w["start"] : w["start"] + w["n"] + LENGTH - 1]))
                     continue
-                for s in range(w["start"], w["start"] + w["n"]):
-                    part = data[s : s + LENGTH]
-                    rows.append((int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True), doc, s, part))
-        for k in range(0, len(rows), 50_000):
-            cols = list(zip(*rows[k : k + 50_000], strict=True))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["key", "doc_id", "start", "part"])
+                for at in range(w["start"], w["start"] + w["n"]):
+                    part, here = data[at : at + LENGTH], (doc, at)
+                    held = first.setdefault(part, here)
+                    if held != here:
+                        first[part] = min(held, here)
+                        late = max(held, here)
+                        found.append((late[0] * 2654435761 % (1 << 62), *late, 1, None))
+            if len(first) > 500_000:
+                yield from sent(first)
+                first = {}
+        yield from rows(found)
+    yield from sent(first)
 
 
 def _sorted_parts(limit: int = 2 << 20):
@@ -296,7 +391,11 @@ def _sorted_parts(limit: int = 2 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
         for batch in batches:
+            done = pa.Table.from_batches([batch])
+            yield from done.filter(done["part"].is_null()).select(["doc_id", "start", "n"]).to_batches()
             for row in zip(*(batch[c].to_pylist() for c in ("key", "doc_id", "start", "part")), strict=True):
+                if row[3] is None:
+                    continue
                 if size > limit and row[0] != last:
                     yield found(held)
                     held, size = [], 0
@@ -339,14 +438,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     rows = id_and_text(docs, id_col, text_col)
-    crowded = rows.mapInArrow(_crowded, "sample long, n long").groupBy("sample").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sample").limit(CROWDED_KEPT).collect()
+    crowded = rows.mapInArrow(_crowded, "sample long, n long").groupBy("sample").agg(F.sum("n").alias("n")).filter(F.col("n") > CROWDED).orderBy(F.desc("n"), "sample").limit(CROWDED_KEPT).collect()
     crowded = np.array([r["sample"] for r in crowded], np.int64).view(np.uint64)
     named = rows.mapInArrow(_named(crowded), _SEGMENT).repartition(partitions(spark), "key")
     found = written(named.mapInArrow(_first_of_name, _FOUND), "segments")
 
     wanted = found.filter("not repeat").groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n", "crowded")).alias("wanted"))
     filled = rows.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"), "text")
-    parts = filled.join(wanted.hint("shuffle_hash"), "doc_id").mapInArrow(_cut, "key long, doc_id long, start int, part binary")
+    parts = filled.join(wanted.hint("shuffle_hash"), "doc_id").mapInArrow(_cut, "key long, doc_id long, start int, n int, part binary")
     parts = parts.repartition(partitions(spark), "key").sortWithinPartitions("key", "doc_id", "start")
     late = written(parts.mapInArrow(_sorted_parts(), "doc_id long, start int, n int"), "repeats")
 
