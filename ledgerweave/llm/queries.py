@@ -89,18 +89,26 @@ def oracle_sql() -> dict[str, str]:
 
 
 OP3_SQL = r"""
-WITH s AS (
-  SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?][\x20\x09-\x0D]+|\n+)', '\1' || chr(1), 'g'), chr(1)), lambda x: length(x) > 0) AS parts
-  FROM documents),
-p AS (SELECT doc_id, unnest(range(len(parts))) AS pos, unnest(parts) AS part FROM s),
-b AS (SELECT *, trim(translate(part, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' ') AS bare FROM p),
-r AS (SELECT doc_id, pos, bare || chr(10) || lead(bare, 1) OVER w || chr(10) || lead(bare, 2) OVER w AS run FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-k AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS n FROM r WHERE length(run) >= 60),
-x AS (SELECT DISTINCT doc_id, pos + unnest([0, 1, 2]) AS pos FROM k WHERE n > 1),
-j AS (SELECT p.doc_id, count(x.pos) AS n_removed, string_agg(p.part, '' ORDER BY p.pos) FILTER (WHERE x.pos IS NULL) AS kept
-      FROM p LEFT JOIN x ON p.doc_id = x.doc_id AND p.pos = x.pos GROUP BY p.doc_id)
-SELECT s.doc_id, len(parts)::BIGINT AS n_sentences, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
-FROM s LEFT JOIN j ON s.doc_id = j.doc_id
+WITH c AS (SELECT doc_id, regexp_extract(coalesce(text, ''), '^[\x20\x09-\x0D]*') AS ahead, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS chunks, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, unnest(range(len(chunks))) AS i, unnest(chunks) AS chunk FROM c),
+x AS (SELECT *, regexp_extract(chunk, '^[^\x20\x09-\x0D]+') AS word FROM w),
+m AS (SELECT *, coalesce(sum((regexp_matches(word, '[.!?]$') OR contains(chunk, chr(10)))::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM x),
+s AS (SELECT doc_id, pos, string_agg(chunk, '' ORDER BY i) AS part, string_agg(word, ' ' ORDER BY i) AS bare, count(*) AS n FROM m GROUP BY ALL),
+p AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM s),
+-- From and to every sentence, the smallest run of 2 sentences and 16 words or of 30 words
+r AS (SELECT a.doc_id, a.pos AS lo, min(b.pos) AS hi FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos AND a.pos + 30
+      AND (b.upto - a.upto + a.n >= 30 OR (b.pos > a.pos AND b.upto - a.upto + a.n >= 16)) GROUP BY ALL
+      UNION
+      SELECT b.doc_id, max(a.pos), b.pos FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos AND a.pos + 30
+      AND (b.upto - a.upto + a.n >= 30 OR (b.pos > a.pos AND b.upto - a.upto + a.n >= 16)) GROUP BY b.doc_id, b.pos),
+t AS (SELECT r.doc_id, lo, hi, string_agg(bare, ' ' ORDER BY pos) AS run FROM r JOIN p ON r.doc_id = p.doc_id AND pos BETWEEN lo AND hi GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, lo) AS n FROM t),
+g AS (SELECT DISTINCT doc_id, unnest(range(lo, hi + 1)) AS pos FROM k WHERE n > 1),
+j AS (SELECT p.doc_id, count(*) AS n_sentences, count(g.pos) AS n_removed, string_agg(part, '' ORDER BY p.pos) FILTER (WHERE g.pos IS NULL) AS kept, bool_or(p.pos = 0 AND g.pos IS NULL) AS opens
+      FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.pos = g.pos GROUP BY p.doc_id)
+SELECT c.doc_id, coalesce(n_sentences, 0)::BIGINT AS n_sentences, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(CASE WHEN n_sentences IS NULL THEN text WHEN opens THEN ahead || coalesce(kept, '') ELSE coalesce(kept, '') END) AS kept_sha256
+FROM c LEFT JOIN j ON c.doc_id = j.doc_id
 """
 
 OP8_SQL = r"""

@@ -424,29 +424,40 @@ def test_toxicity_learns_from_texts_with_a_common_opening(spark, monkeypatch):
 
 
 def test_sentence_spans(spark, awkward, empty):
-    passage = "The first of three sentences is here. The second follows it closely. And a third ends the passage! "
-    rows = [(1, "Own words. " + passage + "More own words."), (2, passage), (3, "Start. " + passage + passage), (4, "A. B. C. D."), (5, "A. B. C. E.")]
+    passage = "The first of the three sentences is here. The second one follows it closely. And then a third ends the passage! "
+    rows = [(1, "Own words. " + passage + "More own words."), (2, passage), (3, "Start. " + passage + passage), (4, "A. B. C. D."), (5, "A. B. C. E."), (6, " \n "), (7, "ab\x01cd. ef")]
     got = {r.doc_id: r for r in sentence_spans.remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].kept_text == rows[0][1] and got[2].kept_text == "" and got[3].kept_text == "Start. "
     assert got[3].removed == [1, 2, 3, 4, 5, 6] and got[4].n_removed == got[5].n_removed == 0
-    assert len(sentence_spans.remove_repeated_spans(awkward).collect()) == len(AWKWARD)
+    assert got[6].kept_text == " \n " and got[6].n_sentences == 0 and got[7].kept_text == "ab\x01cd. ef"
+    rows = sentence_spans.remove_repeated_spans(awkward).collect()
+    assert len(rows) == len(AWKWARD)
+    # The long text is one sentence, of which there is no other; equal rows of id 4 are one occurrence
+    assert sorted((r.doc_id or 0, r.n_sentences, r.kept_text) for r in rows) == sorted((r[0] or 0, int(bool((r[1] or "").strip())), r[1] or "") for r in AWKWARD)
     assert sentence_spans.remove_repeated_spans(empty).count() == 0
 
 
-def spans_by_brute_force(rows, span=3, chars=60, words=50):
-    """Every large enough run of sentences, of any size, counted as text: what all but its first occurrence cover."""
-    cut = {d: [p for p in re.sub("([.!?][\x20\x09-\x0d]+|\n+)", "\\1\x01", t).split("\x01") if p] for d, t in rows}
-    seen, gone = set(), defaultdict(set)
-    for d in sorted(cut):
-        bare = [re.sub("[\t\n\x0b\x0c\r]", " ", p).strip(" ") for p in cut[d]]
+def spans_by_brute_force(rows, span=2, words=16, long=30):
+    """Every large enough run of sentences, of any size, counted as words: what all but its first occurrence cover."""
+    parts, seen, gone = {}, set(), defaultdict(set)
+    for d, text in sorted(rows):
+        cut, at = [], 0
+        spans = [m.span() for m in WORD.finditer(text)]
+        for (a, b), (c, _) in zip(spans, [*spans[1:], (len(text), 0)], strict=True):
+            if text[b - 1] in ".!?" or "\n" in text[b:c] or c == len(text):
+                cut.append(text[at:c])
+                at = c
+        parts[d] = cut or [text]
+        bare = [tuple(WORD.findall(p)) for p in cut]
         for i in range(len(bare)):
-            for j in range(i + 1, len(bare) + 1):
-                run = "\n".join(bare[i:j])
-                if (j - i >= span and len(run) >= chars) or len(run.split()) >= words:
+            run = ()
+            for j in range(i, len(bare)):
+                run += bare[j]
+                if (j - i + 1 >= span and len(run) >= words) or len(run) >= long:
                     if run in seen:
-                        gone[d].update(range(i, j))
+                        gone[d].update(range(i, j + 1))
                     seen.add(run)
-    return {d: (sorted(gone[d]), "".join(p for i, p in enumerate(cut[d]) if i not in gone[d])) for d in cut}
+    return {d: (sorted(gone[d]), "".join(p for i, p in enumerate(cut) if i not in gone[d])) for d, cut in parts.items()}
 
 
 def test_sentence_spans_of_short_and_of_long_sentences(spark):
@@ -454,12 +465,12 @@ def test_sentence_spans_of_short_and_of_long_sentences(spark):
     long = " ".join(f"word{i}" for i in range(60)) + ". "
     pair = " ".join(f"left{i}" for i in range(30)) + "! " + " ".join(f"right{i}" for i in range(30)) + "? "
     rows = [(1, "One. " + short + "Two. "), (2, "Other words here. " + short + "The end. "), (3, "Before. " + long + "After. "), (4, "Ahead. " + long + "Behind. ")]
-    rows += [(5, "Up. " + pair + "Down. "), (6, "In. " + pair + "Out. "), (7, "A. B. C. D. " * 20), (8, "x\n" + "}\n" * 40 + "y\n"), (9, "z\n" + "}\n" * 40), (10, "Short. " + "tail " * 48), (11, "Short. " + "tail " * 48)]
-    rows += [(12, long.strip()), (13, short + long + pair + short)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rows += [(5, "Up. " + pair + "Down. "), (6, "In. " + pair + "Out. "), (7, "A. B. C. D. " * 20), (8, "x\n" + "}\n" * 40 + "y\n"), (9, "z\n" + "}\n" * 40), (10, "Short. " + "tail " * 12), (11, "Short. " + "tail " * 12)]
+    rows += [(12, long.strip()), (13, short + long + pair + short), (14, "  " + pair.replace(" ", "\t ") + "\r\n\n next"), (15, "Fresh start. Tiny. " + long[:-2] + "\n\n" + "Fin")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = {r.doc_id: (r.removed, r.kept_text) for r in sentence_spans.remove_repeated_spans(df).collect()}
     assert got[2][1] == "Other words here. The end. " and got[4][1] == "Ahead. Behind. " and got[6][1] == "In. Out. "
-    assert got[10][1] == rows[9][1] and got[11][1] == rows[10][1] and got[12][1] == ""
+    assert got[10][1] == rows[9][1] and got[11][1] == rows[10][1] and got[12][1] == "" and got[14][1] == "next"
     assert got == spans_by_brute_force(rows)
 
 
