@@ -125,7 +125,7 @@ FROM n WINDOW w AS (PARTITION BY bare ORDER BY chars DESC, doc_id)
 """
 
 OP10_SQL = r"""
-WITH d AS (
+WITH RECURSIVE d AS MATERIALIZED (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
          (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':7'), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u
   FROM documents),
@@ -136,15 +136,24 @@ l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER
              / sum(w) OVER (ORDER BY cap / w, n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 f AS (SELECT *, first_value(CASE WHEN level * w < cap THEN level END IGNORE NULLS)
              OVER (ORDER BY cap / w, n ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS final FROM l),
-t AS (SELECT source, source_size, least(cap, coalesce(w * final, cap)) AS target FROM f),
+t AS (SELECT n, source, source_size, least(cap, coalesce(w * final, cap)) AS target FROM f),
 p AS (SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END + 1e-12) AS whole FROM t),
-g AS (SELECT *, greatest(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END - whole, 0) AS pr FROM p),
-j AS (SELECT d.doc_id, d.source, size, source_size, target, whole, pr * source_size AS need,
-             CASE WHEN pr > 0 THEN (u / (1 - u)) / (pr / (1 - pr)) END AS q
-      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
-c AS (SELECT *, need > 0 AND sum(size) OVER (PARTITION BY source ORDER BY q, doc_id ROWS UNBOUNDED PRECEDING) <= need AS taken_in FROM j),
-m AS (SELECT *, need - sum(CASE WHEN taken_in THEN size ELSE 0 END) OVER (PARTITION BY source) AS miss FROM c),
-z AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY taken_in OR NOT (need > 0 AND abs(miss - size) < miss), abs(miss - size), q, doc_id) = 1
+g AS MATERIALIZED (SELECT *, greatest(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END - whole, 0) * source_size AS need FROM p),
+-- Inclusion probabilities least(1, factor / sqrt(size)) whose expected words are the need
+h AS (SELECT g.n, need, size, count(*) AS m FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source WHERE size > 0 AND need > 0 GROUP BY ALL),
+i AS (SELECT n, size, (need - coalesce(sum(m * size) OVER (PARTITION BY n ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+             / sum(m * size * (1 / sqrt(size))) OVER (PARTITION BY n ORDER BY size ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS factor FROM h),
+c AS (SELECT n, arg_min(factor, size) AS factor FROM i WHERE factor * (1 / sqrt(size)) < 1 GROUP BY n),
+q AS (SELECT d.doc_id, g.n, size, u, source_size, target, whole, need, least(1.0::DOUBLE, factor * (1 / sqrt(greatest(size, 1)))) AS pr
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN c ON g.n = c.n),
+k AS MATERIALIZED (SELECT *, (u / (1 - u)) * ((1 - pr) / pr) AS q, row_number() OVER (PARTITION BY n ORDER BY (u / (1 - u)) * ((1 - pr) / pr), doc_id) AS rn FROM q),
+-- Down the order, each document that still fits
+v AS (SELECT n, 0::BIGINT AS rn, need AS room, false AS taken_in FROM g
+      UNION ALL
+      SELECT v.n, k.rn, room - CASE WHEN need > 0 AND size <= room THEN size ELSE 0 END, need > 0 AND size <= room FROM v JOIN k ON v.n = k.n AND k.rn = v.rn + 1),
+e AS (SELECT n, arg_max(room, rn) AS miss FROM v GROUP BY n),
+m AS (SELECT k.*, v.taken_in, miss FROM k JOIN v ON k.n = v.n AND k.rn = v.rn JOIN e ON k.n = e.n),
+z AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY taken_in OR NOT (need > 0 AND abs(miss - size) < miss), abs(miss - size), q, doc_id) = 1
              AND NOT taken_in AND need > 0 AND abs(miss - size) < miss AS closing FROM m)
 SELECT doc_id, size, source_size, round(target, 6) AS target,
        ((whole + CASE WHEN taken_in OR closing THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM z

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerweave.llm import components, exact_dedup, langid, license_scan, mixing, ngram_join, packing, queries, sentence_spans, sketches, suffix_dedup, toxicity
@@ -115,6 +116,21 @@ def test_jaccard_awkward(awkward, empty):
     assert ngram_join.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_repeated_and_null_ids(spark):
+    a, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "ac")
+    near = {"a": a + " end", "c": c + " end"}
+
+    def found(rows):
+        got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), width=4, percent=85)
+        return sorted((r.doc_id or 0, r.component_id, r.n_links) for r in got.collect())
+
+    assert found([(5, a), (7, near["a"]), (5, c)]) == [(5, 5, 0), (5, 5, 1), (7, 5, 1)]
+    assert found([(None, a), (None, a), (9, near["a"])]) == [(0, 9, 2), (0, 9, 2), (9, 9, 2)]
+    # Id 2 has two texts and so joins the others; ids 5 have two texts that are near each other
+    rows = [(1, a), (2, a), (2, c), (3, near["c"]), (5, "x " + a), (5, "y " + a), (6, "")]
+    assert found(rows) == [(1, 1, 3), (2, 1, 1), (2, 1, 3), (3, 1, 1), (5, 1, 3), (5, 1, 3), (6, 6, 0)]
+
+
 def test_components_in_rounds(spark):
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 400, 300), rng.integers(0, 400, 300)
@@ -334,7 +350,12 @@ def mixed_by_brute_force(docs, cuts, seed=7):
     for c in cuts:
         own = [(d, n) for d, n, s in docs if s == c.source]
         u = {d: (int(hashlib.md5(f"{d}:{seed}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for d, _ in own}
-        order = sorted(own, key=lambda x: (u[x[0]] / (1 - u[x[0]]), x[0]))
+        low, high = 0.0, 1e9  # the factor by halving
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(n * min(1, mid / n**0.5) for _, n in own) < c.need else (low, mid)
+        p = {d: min(1, high / n**0.5) for d, n in own}
+        order = sorted(own, key=lambda x: (u[x[0]] / (1 - u[x[0]]) * (1 - p[x[0]]) / p[x[0]], x[0])) if c.need > 0 else own
         left, taken = c.need, set()
         for d, n in order:
             if n <= left and c.need > 0:
@@ -346,6 +367,28 @@ def mixed_by_brute_force(docs, cuts, seed=7):
     return out
 
 
+def test_inclusion_probabilities(spark):
+    sizes = [1, 1, 4, 4, 9, 100, 100, 400, 2500]
+    df = spark.createDataFrame([(n, s) for n in sizes for s in ("a", None)], "size long, source string")
+    for need in (3.5, 100.0, 1500.0, 3000.0):
+        needs = spark.createDataFrame([("a", need), (None, need / 2)], "source string, need double")
+        for r in mixing.inclusion_factor(df, needs).collect():
+            p = [min(1, r.factor / n**0.5) for n in sizes]
+            assert sum(a * n for a, n in zip(p, sizes, strict=True)) == pytest.approx(need if r.source else need / 2)
+
+
+def test_mixed_documents_tell_rows_apart(spark):
+    rows = [(i, "w " * (i + 1), s, 0) for i in range(20) for s in "ab"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int")
+    words = defaultdict(int)
+    for r in mixing.mixed_documents(df).select("source", mixing.word_count(F.col("text")).alias("n")).collect():
+        words[r.source] += r.n
+    want = defaultdict(int)
+    for r in mixing.mix_sources(df).collect():
+        want[r.source] += r.taken
+    assert words == want
+
+
 @pytest.mark.parametrize("seed", [7, 8, 9])
 def test_mixing_goes_on_past_documents_that_do_not_fit(spark, seed):
     sizes = [(i, 5000 if i % 20 == 0 else 100 + i, "ab"[i % 3 == 0]) for i in range(1, 121)]
