@@ -282,17 +282,15 @@ def _scored(model: Model, text_at: int):
                 score = model.score(part.column(text_at), lexicon)
                 rows = batch.slice(at, part.num_rows)
                 at += part.num_rows
-                yield pa.record_batch([*rows.columns, pa.array(score, pa.float64())], names=[*rows.schema.names, "__score"])
+                yield pa.record_batch([*rows.columns, pa.array(score, pa.float64())], names=[*rows.schema.names, "score"])
 
     return run
 
 
-def with_scores(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with a last column ``__score``; its own columns may have any names."""
+def _with_scores(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
+    """The columns of ``docs`` as c0, c1, ... (their own names may clash with anything) and ``score``."""
     named = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    at = docs.columns.index(text_col)
-    scored = named.mapInArrow(_scored(model, at), T.StructType([*named.schema.fields, T.StructField("__score", T.DoubleType())]))
-    return scored.toDF(*docs.columns, "__score")
+    return named.mapInArrow(_scored(model, docs.columns.index(text_col)), T.StructType([*named.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", learn_from: Column | None = None) -> DataFrame:
@@ -307,10 +305,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     model = learn(docs, labels, id_col, text_col, toxic_col, learn_from)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return with_scores(rows, model).select("doc_id", F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    return _with_scores(rows, model, "text").select(F.col("c0").alias("doc_id"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5, **how) -> DataFrame:
     """The rows of ``docs`` that score below ``limit``, with all their columns; cases as in :func:`toxicity`."""
-    scored = with_scores(docs, learn(docs, labels, **how), how.get("text_col", "text"))
-    return scored.filter(F.col("__score") < limit).select(*(f"`{c}`" for c in docs.columns))
+    scored = _with_scores(docs, learn(docs, labels, **how), how.get("text_col", "text"))
+    return scored.filter(F.col("score") < limit).drop("score").toDF(*docs.columns)
