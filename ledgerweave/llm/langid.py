@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerweave.llm.common import id_and_text, slices, text_buffers
@@ -27,8 +27,8 @@ from ledgerweave.llm.wordhash import BLANK, LOWER
 BITS = 15
 SIZE = 1 << BITS
 WIDTH = 16
-#: At most about so many labelled rows train the model (chosen by a hash of the id).
-TRAIN_ROWS = 3000
+#: Labelled rows that train the model, about; those of one language at least; and the most frequent languages that are learned.
+TRAIN_ROWS, LEAST_ROWS, MOST_LANGUAGES = 3000, 200, 500
 EPOCHS = 6
 UNKNOWN = "und"
 #: Share of right answers that accepted texts should reach at least.
@@ -136,12 +136,32 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch["lang"], batch["doc_id"], pa.array(idx, pa.binary()), pa.array(share, pa.binary())], names=["lang", "doc_id", "idx", "share"])
 
 
+def sampled(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[DataFrame, dict[str, int]]:
+    """Rows to learn from, and the rows of each language in all of ``labelled``.
+
+    Each of the ``MOST_LANGUAGES`` most frequent languages gets its share of
+    ``train_rows``, and ``LEAST_ROWS`` at least (all rows, where it has fewer):
+    those whose hash lies under the language's threshold, about a fifth more than
+    wanted, and of them the smallest.  Ids give the hash; where null, texts do.
+    """
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    every = {r["lang"]: r["count"] for r in counts}
+    total = sum(every.values())
+    want = [(lang, w := max(LEAST_ROWS, -(-train_rows * n // total)), min((1 << 63) - 1, int((1 << 63) * min(1.0, 1.2 * w / n)))) for lang, n in every.items()]
+    quota = labelled.sparkSession.createDataFrame(want, "its_lang string, quota long, below long")
+    rows = labelled.withColumn("draw", F.shiftrightunsigned(F.xxhash64(F.lit("langid"), F.coalesce("doc_id", F.xxhash64("text"))), 1))
+    rows = rows.join(F.broadcast(quota), F.col("lang") == F.col("its_lang")).filter((F.col("draw") <= F.col("below")) & (F.length("text") > 0))
+    number = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
+    return rows.withColumn("number", number).filter(F.col("number") <= F.col("quota")).select("doc_id", "lang", "text"), every
+
+
 def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """A model from (doc_id, text, lang), all lang non-null; reads at most about ``train_rows`` rows' texts."""
-    n = labelled.count()
-    share = min(1.0, train_rows / max(n, 1))
-    bucket = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 20))
-    sample = labelled.filter(bucket < F.lit(int(share * (1 << 20)) + (share == 1.0))).filter(F.length("text") > 0)
+    """A model from (doc_id, text, lang), all lang non-null; learns from the texts of :func:`sampled`.
+
+    Where the sample has a language more often than all rows have it, the
+    language's bias is lowered by the logarithm of the ratio.
+    """
+    sample, every = sampled(labelled, train_rows)
     got = sample.select("doc_id", "lang", "text").mapInArrow(_sparse, "lang string, doc_id long, idx binary, share binary").orderBy("doc_id", "lang").collect()
     rows = [(np.frombuffer(r.idx, np.uint16).astype(np.int64), np.frombuffer(r.share, np.float32).astype(np.float64)) for r in got]
     kept = [i for i, r in enumerate(rows) if len(r[0])]
@@ -152,6 +172,8 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     target = np.array([langs.index(x) for x in langs_of])
     held = np.arange(len(rows)) % 5 == 0 if len(rows) >= 50 else np.zeros(len(rows), bool)
     emb, out, bias = train([rows[i] for i in np.flatnonzero(~held)], target[~held], len(langs))
+    ratio = np.array([every[x] for x in langs]) / np.bincount(target, minlength=len(langs))
+    bias = bias + np.log(ratio / ratio.max())
     gram = emb @ out
     temperature, limit = 1.0, 0.0
     if held.any():
