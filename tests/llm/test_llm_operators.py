@@ -419,6 +419,17 @@ def test_language(spark, docs):
     assert np.mean([got[d].lang_pred == truth[d] for d in held]) >= 0.97
 
 
+def test_language_sample(spark):
+    rows = [(i, f"the words of text {i} " * 3, "en") for i in range(3000)] + [(9000 + i, f"die Wörter von Text {i} " * 3, "de") for i in range(3)]
+    rows += [(None, f"les mots du texte {i}", "fr") for i in range(400)] + [(5, "", "it")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample, every = langid.sampled(df, 300)
+    got = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
+    assert every == {"en": 3000, "de": 3, "fr": 400, "it": 1}
+    assert got["de"] == 3 and 200 <= got["en"] <= 300 and 100 <= got["fr"] <= 200 and "it" not in got
+    assert set(langid.fit(df).langs) == {"de", "en", "fr"}
+
+
 def test_language_awkward(awkward, empty):
     got = langid.identify_language(awkward).collect()
     assert len(got) == len(AWKWARD)
@@ -578,6 +589,38 @@ def test_pipeline_stages(spark, sf_dir):
     assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in docs.collect()}
 
 
+def test_pipeline_stages_awkward(spark, sf_dir):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    names = ["doc_id", "text", "source", "lang", "__score", "__gone"]
+    awkward = spark.createDataFrame(AWKWARD, SCHEMA).toDF(*names)
+    empty = spark.createDataFrame([], SCHEMA).toDF(*names)
+    found = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, awkward, sf_dir)
+        assert out.columns == names
+        found[name] = sorted((r.doc_id or 0, r.text) for r in out.collect()) if name != "mixing" else out.collect()
+        none = stage(spark, empty, sf_dir)
+        assert none.columns == names and none.count() == 0
+    # Clean texts stay; of 1, 2 and 5, which are empty, and of 3 and 4 one row stays
+    assert [d for d, _ in found["toxicity"]] == sorted(r[0] or 0 for r in AWKWARD)
+    assert [d for d, _ in found["exact_dedup"]] == [0, 1, 3, 6, 7, 8]
+    # Texts without words are linked with nothing
+    assert [d for d, _ in found["ngram_jaccard_join"]] == [0, 1, 2, 3, 5, 6, 7, 8]
+    assert all(r.doc_id != 8 or r.text == AWKWARD[8][1] for r in found["mixing"])
+    assert corpus_pipeline.STAGES[-1][1](spark, empty, sf_dir).count() == 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, awkward, sf_dir).collect()
+    assert sum(r.piece == 0 for r in packed) == len(AWKWARD)
+
+
+def test_near_copies_without_an_id(spark, sf_dir):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (3, text + " end"), (None, "alone here"), (4, "start " + text), (4, "another text of that id altogether")]
+    out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir)
+    # Rows without an id are one document, linked with 3; the rows of 4 are one document too
+    assert [(r.doc_id, r.text) for r in out.collect()] == [(3, text + " end")]
+
+
 def repeats_by_brute_force(rows, length=100):
     seen, out = set(), {}
     for d, text in sorted(rows):
