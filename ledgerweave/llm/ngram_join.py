@@ -44,7 +44,9 @@ FREQUENT_SHARE, FREQUENT_LEAST = 0.002, 8
 #: The ranks of at most so many of the most frequent shingles are sent to the tasks (the others count as rare).
 FREQUENT_KEPT = 100_000
 #: Shingles in an index block, about.
-BLOCK_SHINGLES = 3_000_000
+BLOCK_SHINGLES = 1_000_000
+#: Stands for a null id, which is the largest.
+NULL_ID = (1 << 63) - 1
 #: One in so many shingles (by hash) is counted over all sets before candidates are sought.
 SAMPLED = 4
 
@@ -57,6 +59,10 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     return [np.unique(every[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
+def _sign(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def needed(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     """Smallest overlap that a set of ``n`` can have with a set it is linked to: ceil(percent n / 100)."""
     return -(-n * percent // 100)
@@ -109,7 +115,7 @@ def _prefixes(width: int, percent: int, frequent: np.ndarray, count: np.ndarray)
                     sample.append(s[mixed < np.uint64((1 << 64) // SAMPLED)].view(np.int64))
                     order = np.lexsort((mixed, rank))
                     prefix.append(s[order[: len(s) - needed(len(s), percent) + 1 if len(s) else 0]].view(np.int64))
-                sign = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                sign = [_sign(s) for s in sets]
                 columns = [part["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(sign, pa.binary()), _lists(prefix), _lists(sample)]
                 yield pa.record_batch(columns, names=["doc_id", "n", "sign", "prefix", "sample"])
 
@@ -170,19 +176,19 @@ def _joined(width: int, percent: int):
     def tile(rows: list[tuple]) -> pa.RecordBatch:
         left = [r for r in rows if r[1] == 0]
         right = [r for r in rows if r[1] == 1]
-        sets = [r[4] for r in left]
+        sets = [r[5] for r in left]
         index = Index(sets)
         ids = np.array([r[2] for r in left], np.int64)
         weight = np.array([r[3] for r in left], np.int64)
         pairs_a, pairs_b = [], []
-        node, links = [], []
+        linked, links = [], []
         if right:  # two blocks: each row of the second is a query against the first
             total = np.zeros(len(left), np.int64)
             for r in right:
-                found = index.search(r[4], percent)
+                found = index.search(r[5], percent)
                 total[found] += r[3]
                 if len(found):
-                    node.append(r[2])
+                    linked.append(r[4])
                     links.append(int(weight[found].sum()))
                     pairs_a.append(np.full(len(found), r[2], np.int64))
                     pairs_b.append(ids[found])
@@ -200,26 +206,31 @@ def _joined(width: int, percent: int):
                 if sum(map(len, pairs_a)) > 500_000:
                     pairs_a, pairs_b = _shrink(pairs_a, pairs_b)
         pairs_a, pairs_b = _shrink(pairs_a, pairs_b)
-        linked = np.flatnonzero(total)
-        node = np.concatenate([np.array(node, np.int64), ids[linked]])
-        links = np.concatenate([np.array(links, np.int64), total[linked]])
+        more = np.flatnonzero(total)
+        linked += [left[i][4] for i in more.tolist()]
+        links += total[more].tolist()
         a, b = (pairs_a[0], pairs_b[0]) if pairs_a else (np.empty(0, np.int64),) * 2
-        none = np.full(len(a), None)
+        none = [None] * len(a)
         return pa.record_batch(
-            [pa.array(np.concatenate([a, node])), pa.array(np.concatenate([b, node])), pa.array([*none.tolist(), *links.tolist()], pa.int64())],
-            names=["a", "b", "links"],
+            [pa.array([*a.tolist(), *[None] * len(links)], pa.int64()), pa.array([*b.tolist(), *[None] * len(links)], pa.int64()), pa.array([*none, *linked], pa.binary()), pa.array([*none, *links], pa.int64())],
+            names=["a", "b", "sign", "links"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        seen: set[tuple] = set()
         for batch in batches:
-            for part in slices(batch, 4):
+            for part in slices(batch, 5):
                 sets = shingle_sets(part["text"], width)
-                for row in zip(*(part[c].to_pylist() for c in ("tile", "side", "doc_id", "weight")), sets, strict=True):
+                for *row, sign, shingles in zip(*(part[c].to_pylist() for c in ("tile", "side", "doc_id", "weight", "sign")), sets, strict=True):
                     if held and held[0][0] != row[0]:
                         yield tile(held)
-                        held = []
-                    held.append(row)
+                        held, seen = [], set()
+                    # Rows that share an id bring every text of it; each class is wanted once
+                    if (row[1], sign) in seen or _sign(shingles) != sign:
+                        continue
+                    seen.add((row[1], sign))
+                    held.append((*row, sign, shingles))
         if held:
             yield tile(held)
 
@@ -242,11 +253,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     * Null or empty text, or one without words: an empty set, linked with nothing.
     * Fewer than ``width`` words: the whole sequence is the one shingle.
     * Rows with equal sets are linked.  Rows that share an id are one node of the
-      graph, and each of them gets its row.  A null id is a node like any other.
+      graph, which has the links of all of them, and each of them gets its row;
+      ``n_links`` counts its own.  A null id is a node like any other, the largest.
+    * Very long texts are read whole, and a task works on few at a time.
     * An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
-    rows = id_and_text(docs, id_col, text_col)
+    rows = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
     frequent = rows.mapInArrow(_frequent(width), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = frequent.orderBy(F.desc("n"), "shingle").limit(FREQUENT_KEPT).collect()
     key = np.array([r.shingle for r in top], np.int64).view(np.uint64)
@@ -254,19 +267,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     count = np.array([r.n for r in top], np.int64)[order]
     signed = written(rows.mapInArrow(_prefixes(width, percent, key[order], count), "doc_id long, n long, sign binary, prefix array<long>, sample array<long>"), "prefixes")
 
-    classes = signed.filter("n > 0 and doc_id is not null").groupBy("sign").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.min("n").alias("n"), F.expr("min_by(struct(prefix, sample), doc_id)").alias("lists"))
-    classes = written(classes.select("sign", "rep", "weight", "n", "lists.*"), "classes")
-    sampled = classes.select("rep", F.explode("sample").alias("shingle")).groupBy("shingle").agg(F.min("rep").alias("rep"), F.count("*").alias("m"))
-    alone = sampled.filter("m = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+    classes = signed.filter("n > 0").groupBy("sign").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.min("n").alias("n"), F.expr("min_by(struct(prefix, sample), doc_id)").alias("lists"))
+    # Where postings are many, a class goes by 64 bits of its sign, as shingles do.
+    classes = written(classes.select("sign", F.xxhash64("sign").alias("node"), "rep", "weight", "n", "lists.*"), "classes")
+    sampled = classes.select("node", F.explode("sample").alias("shingle")).groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("m"))
+    alone = sampled.filter("m = 1").groupBy("node").agg(F.count("*").alias("alone"))
     least = F.ceil(F.col("n") * percent / F.lit(100))
-    open_ = classes.join(alone, "rep", "left").filter(F.coalesce("alone", F.lit(0)) <= F.col("n") - least)
-    open_ = written(open_.select("rep", "weight", "n", "prefix"), "open")
-    postings = open_.select("rep", F.explode("prefix").alias("shingle"))
-    hubs = postings.groupBy("shingle").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).filter("m > 1").select("shingle", "hub")
-    stars = postings.join(hubs, "shingle").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    open_ = classes.join(alone, "node", "left").filter(F.coalesce("alone", F.lit(0)) <= F.col("n") - least)
+    open_ = written(open_.select("node", "sign", "rep", "weight", "n", "prefix"), "open")
+    postings = open_.select("node", F.explode("prefix").alias("shingle"))
+    hubs = postings.groupBy("shingle").agg(F.min("node").alias("hub"), F.count("*").alias("m")).filter("m > 1").select("shingle", "hub")
+    stars = postings.join(hubs, "shingle").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     family = written(connected_components(stars), "families")
 
-    members = written(open_.select("rep", "weight", "n").join(family.withColumnRenamed("node", "rep"), "rep"), "members")
+    members = written(open_.select("node", "sign", "rep", "weight", "n").join(family, "node").drop("node"), "members")
     sizes = written(members.groupBy("component").agg(F.sum("n").alias("shingles")), "sizes")
     large = sizes.filter(F.col("shingles") > block)
     tiled = members.join(sizes, "component")
@@ -275,32 +289,37 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     before = F.sum("s").over(Window.partitionBy("component").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
     steps = steps.select("component", "n", F.floor(F.coalesce(before, F.lit(0)) / block).alias("from_block"), F.ceil((F.coalesce(before, F.lit(0)) + F.col("s")) / block).alias("to_block"))
     cut = tiled.filter(F.col("shingles") > block).join(steps, ["component", "n"])
-    cut = cut.withColumn("at", F.col("from_block") + F.pmod(F.xxhash64("rep"), F.greatest(F.col("to_block") - F.col("from_block"), F.lit(1))))
-    cut = written(cut.select("component", "rep", "weight", "n", "at"), "blocks")
+    cut = cut.withColumn("at", F.col("from_block") + F.pmod(F.xxhash64("sign"), F.greatest(F.col("to_block") - F.col("from_block"), F.lit(1))))
+    cut = written(cut.select("component", "sign", "rep", "weight", "n", "at"), "blocks")
     edge = cut.groupBy("component", "at").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     other = edge.select(F.col("component").alias("c2"), F.col("at").alias("at2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     # Block i meets block j >= i only where their sizes can link.
     meets = edge.join(other, (F.col("component") == F.col("c2")) & (F.col("at2") >= F.col("at")) & (F.col("low2") * percent <= F.col("high") * 100))
     tiles = meets.select("component", "at", "at2")
-    first = cut.join(tiles, ["component", "at"]).select("rep", "weight", F.xxhash64("component", "at", "at2").alias("tile"), F.lit(0).alias("side"))
-    second = cut.withColumnRenamed("at", "at2").join(tiles.filter("at2 > at"), ["component", "at2"]).select("rep", "weight", F.xxhash64("component", "at", "at2").alias("tile"), F.lit(1).alias("side"))
-    whole = tiled.filter(F.col("shingles") <= block).select("rep", "weight", F.xxhash64("component").alias("tile"), F.lit(0).alias("side"))
+    first = cut.join(tiles, ["component", "at"]).select("sign", "rep", "weight", F.xxhash64("component", "at", "at2").alias("tile"), F.lit(0).alias("side"))
+    second = cut.withColumnRenamed("at", "at2").join(tiles.filter("at2 > at"), ["component", "at2"]).select("sign", "rep", "weight", F.xxhash64("component", "at", "at2").alias("tile"), F.lit(1).alias("side"))
+    whole = tiled.filter(F.col("shingles") <= block).select("sign", "rep", "weight", F.xxhash64("component").alias("tile"), F.lit(0).alias("side"))
     placed = whole.unionByName(first).unionByName(second)
 
     placed = written(placed, "placed")
     # Only texts with candidates go to the tasks; their sets are made there.
-    tasks = rows.join(placed.hint("shuffle_hash"), rows["doc_id"] == placed["rep"]).select("tile", "side", "doc_id", "weight", "text")
+    tasks = rows.join(placed.hint("shuffle_hash"), rows["doc_id"] == placed["rep"]).select("tile", "side", "doc_id", "weight", "sign", "text")
     tasks = tasks.repartition(partitions(spark), "tile").sortWithinPartitions("tile", "side", "doc_id")
-    found = written(tasks.mapInArrow(_joined(width, percent), "a long, b long, links long"), "links")
-
-    component = connected_components(found.filter("links is null"))
-    links = found.filter("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    named = classes.select("sign", "rep", "weight").join(written(component, "components").withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left")
+    found = written(tasks.mapInArrow(_joined(width, percent), "a long, b long, sign binary, links long"), "links")
+
+    # An id with several texts joins their classes: edges to each class's smallest id
+    several = signed.filter("n > 0").groupBy("doc_id").agg(F.min("sign").alias("low"), F.max("sign").alias("high")).filter("low <> high")
+    bound = signed.filter("n > 0").join(several.select("doc_id"), "doc_id", "left_semi").join(classes.select("sign", "rep"), "sign").filter("doc_id <> rep")
+    edges = found.filter("links is null").select("a", "b").unionByName(bound.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    component = connected_components(edges)
+    links = found.filter("links is not null").groupBy("sign").agg(F.sum("links").alias("links"))
+    named = classes.select("sign", "rep", "weight").join(written(component, "components").withColumnRenamed("node", "rep"), "rep", "left").join(links, "sign", "left")
     out = signed.select("doc_id", "n", "sign").join(named, "sign", "left")
-    linked = (F.col("n") > 0) & F.col("rep").isNotNull()
+    linked = F.col("n") > 0
+    real = lambda c: F.nullif(c, F.lit(NULL_ID))
     return out.select(
-        "doc_id",
+        real(F.col("doc_id")).alias("doc_id"),
         F.col("n").alias("n_shingles"),
-        F.when(linked, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"),
+        real(F.when(linked, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))).alias("component_id"),
         F.when(linked, F.coalesce("links", F.lit(0)) + F.col("weight") - 1).otherwise(F.lit(0)).cast("long").alias("n_links"),
     )
