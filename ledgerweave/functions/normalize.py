@@ -9,25 +9,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Other names of fields, and of network types.
+# Other names of fields, for every import and for the investigator's.
 ALIASES = {
-    "tx_id": "txid", "tx_hash": "txid", "transaction_id": "txid", "hash": "txid", "source_ip": "src_ip", "destination_ip": "dst_ip", "dest_ip": "dst_ip", "source_port": "src_port",
-    "destination_port": "dst_port", "dest_port": "dst_port", "time": "timestamp", "datetime": "timestamp", "inputs": "input_wallets", "outputs": "output_wallets", "country": "geo_country", "amount_in": "input_amount", "amount_out": "output_amount",
-}
-TYPE_ALIASES = {"TOR": "TOR_EXIT", "TOREXIT": "TOR_EXIT", "TORRELAY": "TOR_RELAY", "DATA_CENTER": "DATACENTER", "DC": "DATACENTER", "HOST": "HOSTING", "CELLULAR": "MOBILE", "EDU": "EDUCATIONAL", "GOV": "GOVERNMENT"}
-TYPES = "VPN PROXY TOR_EXIT TOR_RELAY HOSTING DATACENTER RESIDENTIAL MOBILE EDUCATIONAL GOVERNMENT UNKNOWN".split()
-
-
-def canonical_name(name: str, separators: bool = True) -> str:
-    """Trimmed lower case, blanks and dashes as underscores, and the canonical name of an alias."""
-    name = name.strip().lstrip("﻿").lower()
-    if separators:
-        name = name.replace("-", "_").replace(" ", "_")
-    return ALIASES.get(name, name)
-
-
-def rename_fields(df: DataFrame, separators: bool = True) -> DataFrame:
-    return df.toDF(*(canonical_name(c, separators) for c in df.columns))
+    "time": "timestamp",
+    "time_stamp": "timestamp",
+    "datetime": "timestamp",
+    "tx_id": "txid",
+    "transaction_id": "txid",
+    "source_ip": "src_ip",
+    "sourceip": "src_ip",
+    "destination_ip": "dst_ip",
+    "destinationip": "dst_ip",
+    "source_port": "src_port",
+    "sourceport": "src_port",
+    "destination_port": "dst_port",
+    "destinationport": "dst_port",
+    "fee_btc": "fee",
+    "input_amount_btc": "input_amount",
+    "output_amount_btc": "output_amount",
+}
+INVESTIGATOR_ALIASES = {
+    "input_addresses": "input_wallets",
+    "input_address": "input_wallets",
+    "input_wallet": "input_wallets",
+    "output_addresses": "output_wallets",
+    "output_address": "output_wallets",
+    "output_wallet": "output_wallets",
+    "networktype": "network_type",
+    "network_type_name": "network_type",
+    "provider_name": "provider",
+    "confidence_score": "confidence",
+    "validfrom": "valid_from",
+    "validto": "valid_to",
+    "country": "geo_country",
+}
+# Network types, and other names of them in a feed and in a lookup.
+TYPES = ["VPN", "PROXY", "TOR_EXIT", "TOR_RELAY", "HOSTING", "DATACENTER", "RESIDENTIAL", "MOBILE", "EDUCATIONAL", "GOVERNMENT", "UNKNOWN"]
+FEED_TYPES = {"TOR": "TOR_EXIT", "TOR EXIT": "TOR_EXIT", "TOR RELAY": "TOR_RELAY", "EXIT NODE": "TOR_EXIT", "TOR EXIT NODE": "TOR_EXIT", "DATA CENTER": "DATACENTER", "DATA-CENTER": "DATACENTER"}
+LOOKUP_TYPES = {"TOR": "TOR_EXIT", "TOR EXIT": "TOR_EXIT", "TOR RELAY": "TOR_RELAY", "EXIT": "TOR_EXIT", "DATA CENTER": "DATACENTER"}
+
+
+def canonical_name(name: str, investigator: bool = True) -> str:
+    """Trimmed lower case and the canonical name of an alias; for an investigator's file, blanks and dashes are underscores and more aliases hold."""
+    name = name.lstrip("\ufeff").strip().lower()
+    if not investigator:
+        return ALIASES.get(name, name)
+    name = name.replace("-", "_").replace(" ", "_")
+    return (ALIASES | INVESTIGATOR_ALIASES).get(name, name)
+
+
+def rename_fields(df: DataFrame, investigator: bool = True) -> DataFrame:
+    return df.toDF(*(canonical_name(c, investigator) for c in df.columns))
 
 
 def wallet_list(c: Column, commas: bool = False) -> Column:
@@ -61,11 +93,28 @@ def txid_plain(c: Column) -> Column:
 
 
 def txid_numeric(c: Column, null_policy: str | None = "") -> Column:
-    """Integral numbers in any notation become integer text, everything else stays; null gives ``null_policy``."""
+    """Integral numbers in any notation become integer text, all other text stays; null, blank and ``nan`` give ``null_policy``."""
     text = F.trim(c.cast("string"))
     d = text.try_cast("double")
-    whole = F.when((d == F.floor(d)) & (F.abs(d) < 1e15) & ~text.rlike(r"^0[0-9a-fA-F]"), F.floor(d).cast("string"))
-    return F.coalesce(whole, F.nullif(text, F.lit("")), F.lit(null_policy))
+    whole = F.when((d == F.floor(d)) & (F.abs(d) < 1e15) & text.rlike(_NUMBER), F.floor(d).cast("string"))
+    return F.when(text.isNull() | (text == "") | (F.lower(text) == "nan"), F.lit(null_policy)).otherwise(F.coalesce(whole, text))
+
+
+_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
+def txid_rounded(c: Column) -> Column:
+    """As :func:`txid_numeric`, but other numbers are written with 15 significant digits, and infinite ones are blank."""
+    text = F.trim(c.cast("string"))
+    d = F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    written = F.format_string("%.14e", d)
+    power = F.regexp_extract(written, r"e([+-]\d+)$", 1).try_cast("int")
+    # Without trailing zeros: fixed notation where the power of ten is -4 .. 14, scientific elsewhere
+    plain = F.regexp_replace(F.regexp_replace(written.try_cast("decimal(38,18)").cast("string"), r"0+$", ""), r"\.$", "")
+    fixed = F.when(d.isNotNull(), F.when(power.between(-4, 14), plain).otherwise(F.regexp_replace(written, r"\.?0*e", "e")))
+    infinite = F.lower(text).rlike(r"^[+-]?(inf|infinity|nan)$")
+    whole = F.when((d == F.floor(d)) & (F.abs(d) < 1e15), F.floor(d).cast("string"))
+    return F.when(text.isNull() | (text == "") | infinite, "").otherwise(F.coalesce(whole, fixed, text))
 
 
 def address(c: Column) -> Column:
@@ -88,6 +137,12 @@ def asn(c: Column) -> Column:
     return F.when(F.upper(F.trim(c.cast("string"))).rlike(r"^(AS)?\d+$"), F.regexp_extract(c.cast("string"), r"(\d+)", 1).try_cast("long"))
 
 
+def asn_name(c: Column) -> Column:
+    """``AS`` and digits, or null."""
+    digits = F.regexp_extract(F.upper(F.trim(c.cast("string"))), r"^(?:AS)?(\d+)$", 1)
+    return F.when(F.length(digits) > 0, F.concat(F.lit("AS"), digits))
+
+
 def timestamp(c: Column) -> Column:
     return F.try_to_timestamp(c.cast("string"))
 
@@ -99,11 +154,16 @@ def confidence(c: Column) -> Column:
     return F.when(d.between(0, 1), d)
 
 
-def network_type(c: Column) -> Column:
-    """One of the known types, by alias if need be; null for anything else."""
-    name = F.regexp_replace(F.upper(F.trim(c)), "[- ]", "_")
-    known = F.create_map(*(F.lit(x) for pair in ({t: t for t in TYPES} | TYPE_ALIASES).items() for x in pair))
-    return F.try_element_at(known, name)
+def network_type(c: Column, feed: bool = True) -> Column:
+    """One of the known types, by alias if need be; blank is UNKNOWN, and null stands for anything else."""
+    name = F.upper(F.trim(c))
+    known = F.create_map(*(F.lit(x) for pair in ({t: t for t in TYPES} | (FEED_TYPES if feed else LOOKUP_TYPES)).items() for x in pair))
+    return F.when(name.isNull() | (name == ""), "UNKNOWN").otherwise(F.try_element_at(known, name))
+
+
+def wallets_valid(c: Column) -> Column:
+    """Whether a list has no null and no blank element; an empty list has none."""
+    return c.isNotNull() & F.coalesce(F.forall(c, lambda w: F.coalesce(F.length(F.trim(w)) > 0, F.lit(False))), F.lit(False))
 
 
 def ipv4(c: Column) -> Column:

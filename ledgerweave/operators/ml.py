@@ -13,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerweave.operators.ordering import value_counts
+
 
 def step_split(steps: DataFrame, train: float = 0.6, validation: float = 0.8) -> DataFrame:
     """time_step, n, part: distinct steps in order, cut at whole steps so that no step is in two parts."""
@@ -87,18 +89,15 @@ def ranking_metrics(df: DataFrame, score: str, positive: str, ks: tuple[int, ...
 
 def roc_auc(df: DataFrame, score: str, positive: str) -> DataFrame:
     """Area under the ROC curve from average ranks of distinct scores: counts by score, then one small window."""
-    n = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(positive).cast("int")).alias("p"), F.count("*").alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = n.select("p", "c", (before + (F.col("c") + 1) / 2).alias("rank"))
+    counts = value_counts(df, score, p=F.sum(F.col(positive).cast("int")))
+    ranked = counts.select("p", "c", (F.col("upto") - F.col("c") + (F.col("c") + 1) / 2).alias("rank"))
     sums = ranked.agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").alias("p"), F.sum(F.col("c") - F.col("p")).alias("n"))
     return sums.select(F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("n")).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, score: str, positive: str) -> DataFrame:
     """Area under the precision-recall curve as the sum of precision times gained recall over distinct scores."""
-    n = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(positive).cast("int")).alias("p"), F.count("*").alias("c"))
-    down = Window.orderBy(F.desc("s"))
-    cum = n.select("p", F.sum("p").over(down).alias("tp"), F.sum("c").over(down).alias("k"))
+    cum = value_counts(df, score, descending=True, p=F.sum(F.col(positive).cast("int"))).select("p", F.col("p_upto").alias("tp"), F.col("upto").alias("k"))
     return cum.agg(F.try_divide(F.sum(F.col("p") * F.col("tp") / F.col("k")), F.sum("p")).alias("pr_auc"))
 
 
@@ -184,3 +183,12 @@ def linear_contributions(df: DataFrame, weights: dict[str, float], key: str, k:
     """The ``k`` features of each row with the largest absolute weight times value, exactly, without Python."""
     each = F.array(*(F.struct((-F.abs(F.col(c) * w)).alias("order"), F.lit(c).alias("feature"), (F.col(c) * w).alias("contribution")) for c, w in weights.items()))
     return df.select(key, F.transform(F.slice(F.array_sort(F.filter(each, lambda e: e["contribution"].isNotNull())), 1, k), lambda e: F.struct(e["feature"].alias("feature"), e["contribution"].alias("contribution"))).alias("top"))
+
+
+def model_contributions(model: PipelineModel, df: DataFrame, columns: list[str], key: str, k: int = 10, label: int = 0) -> DataFrame:
+    """As :func:`linear_contributions`, by a fitted logistic model's coefficients for one class, over its scaled features."""
+    names = [*columns, *(f"{c}_missing" for c in columns)]
+    weights = model.stages[-1].coefficientMatrix.toArray()[label].tolist()
+    scaled = model.transform(with_indicators(df, columns).withColumn("weight", F.lit(1.0))).select(key, vector_to_array("features").alias("x"))
+    rows = scaled.select(key, *(F.get("x", F.lit(i)).alias(name) for i, name in enumerate(names)))
+    return linear_contributions(rows, dict(zip(names, weights, strict=True)), key, k)

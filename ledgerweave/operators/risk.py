@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerweave.operators.ordering import percentiles, running_sums, value_counts
+
 # Channel weights, agreement bonus by number of channels, bands.
 WEIGHTS = {"ml": 0.15, "anomaly": 0.20, "behavioral": 0.30, "entity": 0.20, "network": 0.15}
 BONUS = (0.00, 0.00, 0.02, 0.04, 0.06, 0.08)
 BANDS = ((80.0, "VERY_HIGH"), (60.0, "HIGH"), (40.0, "MODERATE"), (20.0, "GUARDED"))
 TOP_ALERTS = 1000
-#: Ranges of the global order that are ranked side by side.
-RANK_RANGES = 64
 
 
 def clamp01(c: Column) -> Column:
@@ -38,12 +38,23 @@ def percentile_signal(df: DataFrame, columns: list[str], low: float = 0.01, high
     return out.drop(*(f"__{c}" for c in columns))
 
 
+def entity_signal(sides: DataFrame, components: dict[str, str]) -> DataFrame:
+    """txid, the components and their mean, each component the mean of its input and output side.
+
+    The first component is the repeated ratio, which is a share; the others are
+    counts, scaled by :func:`percentile_signal` (they have few distinct values).
+    """
+    scaled = percentile_signal(sides, [f"{side}_{c}" for c in components.values() for side in ("input", "output")])
+    both = {"entity_repeated_signal": (bounded_unit_interval(F.col("input_repeated_ratio")) + bounded_unit_interval(F.col("output_repeated_ratio"))) / 2}
+    both |= {f"entity_{name}_signal": (F.col(f"input_{c}_signal") + F.col(f"output_{c}_signal")) / 2 for name, c in components.items()}
+    mean = sum((both[k] for k in list(both)[1:]), next(iter(both.values()))) / len(both)
+    seen = F.col("input_repeated_addresses") + F.col("output_repeated_addresses") > 0
+    return scaled.select("txid", *(c.alias(k) for k, c in both.items()), clamp01(mean).alias("entity_signal"), seen.alias("entity_available"))
+
+
 def average_percent_rank(df: DataFrame, column: str, name: str) -> DataFrame:
     """Rank over n with average ties.  Ranks are made on the distinct values' counts and joined back."""
-    n = df.groupBy(column).agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1))
-    total = F.sum("__n").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    ranks = n.select(column, ((F.coalesce(before, F.lit(0)) + (F.col("__n") + 1) / 2) / total).alias(name))
+    ranks = value_counts(df, column).select(F.col("v").alias(column), ((F.col("upto") - F.col("c") + (F.col("c") + 1) / 2) / F.col("total")).alias(name))
     return df.join(ranks, column)
 
 
@@ -83,27 +94,17 @@ def explanation(df: DataFrame) -> DataFrame:
 def ranked_alerts(df: DataFrame, top: int = TOP_ALERTS) -> DataFrame:
     """Total order over eight keys, as contiguous ranks, ranks among active alerts, and the top queue.
 
-    The order is made of ranges: rows are range-partitioned on the keys, numbered
-    within their range, and each range starts after the rows of those before it
-    (one row a range).  No task sees the whole table.
+    Rows are range-partitioned on all keys (:func:`ordering.running_sums`), so
+    neither a range nor a tied score meets whole in one task by size of the table.
     """
     down = ["risk_score", "effective_evidence_channel_count", "behavioral_signal", "entity_signal", "anomaly_signal", "network_signal"]
     keys = [F.col(c).desc() for c in down] + [F.col("time_step").asc(), F.col("txid").cast("string").asc()]
     out = df.withColumn("alert_priority", band(F.col("risk_score")))
     out = out.withColumn("alert_status", status(F.col("alert_priority")))
-    # Ranges by score alone: quantiles of one column, one small row.
-    cuts = out.agg(F.percentile_approx("risk_score", F.array(*(F.lit(i / RANK_RANGES) for i in range(1, RANK_RANGES))), F.lit(10000)).alias("__cuts"))
-    out = out.crossJoin(F.broadcast(cuts)).withColumn("__range", F.size(F.filter("__cuts", lambda c: c > F.col("risk_score")))).drop("__cuts")
-    active = (F.col("alert_status") == "ACTIVE").cast("long")
-    sizes = out.groupBy("__range").agg(F.count("*").alias("n"), F.sum(active).alias("a"))
-    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("__range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__start"), F.coalesce(F.sum("a").over(earlier), F.lit(0)).alias("__active_start"))
-    within = Window.partitionBy("__range").orderBy(*keys)
-    out = out.join(starts, "__range")
-    out = out.withColumn("investigation_rank", F.col("__start") + F.row_number().over(within))
-    running = F.sum(active).over(within.rowsBetween(Window.unboundedPreceding, 0))
-    out = out.withColumn("active_alert_rank", F.when(F.col("alert_status") == "ACTIVE", F.col("__active_start") + running))
-    return out.withColumn("top_alert_queue", F.coalesce(F.col("active_alert_rank") <= top, F.lit(False))).drop("__range", "__start", "__active_start")
+    active = F.col("alert_status") == "ACTIVE"
+    out = running_sums(out, keys, investigation_rank=F.lit(1).cast("long"), active_alert_rank=active.cast("long"))
+    out = out.withColumn("active_alert_rank", F.when(active, F.col("active_alert_rank")))
+    return out.withColumn("top_alert_queue", F.coalesce(F.col("active_alert_rank") <= top, F.lit(False)))
 
 
 def page(alerts: DataFrame, number: int, size: int) -> DataFrame:
@@ -135,12 +136,14 @@ def top_risk(alerts: DataFrame, k: int) -> DataFrame:
 def summary(alerts: DataFrame) -> DataFrame:
     """Global figures in one row."""
     r = F.col("risk_score")
-    return alerts.agg(
-        F.count("*").alias("n"), F.round(F.avg(r), 4).alias("mean_risk"), F.round(F.percentile(r, F.lit(0.5)), 4).alias("median_risk"), F.round(F.min(r), 4).alias("min_risk"), F.round(F.max(r), 4).alias("max_risk"),
+    median = percentiles(alerts, "risk_score", {"m": 0.5}).select(F.round("m", 4).alias("median_risk"))
+    figures = alerts.agg(
+        F.count("*").alias("n"), F.round(F.avg(r), 4).alias("mean_risk"), F.round(F.min(r), 4).alias("min_risk"), F.round(F.max(r), 4).alias("max_risk"),
         *(F.count_if(F.col("alert_priority") == p).alias(f"n_{p.lower()}") for p in ("VERY_HIGH", "HIGH", "MODERATE", "GUARDED", "LOW")),
         *(F.round(F.avg(f"{c}_signal"), 4).alias(f"mean_{c}") for c in WEIGHTS),
         F.round(F.avg(F.when(F.col("top_alert_queue"), r)), 4).alias("top_queue_mean"),
     )
+    return figures.crossJoin(median)  # one row each
 
 
 def by_step(alerts: DataFrame, first: int = 1, last: int = 49) -> DataFrame:
@@ -156,9 +159,7 @@ def by_step(alerts: DataFrame, first: int = 1, last: int = 49) -> DataFrame:
 
 def concentration(df: DataFrame, column: str) -> DataFrame:
     """Mean and sum over the top 0.1, 1 and 5 per cent of rows (rounded up), by value counts."""
-    n = df.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
-    order = Window.orderBy(F.desc("v"))
-    cum = n.select("v", "c", F.sum("c").over(order).alias("upto"), F.sum("c").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
+    cum = value_counts(df, column, descending=True)
     parts = []
     for name, share in (("top_0_1", 0.001), ("top_1", 0.01), ("top_5", 0.05)):
         k = F.ceil(F.round(F.col("total") * share, 9))

@@ -11,10 +11,10 @@ from ledgerweave.functions import normalize as n
 
 # Fields that each kind of record must have.
 REQUIRED = {
-    "COMBINED": "timestamp src_ip dst_ip src_port dst_port txid input_wallets output_wallets input_amount output_amount fee script_type geo_country asn".split(),
-    "BLOCKCHAIN_TRANSACTION": "txid timestamp input_wallets output_wallets input_amount output_amount fee".split(),
-    "NETWORK_OBSERVATION": "timestamp src_ip src_port dst_ip dst_port txid".split(),
-    "IP_INTELLIGENCE": "ip network_type confidence".split(),
+    "COMBINED": ["timestamp", "src_ip", "dst_ip", "src_port", "dst_port", "txid", "input_wallets", "output_wallets", "input_amount", "output_amount", "fee", "script_type", "geo_country", "asn"],
+    "BLOCKCHAIN_TRANSACTION": ["txid", "timestamp", "input_wallets", "output_wallets", "input_amount", "output_amount", "fee"],
+    "NETWORK_OBSERVATION": ["timestamp", "src_ip", "src_port", "dst_ip", "dst_port", "txid"],
+    "IP_INTELLIGENCE": ["ip", "network_type", "confidence"],
 }
 AMOUNTS, PORTS, IPS, TIMES, LISTS = ("input_amount", "output_amount", "fee"), ("src_port", "dst_port"), ("src_ip", "dst_ip", "ip"), ("timestamp", "valid_from", "valid_to"), ("input_wallets", "output_wallets")
 
@@ -25,6 +25,8 @@ _RULES: dict[str, Callable[[Column], Column]] = {
     **{f: lambda c: n.timestamp(c).isNotNull() for f in TIMES},
     "confidence": lambda c: n.confidence(c).isNotNull(),
     "network_type": lambda c: n.network_type(c).isNotNull(),
+    # A JSON list must hold no null and no blank; other notations cannot
+    **{f: lambda c: ~F.trim(c).startswith("[") | n.wallets_valid(F.from_json(c, "array<string>")) for f in LISTS},
 }
 
 
@@ -62,9 +64,10 @@ def event_id(columns: list[str], length: int = 24) -> Column:
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """One row that does not depend on row order: count, sum and xor of row hashes."""
-    h = F.xxhash64(*sorted(df.columns))
-    return df.agg(F.count("*").alias("n"), F.bit_xor(h).alias("xor"), F.sum((h % 1_000_003).cast("long")).alias("sum"))
+    """One row that does not depend on row order: the count, and sum and xor of the first 52 bits of SHA-256 of each row (fields in name order, ``|`` between)."""
+    row = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(df.columns)))
+    h = F.conv(F.substring(F.sha2(row, 256), 1, 13), 16, 10).cast("long")
+    return df.agg(F.count("*").alias("n"), F.bit_xor(h).alias("xor"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("sum"))
 
 
 def checks(df: DataFrame, conditions: dict[str, Column], keys: list[str] | None = None) -> DataFrame:

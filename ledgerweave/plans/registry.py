@@ -160,70 +160,84 @@ def a5(spark, sf):
     return entity.cospend_degree(_pairs(spark, sf))
 
 
-def _cluster_ctes(least: int) -> list[str]:
-    return [
-        f"link AS (SELECT a, b FROM pairs WHERE shared_count >= {least} UNION SELECT b, a FROM pairs WHERE shared_count >= {least})",
-        "reach(node, r) AS (SELECT a, a FROM link UNION SELECT link.b, reach.r FROM reach JOIN link ON reach.node = link.a)",
-        "comp AS (SELECT node, min(r) AS component FROM reach GROUP BY node)",
-        "clus AS (SELECT address, coalesce(component, address) AS cluster FROM addr LEFT JOIN comp ON address = node)",
-        "clusn AS (SELECT *, count(*) OVER (PARTITION BY cluster) AS cluster_size FROM clus)",
-    ]
+def _cluster_ctes(*thresholds: int) -> list[str]:
+    """Least labels handed on along links until none changes, for the addresses of both sides."""
+    out = ["bothaddr AS (SELECT address FROM ins UNION SELECT address FROM outs)"]
+    for k in thresholds:
+        out += [
+            f"link{k} AS (SELECT a, b FROM pairs WHERE shared_count >= {k} UNION ALL SELECT b, a FROM pairs WHERE shared_count >= {k})",
+            f"comp{k}(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM link{k} UNION SELECT l.b, min(c.component) FROM comp{k} c JOIN link{k} l ON c.node = l.a JOIN recurring.comp{k} r ON r.node = l.b WHERE c.component < r.component GROUP BY l.b)",
+            f"clus{k} AS (SELECT address, coalesce(component, address) AS cluster FROM addr LEFT JOIN comp{k} ON address = node)",
+            f"clusn{k} AS (SELECT *, count(*) OVER (PARTITION BY cluster) AS cluster_size FROM clus{k})",
+            f"bothn{k} AS (SELECT *, count(*) OVER (PARTITION BY cluster) AS cluster_size FROM (SELECT address, coalesce(component, address) AS cluster FROM bothaddr LEFT JOIN comp{k} ON address = node))",
+        ]
+    return out
 
 
 def _clusters(spark, sf, least):
     return entity.cospend_clusters(_pairs(spark, sf), d.tx_inputs(spark, sf).select("address").distinct(), least)
 
 
-@query("g2_cospend_clusters_3", "SELECT address, cluster, cluster_size, round(ln(1 + cluster_size), 6) AS log_size FROM clusn", *_cluster_ctes(3))
-def g2(spark, sf):
-    return _clusters(spark, sf, 3)
-
-
-@query("a8_cluster_report_3", "SELECT count(*) AS components, count(*) FILTER (WHERE n = 1) AS singletons, max(n) AS largest, coalesce(sum(n) FILTER (WHERE n > 1), 0)::BIGINT AS non_singleton_addresses FROM (SELECT cluster, count(*) AS n FROM clus GROUP BY cluster)", *_cluster_ctes(3))
-def a8(spark, sf):
-    return entity.cluster_report(_clusters(spark, sf, 3))
-
-
-@query("j6_entity_evidence", "SELECT addr.address, coalesce(repeated_degree, 0) AS repeated_degree, coalesce(max_shared_count, 0) AS max_shared_count, cluster_size FROM addr LEFT JOIN degree ON addr.address = degree.address JOIN clusn ON addr.address = clusn.address", DEGREE, *_cluster_ctes(3))
-def j6(spark, sf):
-    addresses = d.tx_inputs(spark, sf).select("address").distinct()
-    return entity.entity_evidence(addresses, entity.cospend_degree(_pairs(spark, sf)), _clusters(spark, sf, 3))
-
-
 def _at_threshold(least: int) -> None:
-    """The same at a lower threshold; the recursive SQL is too slow for its larger components, so tests use brute force."""
+    ctes = _cluster_ctes(least)
 
-    @query(f"g2_cospend_clusters_{least}")
+    @query(f"g2_cospend_clusters_{least}", f"SELECT address, cluster, cluster_size, round(ln(1 + cluster_size), 6) AS log_size FROM clusn{least}", *ctes)
     def clusters(spark, sf):
         return _clusters(spark, sf, least)
 
-    @query(f"a8_cluster_report_{least}")
+    @query(f"a8_cluster_report_{least}", f"SELECT count(*) AS components, count(*) FILTER (WHERE n = 1) AS singletons, max(n) AS largest, coalesce(sum(n) FILTER (WHERE n > 1), 0)::BIGINT AS non_singleton_addresses FROM (SELECT cluster, count(*) AS n FROM clus{least} GROUP BY cluster)", *ctes)
     def report(spark, sf):
         return entity.cluster_report(_clusters(spark, sf, least))
 
-    @query(f"j6_entity_evidence_{least}")
+    name = "j6_entity_evidence" if least == 3 else f"j6_entity_evidence_{least}"
+
+    @query(name, f"SELECT addr.address, coalesce(repeated_degree, 0) AS repeated_degree, coalesce(max_shared_count, 0) AS max_shared_count, cluster_size FROM addr LEFT JOIN degree ON addr.address = degree.address JOIN clusn{least} c ON addr.address = c.address", DEGREE, *ctes)
     def evidence(spark, sf):
         addresses = d.tx_inputs(spark, sf).select("address").distinct()
         return entity.entity_evidence(addresses, entity.cospend_degree(_pairs(spark, sf)), _clusters(spark, sf, least))
 
 
-_at_threshold(1)
-_at_threshold(2)
+for _least in (1, 2, 3):
+    _at_threshold(_least)
+
 
+G1 = [
+    "glink AS (SELECT source AS a, target AS b FROM edges WHERE source <> target UNION SELECT target, source FROM edges WHERE source <> target)",
+    "gnode AS (SELECT source AS address FROM edges UNION SELECT target FROM edges)",
+    "gcomp(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM glink UNION SELECT l.b, min(c.component) FROM gcomp c JOIN glink l ON c.node = l.a JOIN recurring.gcomp r ON r.node = l.b WHERE c.component < r.component GROUP BY l.b)",
+    "groot AS (SELECT address, coalesce(component, address) AS root FROM gnode LEFT JOIN gcomp ON address = node)",
+    "gnum AS (SELECT address, dense_rank() OVER (ORDER BY root) AS cluster_id FROM groot)",
+    "gdeg AS (SELECT n.address, (SELECT count(DISTINCT target) FROM edges e WHERE e.source = n.address AND e.target <> n.address) AS o, (SELECT count(DISTINCT source) FROM edges e WHERE e.target = n.address AND e.source <> n.address) AS i FROM gnode n)",
+]
 
-@query("g1_a7_entity_clusters")
+
+@query("g1_a7_entity_clusters", "SELECT cluster_id, count(*) AS cluster_size, sum(o)::BIGINT AS out_degree_sum, sum(i)::BIGINT AS in_degree_sum, max(o + i) AS total_degree_max, (count(*) = 1)::INT AS is_singleton, round(ln(1 + count(*)), 6) AS log_cluster_size FROM gnum JOIN gdeg USING (address) GROUP BY cluster_id", *G1)
 def g1(spark, sf):
     nodes = entity.address_nodes(_edges(spark, sf))
     return entity.cluster_summary(entity.entity_clusters(nodes, _edges(spark, sf)), nodes)
 
 
-ENT = ["ent AS (SELECT addr.address, coalesce(repeated_degree, 0) AS repeated_degree, coalesce(max_shared_count, 0) AS max_shared_count, 1 AS cluster_size FROM addr LEFT JOIN degree ON addr.address = degree.address)"]
+def _side_sql(side: str, members: str) -> str:
+    """A side's evidence: entB rolled up to the transaction."""
+    per = ", ".join(f"count(DISTINCT c{k}) AS d{k}, max(s{k}) AS s{k}" for k in (1, 2, 3))
+    return (
+        f"{side} AS (SELECT s.txid, coalesce(rep, 0) AS {side}_repeated_addresses, round(coalesce(rep / n, 0), 6) AS {side}_repeated_ratio, coalesce(deg, 0) AS {side}_repeated_degree_max, coalesce(shared, 0) AS {side}_shared_count_max, "
+        + ", ".join(f"coalesce(d{k}, 0) AS {side}_distinct_clusters_t{k}, coalesce(s{k}, 0) AS {side}_cluster_size_max_t{k}" for k in (1, 2, 3))
+        + f" FROM steps s LEFT JOIN (SELECT txid, count(*) AS n, count(*) FILTER (WHERE repeated_degree > 0) AS rep, max(repeated_degree) AS deg, max(max_shared_count) AS shared, {per} FROM {members} m LEFT JOIN entb ON m.address = entb.address GROUP BY txid) q ON s.txid = q.txid)"
+    )
 
 
-@query("j7_transaction_entity_evidence", """SELECT s.txid, coalesce(rep, 0) AS input_repeated_addresses, round(coalesce(rep / n, 0), 6) AS input_repeated_ratio, coalesce(deg, 0) AS input_repeated_degree_max, coalesce(shared, 0) AS input_shared_count_max, coalesce(sz, 1) AS input_cluster_size_max
-  FROM steps s LEFT JOIN (SELECT txid, count(*) AS n, count(*) FILTER (WHERE repeated_degree > 0) AS rep, max(repeated_degree) AS deg, max(max_shared_count) AS shared, max(cluster_size) AS sz FROM ins LEFT JOIN ent ON ins.address = ent.address GROUP BY txid) q ON s.txid = q.txid""", DEGREE, *ENT)
-def j7(spark, sf):
-    """Both sides with clusters at thresholds 1, 2 and 3.  The SQL has the input side alone and clusters of one."""
+ENT = [
+    *_cluster_ctes(1, 2, 3),
+    "entb AS (SELECT b.address, coalesce(repeated_degree, 0) AS repeated_degree, coalesce(max_shared_count, 0) AS max_shared_count, x1.cluster AS c1, x1.cluster_size AS s1, x2.cluster AS c2, x2.cluster_size AS s2, x3.cluster AS c3, x3.cluster_size AS s3 "
+    "FROM bothaddr b LEFT JOIN degree ON b.address = degree.address JOIN bothn1 x1 ON b.address = x1.address JOIN bothn2 x2 ON b.address = x2.address JOIN bothn3 x3 ON b.address = x3.address)",
+    _side_sql("input", "ins"),
+    _side_sql("output", "outs"),
+]
+
+
+def entity_sides(spark, sf) -> DataFrame:
+    """Both sides' evidence with clusters at thresholds 1, 2 and 3."""
     inputs, outputs, steps = d.tx_inputs(spark, sf), d.tx_outputs(spark, sf), d.steps(spark, sf)
     addresses = inputs.union(outputs).select("address").distinct()
     pairs = _pairs(spark, sf).checkpoint()
@@ -233,6 +247,11 @@ def j7(spark, sf):
     return of_inputs.join(of_outputs, "txid")
 
 
+@query("j7_transaction_entity_evidence", "SELECT * FROM input JOIN output USING (txid)", DEGREE, *ENT)
+def j7(spark, sf):
+    return entity_sides(spark, sf)
+
+
 def _shifted(df: DataFrame) -> DataFrame:
     """Spans are whole microseconds, so their fourth decimal is often a tie; both engines round it up."""
     return df.withColumn("span_seconds", F.col("span_seconds") + 1e-7)
@@ -331,7 +350,7 @@ def w10(spark, sf):
     return behavior.predecessor_summary(_pred(spark, sf)).withColumn("best_reduction", F.round(F.col("best_reduction") + 1e-9, 4))
 
 
-def _peeling(spark, sf):
+def peeling(spark, sf):
     steps, pairs = d.steps(spark, sf), _pred(spark, sf)
     metrics = behavior.chain_metrics(behavior.longest_chains(steps, pairs), _values(spark, sf), steps)
     return behavior.peeling(steps, behavior.predecessor_summary(pairs), metrics)
@@ -344,9 +363,9 @@ def g7(spark, sf):
 
 @query("g8_f7_peeling")
 def g8(spark, sf):
-    return _peeling(spark, sf)
+    return peeling(spark, sf)
 
 
 @query("j9_f10_behavioral_evidence")
 def j9(spark, sf):
-    return behavior.behavioral_evidence(_peeling(spark, sf), mixing(spark, sf))
+    return behavior.behavioral_evidence(peeling(spark, sf), mixing(spark, sf))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ledgerweave import domain as d
 from ledgerweave.functions import normalize as n
 from ledgerweave.operators import behavior, features, ml, network, risk, temporal_graph, validate
+from ledgerweave.operators.ordering import percentiles
 from ledgerweave.plans.registry import INTEL, query, rounded
-from ledgerweave.plans.registry_risk import RISK, fused
+from ledgerweave.plans.registry_risk import RISK, gates, given_channels
 
 RAW = """rawtext AS (SELECT o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN o_orderkey || '.0' WHEN 1 THEN ' ' || o_orderkey || ' ' WHEN 2 THEN 'tx' || o_orderkey WHEN 3 THEN '' ELSE NULL END AS txid,
   CASE o_orderkey % 4 WHEN 0 THEN '["W1", " W2 "]' WHEN 1 THEN 'W1|W' || o_custkey || '|' WHEN 2 THEN 'W1;W2' ELSE 'W9' END AS wallets,
@@ -89,12 +90,12 @@ def g6(spark, sf):
 ENRICHED = """enr AS (SELECT f.*, greatest(f.network_signal, CASE WHEN i.sc > 0 THEN i.sc ELSE 0 END) AS net, f.network_available OR coalesce(i.sc > 0, false) AS neta FROM fused f LEFT JOIN (SELECT txid, greatest(vpn_evidence, proxy_evidence, tor_evidence, hosting_evidence) AS sc FROM intel) i ON f.txid = i.txid)"""
 
 
-@query("f18_j16_enriched_risk", """SELECT txid, round(net, 4) AS network_signal, round(greatest(0, least(100, (.15 * ml_signal + .2 * anomaly_signal + .3 * behavioral_signal + .2 * entity_signal + .15 * net)
-  * (1 + [0, 0, .02, .04, .06, .08][ml_available::INT + anomaly_available::INT + behavioral_available::INT + entity_available::INT + neta::INT + 1]) * 100)) + 1e-7, 4) AS risk_score FROM enr""", *RISK, INTEL, ENRICHED)
+@query("f18_j16_enriched_risk", """SELECT txid, round(net, 4) AS network_signal, round(round(greatest(0, least(100, (.15 * ml_signal + .2 * anomaly_signal + .3 * behavioral_signal + .2 * entity_signal + .15 * net)
+  * (1 + [0, 0, .02, .04, .06, .08][ml_available::INT + anomaly_available::INT + behavioral_available::INT + entity_available::INT + neta::INT + 1]) * 100)), 6) + 1e-7, 4) AS risk_score FROM enr""", *RISK, INTEL, ENRICHED)
 def f18(spark, sf):
     intel = network.transaction_intelligence(network.classified_observations(d.observations(spark, sf), d.feed(spark, sf)))
     intel = intel.select("txid", "network_intelligence_evidence_score", "network_intelligence_available")
-    both = fused(spark, sf).join(intel, "txid", "left")
+    both = given_channels(spark, sf).join(intel, "txid", "left")
     found = F.coalesce("network_intelligence_available", F.lit(False))
     both = both.withColumn("network_signal", F.when(found, F.greatest("network_signal", "network_intelligence_evidence_score")).otherwise(F.col("network_signal"))).withColumn("network_available", F.col("network_available") | found)
     return risk.scores(both).select("txid", F.round("network_signal", 4).alias("network_signal"), F.round(F.col("risk_score") + 1e-7, 4).alias("risk_score"))
@@ -117,6 +118,21 @@ def _predicted(spark, sf, model: str) -> DataFrame:
     return ml.predict(fitted, data.filter("part = 'test'"), FEATURES)
 
 
+def batch_scores(spark, sf) -> DataFrame:
+    """txid, ml_signal (a forest's probability of the first class, learned from the train steps) and anomaly_signal (average
+    percentile rank of the isolation forest's score, grown on the train steps)."""
+    data = dataset(spark, sf).checkpoint()
+    train = data.filter("part = 'train'")
+    p = ml.predict(ml.train(train, FEATURES, "forest"), data, FEATURES).select("txid", F.get("probabilities", F.lit(0)).alias("ml_signal"))
+    strange = ml.isolation_scores(data, "txid", FEATURES, train).checkpoint()
+    return p.join(risk.average_percent_rank(strange, "anomaly_score", "anomaly_signal").select("txid", "anomaly_signal"), "txid")
+
+
+@query("m5_m6_batch_scores")
+def m5(spark, sf):
+    return rounded(batch_scores(spark, sf), 6)
+
+
 @query("m7_m11_logistic_metrics")
 def m7(spark, sf):
     return rounded(ml.classification_metrics(_predicted(spark, sf, "logistic")))
@@ -150,12 +166,15 @@ def m19(spark, sf):
 
 @query("m15_contributions")
 def m15(spark, sf):
-    return ml.linear_contributions(dataset(spark, sf), {"log_total_btc": 0.4, "log_fee_btc": -0.2, "address_imbalance": 0.1}, "txid", 2)
+    """Contributions to the first class under the fitted logistic model, of the scaled and imputed features."""
+    data = dataset(spark, sf).checkpoint()
+    model = ml.train(data.filter("part = 'train'"), FEATURES, "logistic")
+    return ml.model_contributions(model, data.filter("part = 'test'"), FEATURES, "txid", 2)
 
 
 @query("a24_score_percentiles", "SELECT " + ", ".join(f"round(quantile_cont(total_btc, {p / 100}), 4) AS p{p}" for p in (1, 5, 25, 50, 75, 95, 99)) + " FROM tx")
 def a24(spark, sf):
-    return rounded(d.canonical(spark, sf).agg(*(F.percentile("total_btc", F.lit(p / 100)).alias(f"p{p}") for p in (1, 5, 25, 50, 75, 95, 99))))
+    return rounded(percentiles(d.canonical(spark, sf), "total_btc", {f"p{p}": p / 100 for p in (1, 5, 25, 50, 75, 95, 99)}))
 
 
 # --- reports --------------------------------------------------------------------------------------------------
@@ -198,7 +217,7 @@ def p32(spark, sf):
     return d.tx_inputs(spark, sf).select("address").filter(F.contains(F.lower("address"), F.lit("w19"))).distinct().orderBy("address").limit(50)
 
 
-@query("q10_network_gates", "SELECT unnest(['evidence_range', 'level_known', 'span_not_negative', 'unique_key']) AS check, 0::BIGINT AS failures")
+@query("q10_network_gates", gates("evidl", {"evidence_range": "temporal_observation_evidence BETWEEN 0 AND 1", "level_known": "temporal_evidence_level IN ('LOW', 'MODERATE', 'HIGH', 'VERY_HIGH')", "span_not_negative": "span_seconds >= 0"}, "txid"))
 def q10(spark, sf):
     seen = network.correlate(d.observations(spark, sf), d.steps(spark, sf)).filter("matched")
     e = network.temporal_evidence(network.temporal_statistics(seen))

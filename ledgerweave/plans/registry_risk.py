@@ -6,19 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerweave import domain as d
-from ledgerweave.operators import entity, features, graph, network, profile, risk, validate
-from ledgerweave.plans.registry import DEGREE, ENT, mixing, query, rounded
+from ledgerweave.operators import behavior, features, graph, network, profile, risk, validate
+from ledgerweave.plans.registry import DEGREE, ENT, entity_sides, mixing, peeling, query, rounded
 
 # --- signals and fusion ----------------------------------------------------------------------------------------
 
-J7 = "j7 AS (SELECT s.txid, coalesce(deg, 0) AS deg, coalesce(rep, 0) AS rep FROM steps s LEFT JOIN (SELECT txid, count(*) FILTER (WHERE repeated_degree > 0) AS rep, max(repeated_degree) AS deg FROM ins LEFT JOIN ent ON ins.address = ent.address GROUP BY txid) q ON s.txid = q.txid)"
-FUSED = """fused AS (SELECT s.txid, s.time_step, CASE tx.label WHEN 1 THEN .9 WHEN 2 THEN .2 ELSE .5 END::DOUBLE AS ml_signal, true AS ml_available,
+# The entity signal: six components, each the mean of both sides; counts are scaled between their 1 and 99 per cent quantiles.
+ENTITY = {
+    "repeated_degree": "repeated_degree_max",
+    "shared_transaction": "shared_count_max",
+    "cluster_diversity": "distinct_clusters_t1",
+    "cluster_size": "cluster_size_max_t1",
+    "address_count": "address_count",
+}
+_SIDES = [f"{side}_{c}" for c in ENTITY.values() for side in ("input", "output")]
+ENTITY_SQL = [
+    "sides AS (SELECT *, i AS input_address_count, o AS output_address_count FROM input JOIN output USING (txid) JOIN counts USING (txid))",
+    "cuts AS (SELECT " + ", ".join(f"quantile_cont({c}, .01) AS {c}_a, quantile_cont({c}, .99) AS {c}_b" for c in _SIDES) + " FROM sides)",
+    "scaled AS (SELECT txid, input_repeated_ratio, output_repeated_ratio, input_repeated_addresses + output_repeated_addresses > 0 AS entity_available, "
+    + ", ".join(f"CASE WHEN {c}_b > {c}_a THEN greatest(0, least(1, ({c} - {c}_a) / ({c}_b - {c}_a))) WHEN {c}_b > 0 THEN 1 ELSE 0 END::DOUBLE AS {c}_signal" for c in _SIDES)
+    + " FROM sides, cuts)",
+    "entity AS (SELECT *, ((input_repeated_ratio + output_repeated_ratio) / 2 + " + " + ".join(f"(input_{c}_signal + output_{c}_signal) / 2" for c in ENTITY.values()) + ") / 6 AS entity_signal FROM scaled)",
+]
+GIVEN = """fused AS (SELECT s.txid, s.time_step, CASE tx.label WHEN 1 THEN .9 WHEN 2 THEN .2 ELSE .5 END::DOUBLE AS ml_signal, true AS ml_available,
   (rank() OVER (ORDER BY m.participant_count) + (count(*) OVER (PARTITION BY m.participant_count) - 1) / 2) / count(*) OVER () AS anomaly_signal, true AS anomaly_available,
-  m.mixing_evidence_score AS behavioral_signal, m.participant_count > 0 AS behavioral_available,
-  CASE WHEN p99 > p01 THEN greatest(0, least(1, (deg - p01) / (p99 - p01))) WHEN p99 > 0 THEN 1 ELSE 0 END::DOUBLE AS entity_signal, rep > 0 AS entity_available,
+  m.mixing_evidence_score AS behavioral_signal, m.participant_count > 0 AS behavioral_available, entity_signal, entity_available,
   coalesce(e.temporal_observation_evidence, 0) AS network_signal, e.txid IS NOT NULL AS network_available
-  FROM steps s JOIN tx ON s.txid = tx.txid JOIN mixing m ON s.txid = m.txid JOIN j7 ON s.txid = j7.txid LEFT JOIN evidl e ON s.txid = e.txid,
-  (SELECT quantile_cont(deg, .01) AS p01, quantile_cont(deg, .99) AS p99 FROM j7))"""
+  FROM steps s JOIN tx ON s.txid = tx.txid JOIN mixing m ON s.txid = m.txid JOIN entity ON s.txid = entity.txid LEFT JOIN evidl e ON s.txid = e.txid)"""
 SCORED = """scored AS (SELECT *, greatest(0, least(100, round(weighted_evidence_score * (1 + [0, 0, .02, .04, .06, .08][effective_evidence_channel_count + 1]) * 100, 6)))::DOUBLE AS risk_score FROM
   (SELECT *, .15 * ml_signal + .2 * anomaly_signal + .3 * behavioral_signal + .2 * entity_signal + .15 * network_signal AS weighted_evidence_score,
    ml_available::INT + anomaly_available::INT + behavioral_available::INT + entity_available::INT + network_available::INT AS effective_evidence_channel_count FROM fused))"""
@@ -32,51 +46,108 @@ RANKED = f"""ranked AS (SELECT *, CASE WHEN alert_priority IN ('VERY_HIGH', 'HIG
   row_number() OVER (ORDER BY risk_score DESC, effective_evidence_channel_count DESC, behavioral_signal DESC, entity_signal DESC, anomaly_signal DESC, network_signal DESC, time_step, txid::VARCHAR) AS investigation_rank
   FROM (SELECT *, {_band('risk_score')} AS alert_priority FROM scored))"""
 ACTIVE = "alerts AS (SELECT *, CASE WHEN alert_status = 'ACTIVE' THEN sum((alert_status = 'ACTIVE')::INT) OVER (ORDER BY investigation_rank)::BIGINT END AS active_alert_rank FROM ranked)"
-RISK = (DEGREE, *ENT, J7, FUSED, SCORED, RANKED, ACTIVE)
+RISK = (DEGREE, *ENT, *ENTITY_SQL, GIVEN, SCORED, RANKED, ACTIVE)
 
 
-def fused(spark, sf) -> DataFrame:
-    """Five channels for every transaction."""
-    steps, inputs = d.steps(spark, sf), d.tx_inputs(spark, sf)
+def entity_signal(spark, sf) -> DataFrame:
+    """txid, the six components, entity_signal and entity_available."""
+    counts = behavior.side_counts(d.steps(spark, sf), d.tx_inputs(spark, sf), d.tx_outputs(spark, sf)).select("txid", F.col("input_count").alias("input_address_count"), F.col("output_count").alias("output_address_count"))
+    return risk.entity_signal(entity_sides(spark, sf).join(counts, "txid").checkpoint(), ENTITY)
+
+
+def _network(spark, sf) -> DataFrame:
+    seen = network.correlate(d.observations(spark, sf), d.steps(spark, sf)).filter("matched")
+    return network.temporal_evidence(network.temporal_statistics(seen)).select("txid", F.col("temporal_observation_evidence").alias("network_signal"), F.lit(True).alias("network_available"))
+
+
+def _joined(behavioral: DataFrame, entities: DataFrame, seen: DataFrame, models: DataFrame) -> DataFrame:
+    e = entities.select("txid", "entity_signal", "entity_available")
+    out = behavioral.join(e, "txid").join(models, "txid").join(seen, "txid", "left")
+    return out.fillna(0.0, ["network_signal"]).fillna(False, ["network_available"]).withColumns({"ml_available": F.lit(True), "anomaly_available": F.lit(True)})
+
+
+def given_channels(spark, sf) -> DataFrame:
+    """Five channels that SQL can follow, to compare the fusion with it: real entity, network and mixing evidence, and two
+    stand-ins for what models give (a number for each label, the rank of the participant count)."""
     m = mixing(spark, sf).select("txid", "time_step", "participant_count", F.col("mixing_evidence_score").alias("behavioral_signal"))
-    m = risk.average_percent_rank(m, "participant_count", "anomaly_signal")
-    addresses = inputs.select("address").distinct()
-    ev = entity.entity_evidence(addresses, entity.cospend_degree(entity.cospend_pairs(inputs)), addresses.select("address", F.lit(1).alias("cluster_size")))
-    e = entity.transaction_entity_evidence(steps, inputs, ev, "input").select("txid", "input_repeated_addresses", F.col("input_repeated_degree_max").alias("deg"))
-    e = risk.percentile_signal(e, ["deg"]).select("txid", F.col("deg_signal").alias("entity_signal"), (F.col("input_repeated_addresses") > 0).alias("entity_available"))
-    seen = network.correlate(d.observations(spark, sf), steps).filter("matched")
-    n = network.temporal_evidence(network.temporal_statistics(seen)).select("txid", F.col("temporal_observation_evidence").alias("network_signal"), F.lit(True).alias("network_available"))
+    m = risk.average_percent_rank(m, "participant_count", "anomaly_signal").withColumn("behavioral_available", F.col("participant_count") > 0).drop("participant_count")
     labels = d.table(spark, sf, "orders").select(F.col("o_orderkey").alias("txid"), F.when(F.col("o_orderstatus") == "F", 0.9).when(F.col("o_orderstatus") == "O", 0.2).otherwise(0.5).alias("ml_signal"))
-    out = m.join(e, "txid").join(labels, "txid").join(n, "txid", "left").fillna(0.0, ["network_signal"]).fillna(False, ["network_available"])
-    return out.withColumns({"ml_available": F.lit(True), "anomaly_available": F.lit(True), "behavioral_available": F.col("participant_count") > 0}).drop("participant_count")
+    return _joined(m, entity_signal(spark, sf), _network(spark, sf), labels)
+
+
+def fused(spark, sf) -> DataFrame:
+    """Five channels for every transaction, of the engine's own operators: a fitted model's probability, the rank of the
+    isolation forest's score, peeling and mixing evidence, the entity signal, and network evidence."""
+    from ledgerweave.plans.registry_more import batch_scores
+
+    b = behavior.behavioral_evidence(peeling(spark, sf), mixing(spark, sf))
+    b = b.select("txid", "time_step", F.col("behavioral_evidence_score").alias("behavioral_signal"), F.lit(True).alias("behavioral_available"))
+    return _joined(b, entity_signal(spark, sf), _network(spark, sf), batch_scores(spark, sf))
+
+
+def off_ties(df: DataFrame) -> DataFrame:
+    """Scores have six decimals, so the fifth is often a tie, which engines round either way."""
+    return df.withColumn("risk_score", F.col("risk_score") + 1e-8)
 
 
 def scored(spark, sf) -> DataFrame:
-    return risk.scores(fused(spark, sf))
+    return risk.scores(given_channels(spark, sf))
 
 
 def alerts(spark, sf) -> DataFrame:
     return risk.ranked_alerts(scored(spark, sf))
 
 
-@query("w4_a31_j15_fused_signals", "SELECT txid, time_step, round(ml_signal, 4) AS ml_signal, round(anomaly_signal, 4) AS anomaly_signal, round(behavioral_signal, 4) AS behavioral_signal, round(entity_signal, 4) AS entity_signal, round(network_signal, 4) AS network_signal, ml_available, anomaly_available, behavioral_available, entity_available, network_available FROM fused", *RISK)
+@query("f19_entity_signal", "SELECT txid, round(entity_signal, 6) AS entity_signal, entity_available FROM entity", DEGREE, *ENT, *ENTITY_SQL)
+def f19(spark, sf):
+    return rounded(entity_signal(spark, sf).select("txid", "entity_signal", "entity_available"), 6)
+
+
+SIGNALS = ("ml", "anomaly", "behavioral", "entity", "network")
+
+
+@query("w4_a31_j15_fused_signals")
+def j15_models(spark, sf):
+    return rounded(fused(spark, sf).select("txid", "time_step", *(f"{s}_{x}" for s in SIGNALS for x in ("signal", "available"))))
+
+
+@query("f12_f13_risk_scores")
+def f12_models(spark, sf):
+    return rounded(risk.scores(fused(spark, sf)).select("txid", "effective_evidence_channel_count", "risk_score", "risk_level"))
+
+
+@query("w5_f14_ranked_alerts")
+def w5_models(spark, sf):
+    ranked = risk.ranked_alerts(risk.scores(fused(spark, sf)))
+    return rounded(ranked.select("txid", "time_step", "risk_score", "alert_priority", "alert_status", "investigation_rank", "active_alert_rank", "top_alert_queue"))
+
+
+# The fusion, its ranks and its reports over the given channels, beside SQL.
+
+
+@query("j15_given_channels", "SELECT txid, time_step, round(ml_signal, 4) AS ml_signal, round(anomaly_signal, 4) AS anomaly_signal, round(behavioral_signal, 4) AS behavioral_signal, round(entity_signal, 4) AS entity_signal, round(network_signal, 4) AS network_signal, ml_available, anomaly_available, behavioral_available, entity_available, network_available FROM fused", *RISK)
 def j15(spark, sf):
-    return rounded(fused(spark, sf))
+    return rounded(given_channels(spark, sf).select("txid", "time_step", *(f"{s}_{x}" for s in SIGNALS for x in ("signal", "available"))))
 
 
-@query("f12_f13_risk_scores", f"SELECT txid, effective_evidence_channel_count, round(risk_score, 4) AS risk_score, {_band('risk_score')} AS risk_level FROM scored", *RISK)
+@query("f12_f13_scores_of_given_channels", f"SELECT txid, effective_evidence_channel_count, round(risk_score + 1e-8, 4) AS risk_score, {_band('risk_score')} AS risk_level FROM scored", *RISK)
 def f12(spark, sf):
-    return rounded(scored(spark, sf).select("txid", "effective_evidence_channel_count", "risk_score", "risk_level"))
+    return rounded(off_ties(scored(spark, sf)).select("txid", "effective_evidence_channel_count", "risk_score", "risk_level"))
 
 
-@query("w5_f14_ranked_alerts", "SELECT txid, time_step, round(risk_score, 4) AS risk_score, alert_priority, alert_status, investigation_rank, active_alert_rank, coalesce(active_alert_rank <= 1000, false) AS top_alert_queue FROM alerts", *RISK)
+@query("w5_f14_alerts_of_given_channels", "SELECT txid, time_step, round(risk_score + 1e-8, 4) AS risk_score, alert_priority, alert_status, investigation_rank, active_alert_rank, coalesce(active_alert_rank <= 1000, false) AS top_alert_queue FROM alerts", *RISK)
 def w5(spark, sf):
-    return rounded(alerts(spark, sf).select("txid", "time_step", "risk_score", "alert_priority", "alert_status", "investigation_rank", "active_alert_rank", "top_alert_queue"))
+    return rounded(off_ties(alerts(spark, sf)).select("txid", "time_step", "risk_score", "alert_priority", "alert_status", "investigation_rank", "active_alert_rank", "top_alert_queue"))
+
 
+def _part(c: str) -> str:
+    return f"CASE WHEN {c}_signal > 0 THEN CASE WHEN {c}_signal >= .7 THEN 'strong' WHEN {c}_signal >= .4 THEN 'moderate' ELSE 'weak' END || ' {c} evidence (' || printf('%.3f', {c}_signal + 1e-9) || ')' END"
 
-@query("f15_explanations")
+
+@query("f15_explanations", "SELECT txid, concat_ws('; ', " + ", ".join(map(_part, risk.WEIGHTS)) + ", CASE WHEN effective_evidence_channel_count >= 4 THEN 'broad' WHEN effective_evidence_channel_count >= 2 THEN 'partial' ELSE 'little' END || ' agreement', 'a priority for review, not proof') AS explanation FROM scored", *RISK)
 def f15(spark, sf):
-    return risk.explanation(scored(spark, sf)).select("txid", "explanation")
+    shifted = scored(spark, sf).withColumns({f"{c}_signal": F.when(F.col(f"{c}_signal") > 0, F.col(f"{c}_signal") + 1e-9).otherwise(0.0) for c in risk.WEIGHTS})  # off ties of the third decimal
+    return risk.explanation(shifted).select("txid", "explanation")
 
 
 @query("t1_alert_page", "SELECT txid, investigation_rank FROM alerts WHERE investigation_rank BETWEEN 101 AND 150", *RISK)
@@ -84,9 +155,9 @@ def t1(spark, sf):
     return risk.page(alerts(spark, sf), 3, 50).select("txid", "investigation_rank")
 
 
-@query("t2_top_risk", "SELECT txid, round(risk_score, 4) AS risk_score FROM alerts ORDER BY alerts.risk_score DESC, investigation_rank LIMIT 100", *RISK)
+@query("t2_top_risk", "SELECT txid, round(risk_score + 1e-8, 4) AS risk_score FROM alerts ORDER BY alerts.risk_score DESC, investigation_rank LIMIT 100", *RISK)
 def t2(spark, sf):
-    return rounded(risk.top_risk(alerts(spark, sf), 100).select("txid", "risk_score"))
+    return rounded(off_ties(risk.top_risk(alerts(spark, sf), 100)).select("txid", "risk_score"))
 
 
 @query("p31_filtered_alerts", "SELECT txid, investigation_rank FROM alerts WHERE alert_status = 'ACTIVE' AND time_step = 7 AND risk_score BETWEEN 40 AND 60", *RISK)
@@ -121,13 +192,21 @@ def a21(spark, sf):
     return rounded(per)
 
 
-@query("q5_rank_gates", "SELECT unnest(['rank_positive', 'risk_in_range', 'active_has_rank', 'unique_key']) AS check, 0::BIGINT AS failures")
+def gates(table: str, conditions: dict[str, str], key: str | None = None) -> str:
+    """SQL that counts the rows of a table that break each condition, and repeated keys."""
+    counts = {k: f"count(*) FILTER (WHERE NOT coalesce({c}, false))" for k, c in conditions.items()}
+    if key:
+        counts["unique_key"] = f"count(*) - count(DISTINCT {key})"
+    return " UNION ALL ".join(f"SELECT '{k}' AS check, ({c})::BIGINT AS failures FROM {table}" for k, c in counts.items())
+
+
+@query("q5_rank_gates", gates("alerts", {"rank_positive": "investigation_rank >= 1", "risk_in_range": "risk_score BETWEEN 0 AND 100", "active_has_rank": "(alert_status = 'ACTIVE') = (active_alert_rank IS NOT NULL)"}, "txid"), *RISK)
 def q5(spark, sf):
     a = alerts(spark, sf)
     return validate.checks(a, {"rank_positive": F.col("investigation_rank") >= 1, "risk_in_range": F.col("risk_score").between(0, 100), "active_has_rank": (F.col("alert_status") == "ACTIVE") == F.col("active_alert_rank").isNotNull()}, ["txid"])
 
 
-@query("q2_mixing_reproduced", "SELECT unnest(['candidate', 'score_range', 'counts']) AS check, 0::BIGINT AS failures")
+@query("q2_mixing_reproduced", gates("mixing", {"candidate": "mixing_candidate = (fan_in_flag AND fan_out_flag AND balance_flag AND participant_flag)", "score_range": "mixing_evidence_score BETWEEN 0 AND 1", "counts": "participant_count = input_count + output_count"}))
 def q2(spark, sf):
     c = F.col
     cond = {
@@ -138,7 +217,7 @@ def q2(spark, sf):
     return validate.checks(mixing(spark, sf), cond)
 
 
-@query("a26_column_audit", "SELECT 'fee_btc' AS \"column\", count(*) FILTER (WHERE fee_btc IS NULL) AS nulls, count(DISTINCT fee_btc) AS \"distinct\", 0::BIGINT AS infinite FROM tx UNION ALL SELECT 'time_step', count(*) FILTER (WHERE time_step IS NULL), count(DISTINCT time_step), 0 FROM tx")
+@query("a26_column_audit", "SELECT 'fee_btc' AS \"column\", count(*) FILTER (WHERE fee_btc IS NULL) AS nulls, count(DISTINCT fee_btc) AS \"distinct\", count(*) FILTER (WHERE isinf(fee_btc) OR isnan(fee_btc)) AS infinite FROM tx UNION ALL SELECT 'time_step', count(*) FILTER (WHERE time_step IS NULL), count(DISTINCT time_step), count(*) FILTER (WHERE isinf(time_step::DOUBLE)) FROM tx")
 def a26(spark, sf):
     return validate.column_audit(d.canonical(spark, sf).select("fee_btc", "time_step"))
 
@@ -224,12 +303,14 @@ def g14(spark, sf):
     return graph.neighbourhood(_graph(spark, sf), "tx:60")
 
 
-@query("g15_shortest_path")
+@query("g15_shortest_path", "SELECT unnest(range(len(path))) AS hop, unnest(path) AS node FROM bfs WHERE node = 'tx:66'", *G,
+  "gboth AS MATERIALIZED (SELECT source AS a, target AS b FROM ge UNION SELECT target, source FROM ge)",
+  "bfs(node, path) USING KEY (node) AS (SELECT 'tx:60', ['tx:60'] UNION SELECT e.b, min(list_append(f.path, e.b)) FROM bfs f JOIN gboth e ON f.node = e.a LEFT JOIN recurring.bfs r ON r.node = e.b WHERE r.node IS NULL AND len(f.path) <= 6 GROUP BY e.b)")
 def g15(spark, sf):
     return graph.shortest_path(_graph(spark, sf), "tx:60", "tx:66")
 
 
-@query("d12_dangling_edges", "SELECT NULL::VARCHAR AS node_id WHERE false")
+@query("d12_dangling_edges", "SELECT DISTINCT e.node_id FROM (SELECT source AS node_id FROM ge UNION SELECT target FROM ge) e LEFT JOIN gn ON e.node_id = gn.node_id WHERE gn.node_id IS NULL", *G)
 def d12(spark, sf):
     e = _graph(spark, sf)
     return graph.dangling(graph.nodes(d.steps(spark, sf), e), e)
@@ -286,11 +367,13 @@ def f22(spark, sf):
     return rounded(rows.select("txid", "entity_repeated_wallet_count", "peeling_evidence_score", "mixing_evidence_score", "behavioral_signal", "entity_signal", "risk_score", "risk_level"))
 
 
-@query("t6_case_ranking")
+@query("t6_case_ranking", """SELECT txid, round(round(risk, 6) + 1e-8, 4) AS risk_score, row_number() OVER (ORDER BY round(risk, 6) DESC, beh DESC, txid::VARCHAR) AS case_rank,
+  concat_ws(', ', CASE WHEN beh > 0 THEN 'behavioral=' || printf('%.3f', beh) END, CASE WHEN ent > 0 THEN 'entity=' || printf('%.3f', ent) END) AS explanation FROM sc ORDER BY case_rank LIMIT 50""", *CASE)
 def t6(spark, sf):
-    return profile.case_ranking(profile.case_rows(d.canonical(spark, sf)), 50).select("txid", "risk_score", "case_rank", "explanation")
+    top = profile.case_ranking(profile.case_rows(d.canonical(spark, sf)), 50)
+    return rounded(top.select("txid", (F.col("risk_score") + 1e-8).alias("risk_score"), "case_rank", "explanation"))
 
 
-@query("q11_table_fingerprint")
+@query("q11_table_fingerprint", """SELECT count(*) AS n, bit_xor(h) AS xor, sum(h)::VARCHAR AS sum FROM (SELECT CAST('0x' || substr(sha256(coalesce(time_step::VARCHAR, '') || '|' || txid), 1, 13) AS BIGINT) AS h FROM steps)""")
 def q11(spark, sf):
     return validate.table_fingerprint(features.temporal_features(d.steps(spark, sf)).select("txid", "time_step"))

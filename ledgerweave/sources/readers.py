@@ -50,10 +50,14 @@ READERS = {".csv": read_csv, ".json": read_json, ".xml": read_xml}
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The reader is chosen by the path's suffix."""
+    """The reader is chosen by the path's suffix; a path that is missing or no file is refused."""
     suffix = path[path.rfind(".") :].lower()
     if suffix not in READERS:
         raise ValueError(f"unsupported format {suffix!r}")
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(target) or not files.getFileStatus(target).isFile():
+        raise FileNotFoundError(path)
     return READERS[suffix](spark, path)
 
 
@@ -71,15 +75,15 @@ def sha256_of(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), "length")
 
 
-def normalised(records: DataFrame) -> DataFrame:
+def normalised(records: DataFrame, investigator: bool = True) -> DataFrame:
     """Canonical names, and canonical text for ids and addresses; other fields stay as they came, for validation."""
-    df = normalize.rename_fields(records)
+    df = normalize.rename_fields(records, investigator)
     c = F.col
     if "txid" in df.columns:
         df = df.withColumn("txid", F.nullif(normalize.txid_plain(c("txid")), F.lit("")))
     for side in ("input_wallets", "output_wallets"):
         if side in df.columns:
-            df = df.withColumn(side, F.to_json(normalize.wallet_list(c(side), commas=True)))
+            df = df.withColumn(side, F.to_json(normalize.wallet_list(c(side), commas=investigator)))
     return df
 
 
@@ -87,7 +91,7 @@ class Import:
     """``valid`` (deduplicated, with fingerprint), ``rejects`` (with reasons) and ``provenance`` (one row) of one import."""
 
     def __init__(self, spark: SparkSession, path: str, kind: str = "COMBINED") -> None:
-        records = normalised(read_records(spark, path))
+        records = normalised(read_records(spark, path), investigator=kind != "COMBINED")
         checked = validate.validated(records, kind)
         fields = records.columns
         good = checked.filter("valid").select(*fields)

@@ -2,13 +2,15 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from ledgerweave import domain
 from ledgerweave.functions import normalize
-from ledgerweave.operators import behavior, entity, features, graph, ml, risk, temporal_graph, validate
+from ledgerweave.operators import behavior, entity, features, graph, ml, ordering, risk, temporal_graph, validate
+from ledgerweave.plans import registry_risk
 from ledgerweave.sources import readers
 from ledgerweave.streaming import flows
 
@@ -90,6 +92,68 @@ def test_normalisers(spark):
     assert [tuple(r) for r in got] == [("12", "12", "2001:db8::10", "TOR_EXIT"), ("1e3", "1000", "10.0.0.1", "DATACENTER"), ("", "", None, None)]
 
 
+def test_entity_signal_is_the_mean_of_six_components(spark):
+    rows = [(t, t / 10, 0.0, t % 3, 0, t * 2, t, 5, 5, 1, 2 * t, 3, t) for t in range(11)]
+    names = ["input_repeated_ratio", "output_repeated_ratio"] + [f"{side}_{c}" for c in registry_risk.ENTITY.values() for side in ("input", "output")]
+    df = spark.createDataFrame(rows, "txid long, " + ", ".join(f"{n} double" if "ratio" in n else f"{n} long" for n in names))
+    df = df.withColumn("input_repeated_addresses", F.col("txid") % 2).withColumn("output_repeated_addresses", F.lit(0))
+
+    def scaled(values):
+        a, b = (float(np.percentile(values, p)) for p in (1, 99))
+        return [min(1, max(0, (v - a) / (b - a))) if b > a else float(b > 0) for v in values]
+
+    columns = list(zip(*(r[1:] for r in rows)))
+    parts = [columns[0], columns[1], *(scaled(c) for c in columns[2:])]
+    want = {t: sum((parts[2 * k][t] + parts[2 * k + 1][t]) / 2 for k in range(6)) / 6 for t in range(11)}
+    got = risk.entity_signal(df, registry_risk.ENTITY).collect()
+    assert {r.txid: r.entity_signal for r in got} == pytest.approx(want)
+    assert all(r.entity_available == (r.txid % 2 == 1) for r in got)
+
+
+def test_ranges_of_a_total_order(spark):
+    rows = [(i, (i * 7) % 5, float((i * 13) % 11)) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, v int, x double").repartition(7)
+    got = {r.k: (r.n, r.s) for r in ordering.running_sums(df, [F.desc("v"), F.asc("k")], n=F.lit(1), s=F.col("v")).collect()}
+    total, want = 0, {}
+    for n, (k, v, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1):
+        total += v
+        want[k] = (n, total)
+    assert got == want
+    xs = [r[2] for r in rows]
+    shares = {"a": 0.0, "b": 0.37, "c": 0.5, "d": 1.0}
+    assert ordering.percentiles(df, "x", shares).first().asDict() == pytest.approx({k: float(np.percentile(xs, 100 * p)) for k, p in shares.items()})
+
+
+def test_gates_count_what_fails(spark):
+    df = spark.createDataFrame([(1, 5.0), (1, 120.0), (2, None)], "txid long, risk_score double")
+    got = {r.check: r.failures for r in validate.checks(df, {"risk_in_range": F.col("risk_score").between(0, 100)}, ["txid"]).collect()}
+    assert got == {"risk_in_range": 2, "unique_key": 1}
+    nodes, ends = spark.createDataFrame([("a",)], "node_id string"), spark.createDataFrame([("a", "b")], "source string, target string")
+    assert [r.node_id for r in graph.dangling(nodes, ends).collect()] == ["b"]
+
+
+def test_exact_aliases(spark):
+    names = [" Time_Stamp ", "SourceIP", "destinationport", "fee_btc", "Input_Amount_BTC", "tx_id", "country", "hash", "input-address", "Confidence Score"]
+    assert [normalize.canonical_name(x, False) for x in names] == ["timestamp", "src_ip", "dst_port", "fee", "input_amount", "txid", "country", "hash", "input-address", "confidence score"]
+    assert [normalize.canonical_name(x) for x in names] == ["timestamp", "src_ip", "dst_port", "fee", "input_amount", "txid", "geo_country", "hash", "input_wallets", "confidence"]
+    kinds = {"tor exit": ("TOR_EXIT", "TOR_EXIT"), "Exit Node": ("TOR_EXIT", None), "exit": (None, "TOR_EXIT"), "data-center": ("DATACENTER", None), "": ("UNKNOWN", "UNKNOWN"), None: ("UNKNOWN", "UNKNOWN"), "host": (None, None), "vpn": ("VPN", "VPN")}
+    df = spark.createDataFrame([(k,) for k in kinds], "k string")
+    got = {r.k: (r.a, r.b) for r in df.select("k", normalize.network_type(F.col("k")).alias("a"), normalize.network_type(F.col("k"), feed=False).alias("b")).collect()}
+    assert got == kinds
+
+
+def test_numbers_as_ids(spark):
+    # Text, with 15 significant digits, with the text kept
+    want = [("1e3", "1000", "1000"), ("4304541.0", "4304541", "4304541"), ("0.5", "0.5", "0.5"), ("1.25e-2", "0.0125", "1.25e-2"), ("12.50", "12.5", "12.50"), ("0.00001250", "1.25e-05", "0.00001250"), ("-3.14159265358979312", "-3.14159265358979", "-3.14159265358979312"), ("inf", "", "inf"), ("nan", "", ""), (" ab ", "ab", "ab"), ("", "", ""), (None, "", "")]
+    df = spark.createDataFrame([(w[0],) for w in want], "t string")
+    got = df.select("t", normalize.txid_rounded(F.col("t")).alias("b"), normalize.txid_numeric(F.col("t")).alias("c")).collect()
+    assert [tuple(r) for r in got] == want
+    df = spark.createDataFrame([("AS12",), (" as7 ",), ("15",), ("ASx",), (None,)], "a string")
+    assert [r.a for r in df.select(normalize.asn_name(F.col("a")).alias("a")).collect()] == ["AS12", "AS7", "AS15", None, None]
+    df = spark.createDataFrame([(["a", "b"],), ([],), (["a", " "],), (["a", None],), (None,)], "w array<string>")
+    assert [r.ok for r in df.select(normalize.wallets_valid(F.col("w")).alias("ok")).collect()] == [True, True, False, False, False]
+
+
 RECORD = dict(
     timestamp="2026-01-01T00:00:00Z", src_ip="10.0.0.1", dst_ip="10.0.0.2", src_port=8333, dst_port=8333, txid=12345, input_wallets=["wallet_in_1"], output_wallets=["wallet_out_1"],
     input_amount=1.5, output_amount=1.49, fee=0.01, script_type="P2PKH", geo_country="IN", asn="AS12345",
