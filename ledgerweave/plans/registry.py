@@ -26,6 +26,25 @@ def query(name: str, sql: str | None = None, *ctes: str):
     return register
 
 
+_MADE: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def made_once(make: Query) -> Query:
+    """A table that several queries read is checkpointed by the first of them and read by the others of the application.
+
+    The tables below ``sf_dir`` are taken not to change while it runs.
+    """
+
+    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, make.__name__)
+        if key not in _MADE:
+            _MADE[key] = make(spark, sf_dir).checkpoint()
+        return _MADE[key]
+
+    get.__doc__ = make.__doc__
+    return get
+
+
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     """Doubles rounded, so that engines that add in another order agree."""
     return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
@@ -236,6 +255,7 @@ ENT = [
 ]
 
 
+@made_once
 def entity_sides(spark, sf) -> DataFrame:
     """Both sides' evidence with clusters at thresholds 1, 2 and 3."""
     inputs, outputs, steps = d.tx_inputs(spark, sf), d.tx_outputs(spark, sf), d.steps(spark, sf)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave import domain as d
 from ledgerweave.operators import behavior, features, graph, network, profile, risk, validate
-from ledgerweave.plans.registry import DEGREE, ENT, entity_sides, mixing, peeling, query, rounded
+from ledgerweave.plans.registry import DEGREE, ENT, entity_sides, made_once, mixing, peeling, query, rounded
 
 # --- signals and fusion ----------------------------------------------------------------------------------------
 
@@ -66,6 +66,7 @@ def _joined(behavioral: DataFrame, entities: DataFrame, seen: DataFrame, models:
     return out.fillna(0.0, ["network_signal"]).fillna(False, ["network_available"]).withColumns({"ml_available": F.lit(True), "anomaly_available": F.lit(True)})
 
 
+@made_once
 def given_channels(spark, sf) -> DataFrame:
     """Five channels that SQL can follow, to compare the fusion with it: real entity, network and mixing evidence, and two
     stand-ins for what models give (a number for each label, the rank of the participant count)."""
@@ -75,6 +76,7 @@ def given_channels(spark, sf) -> DataFrame:
     return _joined(m, entity_signal(spark, sf), _network(spark, sf), labels)
 
 
+@made_once
 def fused(spark, sf) -> DataFrame:
     """Five channels for every transaction, of the engine's own operators: a fitted model's probability, the rank of the
     isolation forest's score, peeling and mixing evidence, the entity signal, and network evidence."""
