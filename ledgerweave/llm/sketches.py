@@ -9,6 +9,8 @@ than k shingles is held whole, and its estimates are exact.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,18 +89,27 @@ def with_next_text(docs: DataFrame) -> DataFrame:
     The ids are cut into ranges at sampled quantiles.  Texts are shuffled once,
     by range; the first row of each range also goes to the range before it (the
     first of all to the last), as many extra rows as there are ranges.
-    Null ids come last; rows with one id are ordered by their text's hash.
+    There are four ranges a shuffle partition, so they grow in number with the data.
+    Null ids come last; rows with one id are ordered by their text's hash and stay
+    in one range.
     The columns ``__range`` and ``__extra`` stay, for windows over the same ranges.
     """
     spark = docs.sparkSession
-    ranges = min(1024, 4 * partitions(spark))
+    ranges = 4 * partitions(spark)
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     rows = docs.withColumn("__key", key)
-    shares = ", ".join(str(i / ranges) for i in range(1, ranges))
-    cuts = rows.agg(F.expr(f"percentile_approx(__key, array({shares}), 20000)").alias("c")).first().c if ranges > 1 else []
+    shares = [i / ranges for i in range(1, ranges)]
+    cuts = rows.agg(F.percentile_approx("__key", F.array(*map(F.lit, shares)), F.lit(max(20_000, 10 * ranges))).alias("c")).first().c if ranges > 1 else []
     cuts = sorted(set(cuts or []), reverse=True)
-    number = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda c: c > F.col("__key")))
-    rows = rows.withColumn("__range", number)
+    # The number of cuts above the key, in two looks: which stretch of cuts, then how many of it
+    stretch = max(1, math.isqrt(len(cuts)))
+    parts = [cuts[i : i + stretch] for i in range(0, len(cuts), stretch)]
+    one = spark.createDataFrame([([p[0] for p in parts], parts)], "__heads array<bigint>, __parts array<array<bigint>>")
+    rows = rows.crossJoin(F.broadcast(one))  # one row
+    above = lambda c: F.size(F.filter(c, lambda x: x > F.col("__key")))
+    rows = rows.withColumn("__n", above(F.col("__heads")))
+    number = F.when(F.col("__n") == 0, 0).otherwise((F.col("__n") - 1) * stretch + above(F.get("__parts", F.col("__n") - 1)))
+    rows = rows.withColumn("__range", number.cast("int")).drop("__heads", "__parts", "__n")
     firsts = rows.groupBy("__range").agg(F.max("__key").alias("k")).orderBy("__range").collect()  # one row a range
     before = [(r.k, firsts[i - 1]["__range"]) for i, r in enumerate(firsts)]
     extra = F.broadcast(spark.createDataFrame(before, "__first long, __other int"))
