@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -132,18 +131,42 @@ def synthetic_records(spark: SparkSession, n: int = 100, seed: int = 20260925) -
     )
 
 
-def graphml(nodes: DataFrame, edges: DataFrame, limit: int = 5000) -> str:
-    """A bounded view as GraphML text: at most ``limit`` edges in id order, and their nodes."""
-    from xml.sax.saxutils import quoteattr
+def graphml(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, most_edges: int = 5000, most_nodes: int = 5000) -> str:
+    """A bounded view as GraphML text: edges at the seeds (``node_id``; all edges without seeds) in id order, and their nodes.
 
-    some = edges.orderBy("edge_id").limit(limit)
+    At most ``most_edges`` and ``most_nodes`` rows come to the driver; an edge whose
+    end is beyond the nodes' limit goes.  All attributes are written as text, nulls
+    not at all.
+    """
+    from xml.sax.saxutils import escape, quoteattr
+
+    if seeds is not None:
+        ends = seeds.select("node_id").distinct()
+        at = edges.select("edge_id", F.explode(F.array("source", "target")).alias("node_id")).join(ends, "node_id", "left_semi").select("edge_id").distinct()
+        edges = edges.join(at, "edge_id", "left_semi")
+    some = edges.orderBy("edge_id").limit(most_edges)
     ends = some.select(F.explode(F.array("source", "target")).alias("node_id")).distinct()
-    rows = nodes.join(ends, "node_id", "left_semi").orderBy("node_id").collect()
-    out = ['<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><graph edgedefault="directed">']
-    out += [f"<node id={quoteattr(r.node_id)}/>" for r in rows]
-    out += [f"<edge id={quoteattr(r.edge_id)} source={quoteattr(r.source)} target={quoteattr(r.target)} label={quoteattr(r.relation)}/>" for r in some.collect()]
+    rows = nodes.join(ends, "node_id", "left_semi").orderBy("node_id").limit(most_nodes).collect()
+    kept = {r["node_id"] for r in rows}
+    links = [r for r in some.collect() if r["source"] in kept and r["target"] in kept]
+    of_nodes, of_edges = [c for c in nodes.columns if c != "node_id"], [c for c in edges.columns if c not in ("edge_id", "source", "target")]
+
+    def data(row, kind: str, columns: list[str]) -> str:
+        return "".join(f"<data key={quoteattr(f'{kind}_{c}')}>{escape(str(row[c]))}</data>" for c in columns if row[c] is not None)
+
+    out = ['<graphml xmlns="http://graphml.graphdrawing.org/xmlns">']
+    out += [f'<key id={quoteattr(f"{kind}_{c}")} for="{kind}" attr.name={quoteattr(c)} attr.type="string"/>' for kind, columns in (("node", of_nodes), ("edge", of_edges)) for c in columns]
+    out.append('<graph edgedefault="directed">')
+    out += [f"<node id={quoteattr(r['node_id'])}>{data(r, "node", of_nodes)}</node>" for r in rows]
+    out += [f"<edge id={quoteattr(r['edge_id'])} source={quoteattr(r['source'])} target={quoteattr(r['target'])}>{data(r, "edge", of_edges)}</edge>" for r in links]
     return "\n".join([*out, "</graph></graphml>"])
 
 
-def bytes_digest(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One file with the text, in whatever file system the path names; an existing file is replaced."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        stream.write(bytearray(text, "utf-8"))
+    finally:
+        stream.close()

@@ -1,6 +1,7 @@
 """Domain operators on small frames, and the three input formats."""
 
 import json
+from xml.etree import ElementTree
 
 import numpy as np
 import pytest
@@ -124,6 +125,18 @@ def test_ranges_of_a_total_order(spark):
     assert ordering.percentiles(df, "x", shares).first().asDict() == pytest.approx({k: float(np.percentile(xs, 100 * p)) for k, p in shares.items()})
 
 
+def test_graphml_view(spark, tmp_path):
+    nodes = spark.createDataFrame([("a", "tx", 1), ("b", "w<", None), ("c", "ip", 3)], "node_id string, node_type string, time_step int")
+    edges = spark.createDataFrame([("1", "a", "b", "X"), ("2", "b", "c", "Y&"), ("3", "c", "c", "Z")], "edge_id string, source string, target string, relation string")
+    text = readers.graphml(nodes, edges, spark.createDataFrame([("a",), ("b",)], "node_id string"))
+    readers.write_text(spark, text, str(tmp_path / "g.graphml"))
+    root = ElementTree.parse(tmp_path / "g.graphml").getroot()
+    tag = "{http://graphml.graphdrawing.org/xmlns}"
+    assert [n.get("id") for n in root.iter(f"{tag}node")] == ["a", "b", "c"] and [e.get("id") for e in root.iter(f"{tag}edge")] == ["1", "2"]
+    assert [d.text for d in root.iter(f"{tag}data")] == ["tx", "1", "w<", "ip", "3", "X", "Y&"]
+    assert "<edge" not in readers.graphml(nodes, edges, most_nodes=0)
+
+
 def test_gates_count_what_fails(spark):
     df = spark.createDataFrame([(1, 5.0), (1, 120.0), (2, None)], "txid long, risk_score double")
     got = {r.check: r.failures for r in validate.checks(df, {"risk_in_range": F.col("risk_score").between(0, 100)}, ["txid"]).collect()}
