@@ -166,17 +166,24 @@ class IsolationForest:
         return 2 ** (-np.mean([self._path(t, x) for t in self.trees], axis=0) / max(self.norm, 1e-9))
 
 
-def isolation_scores(df: DataFrame, key: str, columns: list[str], train: DataFrame | None = None, sample: int = 4096) -> DataFrame:
-    """key, anomaly_score.  The forest learns from at most ``sample`` rows, chosen by a hash of the key."""
+def isolation_scores(df: DataFrame, key: str, columns: list[str], train: DataFrame | None = None, sample: int = 4096, trees: int = 300, contamination: float = 0.01) -> DataFrame:
+    """key, anomaly_score, decision (below 0 for the strange) and flag (-1 for them, else 1).
+
+    The forest learns from at most ``sample`` rows of ``train``, chosen by a hash of
+    the key, and the limit is the score that ``contamination`` of them exceed.
+    """
     rows = (df if train is None else train).select(key, *columns).dropna()
-    grown = IsolationForest().fit(np.array([r[1:] for r in rows.orderBy(F.xxhash64(key), key).limit(sample).collect()], float).reshape(-1, len(columns)))
+    known = np.array([r[1:] for r in rows.orderBy(F.xxhash64(key), key).limit(sample).collect()], float).reshape(-1, len(columns))
+    grown = IsolationForest(trees).fit(known)
+    limit = float(np.quantile(grown.score(known), 1 - contamination)) if len(known) else 1.0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({key: b[key], "anomaly_score": grown.score(b[columns].fillna(0.0).to_numpy(float))})
+            score = grown.score(b[columns].fillna(0.0).to_numpy(float))
+            yield pd.DataFrame({key: b[key], "anomaly_score": score, "decision": limit - score, "flag": np.where(score > limit, -1, 1)})
 
     kind = dict(df.dtypes)[key]
-    return df.select(key, *columns).mapInPandas(run, f"{key} {kind}, anomaly_score double")
+    return df.select(key, *columns).mapInPandas(run, f"{key} {kind}, anomaly_score double, decision double, flag int")
 
 
 def linear_contributions(df: DataFrame, weights: dict[str, float], key: str, k: int = 10) -> DataFrame:

@@ -146,7 +146,8 @@ def m8(spark, sf):
 
 @query("m2_m4_isolation_scores")
 def m2(spark, sf):
-    return ml.isolation_scores(dataset(spark, sf).select("txid", *FEATURES), "txid", FEATURES)
+    data = dataset(spark, sf).checkpoint()
+    return ml.isolation_scores(data, "txid", FEATURES, data.filter("part = 'train'"))
 
 
 ML_SQL = "pos AS (SELECT txid, label = 1 AS y, total_btc AS s FROM tx)"
