@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerweave.llm import exact_dedup, langid, license_scan, mixing, ngram_join, packing, sentence_spans, sketches, suffix_dedup, toxicity
+from ledgerweave.llm import alignment, exact_dedup, langid, license_scan, mixing, ngram_join, packing, sentence_spans, simhash, sketches, suffix_dedup, toxicity
 from ledgerweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source", "copies")
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"), width=3, radius=3)
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by_doc, _ = alignment.align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return by_doc
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -77,6 +86,8 @@ def queries() -> dict[str, Query]:
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_exact_dedup": op8_exact_dedup,
         "op10_mixing": op10_mixing,
+        "op12_simhash": op12_simhash,
+        "op13_tokenizer_alignment": op13_tokenizer_alignment,
     }
 
 
