@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerweave.llm import alignment, exact_dedup, langid, license_scan, mixing, ngram_join, packing, sentence_spans, simhash, sketches, suffix_dedup, toxicity
+from ledgerweave.llm import alignment, exact_dedup, langid, license_scan, mixing, ngram_join, packing, rolling_median, sentence_spans, simhash, sketches, suffix_dedup, toxicity
 from ledgerweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source", "copies")
 
 
+def op11_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolling_median.rolling_medians(table(spark, sf_dir, "clicks"))
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"), width=3, radius=3)
 
@@ -86,6 +90,7 @@ def queries() -> dict[str, Query]:
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_exact_dedup": op8_exact_dedup,
         "op10_mixing": op10_mixing,
+        "op11_rolling_median": op11_rolling_median,
         "op12_simhash": op12_simhash,
         "op13_tokenizer_alignment": op13_tokenizer_alignment,
     }
@@ -96,6 +101,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_sentence_spans": OP3_SQL,
         "op8_exact_dedup": OP8_SQL,
         "op10_mixing": OP10_SQL,
+        "op11_rolling_median": OP11_SQL,
     }
 
 
@@ -169,3 +175,12 @@ z AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY taken_in OR NOT (need
 SELECT doc_id, size, source_size, round(target, 6) AS target,
        ((whole + CASE WHEN taken_in OR closing THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM z
 """
+
+OP11_SQL = r"""
+WITH c AS (SELECT DISTINCT click_id, ts, kind, floor(100 * value + 0.5)::BIGINT AS cents FROM clicks WHERE ts IS NOT NULL),
+w AS (SELECT *, list_sort(list(cents) FILTER (WHERE cents IS NOT NULL) OVER (PARTITION BY kind ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW)) AS v FROM c),
+m AS (SELECT *, coalesce(len(v), 0) AS n, v[(len(v) + 1) // 2] + v[len(v) // 2 + 1] AS median2 FROM w),
+d AS (SELECT *, list_sort(list_transform(v, lambda x: abs(2 * x - median2))) AS dev FROM m),
+r AS (SELECT click_id, kind, cents, n, CASE WHEN n > 1 THEN median2 END AS median2, CASE WHEN n > 1 THEN dev[(n + 1) // 2] + dev[n // 2 + 1] END AS mad4 FROM d)
+SELECT click_id, kind, n, median2, mad4, 2 * abs(2 * cents - median2) > 3 * mad4 AS far FROM r
+"""
