@@ -27,8 +27,8 @@ from ledgerweave.llm.wordhash import BLANK, LOWER
 BITS = 15
 SIZE = 1 << BITS
 WIDTH = 16
-#: Labelled rows that train the model, about; those of one language at least; and the most frequent languages that are learned.
-TRAIN_ROWS, LEAST_ROWS, MOST_LANGUAGES = 3000, 200, 500
+#: Labelled rows that train the model, about, and those of one language at least; with very many languages that share falls, down to one row, so that about ``MOST_ROWS`` are learned from.
+TRAIN_ROWS, LEAST_ROWS, MOST_ROWS = 3000, 200, 100_000
 EPOCHS = 6
 UNKNOWN = "und"
 #: Share of right answers that accepted texts should reach at least.
@@ -47,7 +47,7 @@ def grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for width in (3, 4):
         x = np.zeros(n, np.uint32)
-        for k in range(width):
+        for k in range(min(width, n)):
             x[: n - k] |= folded[k:] << np.uint32(8 * k)
         x *= np.uint32(0x9E3779B1 + 2 * width)
         x ^= x >> np.uint32(15)
@@ -139,15 +139,16 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sampled(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[DataFrame, dict[str, int]]:
     """Rows to learn from, and the rows of each language in all of ``labelled``.
 
-    Each of the ``MOST_LANGUAGES`` most frequent languages gets its share of
-    ``train_rows``, and ``LEAST_ROWS`` at least (all rows, where it has fewer):
+    Each language gets its share of ``train_rows``, and ``LEAST_ROWS`` at least (all
+    rows, where it has fewer; less, where that many languages would pass ``MOST_ROWS``):
     those whose hash lies under the language's threshold, about a fifth more than
     wanted, and of them the smallest.  Ids give the hash; where null, texts do.
     """
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     every = {r["lang"]: r["count"] for r in counts}
     total = sum(every.values())
-    want = [(lang, w := max(LEAST_ROWS, -(-train_rows * n // total)), min((1 << 63) - 1, int((1 << 63) * min(1.0, 1.2 * w / n)))) for lang, n in every.items()]
+    fewest = max(1, min(LEAST_ROWS, MOST_ROWS // max(1, len(every))))
+    want = [(lang, w := max(fewest, -(-train_rows * n // total)), min((1 << 63) - 1, int((1 << 63) * min(1.0, 1.2 * w / n)))) for lang, n in every.items()]
     quota = labelled.sparkSession.createDataFrame(want, "its_lang string, quota long, below long")
     rows = labelled.withColumn("draw", F.shiftrightunsigned(F.xxhash64(F.lit("langid"), F.coalesce("doc_id", F.xxhash64("text"))), 1))
     rows = rows.join(F.broadcast(quota), F.col("lang") == F.col("its_lang")).filter((F.col("draw") <= F.col("below")) & (F.length("text") > 0))
