@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave.llm.common import id_and_text, partitions, slices, text_buffers, written
 from ledgerweave.llm.components import connected_components, forest
-from ledgerweave.llm.wordhash import LOWER, mix, shingle_hashes, word_hashes
+from ledgerweave.llm.wordhash import LOWER, mix, shingle_hashes, strong_word_hashes
 
 #: A shingle is ranked by its count where a partition has it in at least this share of its rows, and at least so often.
 FREQUENT_SHARE, FREQUENT_LEAST = 0.002, 8
@@ -54,7 +54,7 @@ SAMPLED = 4
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; A-Z count as a-z."""
     buf, off = text_buffers(texts)
-    word, row = word_hashes(LOWER[buf], off)
+    word, row = strong_word_hashes(LOWER[buf], off)
     every, at = shingle_hashes(word, row, width)
     return [np.unique(every[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
@@ -116,8 +116,8 @@ def _prefixes(width: int, percent: int, frequent: np.ndarray, count: np.ndarray)
                     order = np.lexsort((mixed, rank))
                     prefix.append(s[order[: len(s) - needed(len(s), percent) + 1 if len(s) else 0]].view(np.int64))
                 sign = [_sign(s) for s in sets]
-                columns = [part["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(sign, pa.binary()), _lists(prefix), _lists(sample)]
-                yield pa.record_batch(columns, names=["doc_id", "n", "sign", "prefix", "sample"])
+                columns = [part["doc_id"], part["content"], pa.array([len(s) for s in sets], pa.int64()), pa.array(sign, pa.binary()), _lists(prefix), _lists(sample)]
+                yield pa.record_batch(columns, names=["doc_id", "content", "n", "sign", "prefix", "sample"])
 
     return run
 
@@ -226,7 +226,7 @@ def _joined(width: int, percent: int):
                     if held and held[0][0] != row[0]:
                         yield tile(held)
                         held, seen = [], set()
-                    # Rows that share an id bring every text of it; each class is wanted once
+                    # Rows that share id and text come each; a class is wanted once
                     if (row[1], sign) in seen or _sign(shingles) != sign:
                         continue
                     seen.add((row[1], sign))
@@ -259,28 +259,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     * An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
-    rows = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
+    rows = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID))).withColumn("content", F.xxhash64("text"))
     frequent = rows.mapInArrow(_frequent(width), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = frequent.orderBy(F.desc("n"), "shingle").limit(FREQUENT_KEPT).collect()
     key = np.array([r.shingle for r in top], np.int64).view(np.uint64)
     order = np.argsort(key)
     count = np.array([r.n for r in top], np.int64)[order]
-    signed = written(rows.mapInArrow(_prefixes(width, percent, key[order], count), "doc_id long, n long, sign binary, prefix array<long>, sample array<long>"), "prefixes")
+    signed = written(rows.mapInArrow(_prefixes(width, percent, key[order], count), "doc_id long, content long, n long, sign binary, prefix array<long>, sample array<long>"), "prefixes")
 
-    classes = signed.filter("n > 0").groupBy("sign").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.min("n").alias("n"), F.expr("min_by(struct(prefix, sample), doc_id)").alias("lists"))
+    classes = signed.filter("n > 0").groupBy("sign").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "content")).alias("first"), F.count("*").alias("weight"), F.min("n").alias("n"), F.expr("min_by(struct(prefix, sample), doc_id)").alias("lists"))
     # Where postings are many, a class goes by 64 bits of its sign, as shingles do.
-    classes = written(classes.select("sign", F.xxhash64("sign").alias("node"), "rep", "weight", "n", "lists.*"), "classes")
+    classes = written(classes.select("sign", F.xxhash64("sign").alias("node"), "first.*", "weight", "n", "lists.*"), "classes")
     sampled = classes.select("node", F.explode("sample").alias("shingle")).groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("m"))
     alone = sampled.filter("m = 1").groupBy("node").agg(F.count("*").alias("alone"))
     least = F.ceil(F.col("n") * percent / F.lit(100))
     open_ = classes.join(alone, "node", "left").filter(F.coalesce("alone", F.lit(0)) <= F.col("n") - least)
-    open_ = written(open_.select("node", "sign", "rep", "weight", "n", "prefix"), "open")
+    open_ = written(open_.select("node", "sign", "rep", "content", "weight", "n", "prefix"), "open")
     postings = open_.select("node", F.explode("prefix").alias("shingle"))
     hubs = postings.groupBy("shingle").agg(F.min("node").alias("hub"), F.count("*").alias("m")).filter("m > 1").select("shingle", "hub")
     stars = postings.join(hubs, "shingle").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     family = written(connected_components(stars), "families")
 
-    members = written(open_.select("node", "sign", "rep", "weight", "n").join(family, "node").drop("node"), "members")
+    members = written(open_.select("node", "sign", "rep", "content", "weight", "n").join(family, "node").drop("node"), "members")
     sizes = written(members.groupBy("component").agg(F.sum("n").alias("shingles")), "sizes")
     large = sizes.filter(F.col("shingles") > block)
     tiled = members.join(sizes, "component")
@@ -290,20 +290,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     steps = steps.select("component", "n", F.floor(F.coalesce(before, F.lit(0)) / block).alias("from_block"), F.ceil((F.coalesce(before, F.lit(0)) + F.col("s")) / block).alias("to_block"))
     cut = tiled.filter(F.col("shingles") > block).join(steps, ["component", "n"])
     cut = cut.withColumn("at", F.col("from_block") + F.pmod(F.xxhash64("sign"), F.greatest(F.col("to_block") - F.col("from_block"), F.lit(1))))
-    cut = written(cut.select("component", "sign", "rep", "weight", "n", "at"), "blocks")
+    cut = written(cut.select("component", "sign", "rep", "content", "weight", "n", "at"), "blocks")
     edge = cut.groupBy("component", "at").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     other = edge.select(F.col("component").alias("c2"), F.col("at").alias("at2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     # Block i meets block j >= i only where their sizes can link.
     meets = edge.join(other, (F.col("component") == F.col("c2")) & (F.col("at2") >= F.col("at")) & (F.col("low2") * percent <= F.col("high") * 100))
     tiles = meets.select("component", "at", "at2")
-    first = cut.join(tiles, ["component", "at"]).select("sign", "rep", "weight", F.xxhash64("component", "at", "at2").alias("tile"), F.lit(0).alias("side"))
-    second = cut.withColumnRenamed("at", "at2").join(tiles.filter("at2 > at"), ["component", "at2"]).select("sign", "rep", "weight", F.xxhash64("component", "at", "at2").alias("tile"), F.lit(1).alias("side"))
-    whole = tiled.filter(F.col("shingles") <= block).select("sign", "rep", "weight", F.xxhash64("component").alias("tile"), F.lit(0).alias("side"))
+    first = cut.join(tiles, ["component", "at"]).select("sign", "rep", "content", "weight", F.xxhash64("component", "at", "at2").alias("tile"), F.lit(0).alias("side"))
+    second = cut.withColumnRenamed("at", "at2").join(tiles.filter("at2 > at"), ["component", "at2"]).select("sign", "rep", "content", "weight", F.xxhash64("component", "at", "at2").alias("tile"), F.lit(1).alias("side"))
+    whole = tiled.filter(F.col("shingles") <= block).select("sign", "rep", "content", "weight", F.xxhash64("component").alias("tile"), F.lit(0).alias("side"))
     placed = whole.unionByName(first).unionByName(second)
 
     placed = written(placed, "placed")
     # Only texts with candidates go to the tasks; their sets are made there.
-    tasks = rows.join(placed.hint("shuffle_hash"), rows["doc_id"] == placed["rep"]).select("tile", "side", "doc_id", "weight", "sign", "text")
+    # A class goes by the id and the content of its first text, so that rows which share an id do not meet one another.
+    tasks = rows.join(placed.withColumnRenamed("rep", "doc_id").hint("shuffle_hash"), ["doc_id", "content"]).select("tile", "side", "doc_id", "weight", "sign", "text")
     tasks = tasks.repartition(partitions(spark), "tile").sortWithinPartitions("tile", "side", "doc_id")
     found = written(tasks.mapInArrow(_joined(width, percent), "a long, b long, sign binary, links long"), "links")
 

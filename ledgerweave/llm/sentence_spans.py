@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerweave.llm.common import id_and_text, partitions, slices, text_buffers, written
-from ledgerweave.llm.wordhash import mix, powers, running, span_hash, words
+from ledgerweave.llm.wordhash import mix, powers, running, second_hash, second_running, span_hash, words
 
 #: Sentences and words of a run at least, and the words with which any number of sentences is a run.
 SPAN, LEAST_WORDS, LONG_WORDS = 2, 16, 30
@@ -90,9 +90,9 @@ def _runs(span: int, least_words: int, long_words: int):
             if len(cum) < 2:
                 continue
             ids = part["doc_id"].to_numpy()
-            word = span_hash(running(buf), start, end)
+            word, other = span_hash(running(buf), start, end), second_hash(second_running(buf), start, end)
             a, b = large_enough(cum, row, span, least_words, long_words)
-            hashes = [span_hash(_sums(w), cum[a], cum[b + 1]) for w in (word, mix(word ^ np.uint64(0x5851F42D4C957F2D)))]
+            hashes = [span_hash(_sums(word), cum[a], cum[b + 1]), second_hash(second_running(other), cum[a], cum[b + 1])]
             whose = np.searchsorted(row, a, "right") - 1
             yield hashes[0], hashes[1], ids[whose], a - row[whose], b - a + 1
 

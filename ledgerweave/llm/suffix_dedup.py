@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerweave.llm.common import id_and_text, partitions, slices, text_buffers, written
-from ledgerweave.llm.wordhash import mix, running, span_hash
+from ledgerweave.llm.wordhash import mix, running, second_hash, second_running, span_hash
 
 LENGTH, GRAM = 100, 28
 #: A sample with more names than this is split by window.
@@ -85,7 +85,7 @@ def segments(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     n = np.flatnonzero(last) - start + 1
     sample = hashes[place[start]]
     shape = ((place[start] - start) * 1024 + n).astype(np.uint64)
-    name = mix(span_hash(sums, start, start + n + length - 1) ^ mix(shape))
+    name = mix(second_hash(second_running(buf), start, start + n + length - 1) ^ mix(shape))
     return row[start], start - off[:-1][row[start]], n, sample, name
 
 
