@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerweave.operators.forests import components, threshold_components
+from ledgerweave.operators.ordering import running_sums
+
 
 def address_edges(rows: DataFrame) -> DataFrame:
     """source, target, observation_count, is_self_loop, has_reciprocal_edge for each directed pair."""
@@ -43,30 +46,11 @@ def cospend_degree(pairs: DataFrame, least: int = 2) -> DataFrame:
     return ends.groupBy("address").agg(F.count_if(F.col("shared_count") >= least).alias("repeated_degree"), F.max("shared_count").alias("max_shared_count"))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, component (smallest node) by hash-to-min with pointer jumping; each round is checkpointed.
-
-    ``edges``: a, b.  A round takes the least label among neighbours and then the
-    label of that label; the loop ends when no label changes.
-    """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")).checkpoint()
-    for _ in range(rounds):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
-        low = labels.join(near, labels["node"] == near["a"]).select("node", F.least("component", "m").alias("component"), F.col("component").alias("old"))
-        up = low.select(F.col("node").alias("up"), F.col("component").alias("upper"))
-        low = low.join(up, low["component"] == up["up"], "left").select("node", F.least("component", F.coalesce("upper", "component")).alias("component"), "old").checkpoint()
-        labels = low.select("node", "component")
-        if low.filter("component <> old").isEmpty():
-            return labels
-    raise RuntimeError(f"labels still change after {rounds} rounds")
-
-
 def entity_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Every address with its cluster, numbered 1 .. k by smallest address; a node without edges is its own cluster."""
     linked = components(edges.filter("source <> target").select(F.col("source").alias("a"), F.col("target").alias("b")))
     named = nodes.select("address").join(linked, F.col("address") == F.col("node"), "left").select("address", F.coalesce("component", "address").alias("root"))
-    roots = named.select("root").distinct().withColumn("cluster_id", F.row_number().over(Window.orderBy("root")))
+    roots = running_sums(named.select("root").distinct(), [F.col("root")], cluster_id=F.lit(1))
     return named.join(roots, "root").select("address", "cluster_id")
 
 
@@ -77,12 +61,22 @@ def cluster_summary(clusters: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+def clusters_by_threshold(pairs: DataFrame, addresses: DataFrame, thresholds: tuple[int, ...]) -> dict[int, DataFrame]:
+    """For each threshold of shared transactions: address, cluster (smallest address), cluster_size, log_size; one search for all."""
+    linked = threshold_components(pairs, "shared_count", thresholds).checkpoint()
+    sizes = linked.groupBy("threshold", "component").agg(F.count("*").alias("n"))
+    sized = linked.join(sizes, ["threshold", "component"])
+    out = {}
+    for k in thresholds:
+        named = addresses.join(sized.filter(F.col("threshold") == k).drop("threshold"), F.col("address") == F.col("node"), "left")
+        size = F.coalesce("n", F.lit(1))
+        out[k] = named.select("address", F.coalesce("component", "address").alias("cluster"), size.alias("cluster_size"), F.round(F.log1p(size), 6).alias("log_size"))
+    return out
+
+
 def cospend_clusters(pairs: DataFrame, addresses: DataFrame, least: int) -> DataFrame:
-    """address, cluster (smallest address), cluster_size, log_size at one threshold of shared transactions."""
-    linked = components(pairs.filter(F.col("shared_count") >= least).select("a", "b"))
-    named = addresses.join(linked, F.col("address") == F.col("node"), "left").select("address", F.coalesce("component", "address").alias("cluster"))
-    size = F.count("*").over(Window.partitionBy("cluster"))
-    return named.withColumn("cluster_size", size).withColumn("log_size", F.round(F.log1p("cluster_size"), 6))
+    """As :func:`clusters_by_threshold`, at one threshold."""
+    return clusters_by_threshold(pairs, addresses, (least,))[least]
 
 
 def cluster_report(clusters: DataFrame) -> DataFrame:

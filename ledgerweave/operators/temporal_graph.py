@@ -1,8 +1,8 @@
 """Co-spend state of addresses as it was before each step: what a step sees is the graph of strictly earlier steps.
 
 A pair of addresses becomes an edge at threshold k in the step of its k-th common
-transaction.  Degrees and counts are as-of joins on those steps; components are
-contracted step by step, one small round for each step in which an edge appears.
+transaction.  Degrees and counts are running values by step; components come from
+halving the steps (:func:`forests.components_before`).
 """
 
 from __future__ import annotations
@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerweave.operators import entity
+from ledgerweave.operators.forests import components_before
+
+THRESHOLDS = (1, 2, 3)
 
 
 def pair_events(inputs: DataFrame, steps: DataFrame) -> DataFrame:
@@ -49,36 +51,68 @@ def roll_up(steps: DataFrame, states: DataFrame, side: str = "input") -> DataFra
     return steps.select("txid").join(per, "txid", "left").select("txid", z("r").alias(f"{side}_repeated_addresses"), z("m").alias(f"{side}_max_degree"), F.round(z("a"), 6).alias(f"{side}_mean_degree"), z("s").alias(f"{side}_max_shared"))
 
 
-def component_changes(events: DataFrame, threshold: int) -> DataFrame:
-    """node, from_step, component, component_size: a new row whenever a node's component changes.
+def pair_counts(inputs: DataFrame, steps: DataFrame) -> DataFrame:
+    """a, b, time_step, n, upto: common spends of a pair in a step, and up to it; counted by step before anything is ordered."""
+    used = inputs.join(steps, "txid")
+    a = used.select("txid", "time_step", F.col("address").alias("a"))
+    b = used.select("txid", F.col("address").alias("b"))
+    n = a.join(b, "txid").filter("a < b").groupBy("a", "b", "time_step").agg(F.count("*").alias("n"))
+    return n.withColumn("upto", F.sum("n").over(Window.partitionBy("a", "b").orderBy("time_step")))
+
+
+def thresholds_reached(counts: DataFrame, thresholds: tuple[int, ...] = THRESHOLDS) -> DataFrame:
+    """k, a, b, active_from: the step in which a pair's count comes to k."""
+    each = counts.withColumn("k", F.explode(F.array(*map(F.lit, thresholds))))
+    return each.filter((F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("n") < F.col("k"))).select("k", "a", "b", F.col("time_step").alias("active_from"))
+
+
+def states_before(members: DataFrame, counts: DataFrame, thresholds: tuple[int, ...] = THRESHOLDS) -> DataFrame:
+    """State of each (address, time_step) of ``members`` over strictly earlier steps.
+
+    seen (whether any earlier transaction has it), degree (pairs of two or more
+    common spends), max_shared, and for each threshold component_k (null without a
+    pair) and size_k (then 1).
+    """
+    asks = members.select("address", "time_step").distinct()
+    ends = counts.select(F.explode(F.array("a", "b")).alias("address"), "time_step", "n", "upto")
+    per = ends.groupBy("address", "time_step").agg(F.count_if((F.col("upto") >= 2) & (F.col("upto") - F.col("n") < 2)).alias("gained"), F.max("upto").alias("top"))
+    per = per.withColumn("asked", F.lit(0)).unionByName(asks.withColumns({"gained": F.lit(0).cast("long"), "top": F.lit(0).cast("long"), "asked": F.lit(1)}))
+    line = per.groupBy("address", "time_step").agg(F.sum("gained").alias("gained"), F.max("top").alias("top"), F.max("asked").alias("asked"))
+    before = Window.partitionBy("address").orderBy("time_step").rangeBetween(Window.unboundedPreceding, -1)
+    z = lambda c: F.coalesce(c, F.lit(0))
+    state = line.select("address", "time_step", "asked", z(F.sum("gained").over(before)).alias("degree"), z(F.max("top").over(before)).alias("max_shared"), (F.sum("asked").over(before) > 0).alias("seen"))
+    state = state.filter("asked = 1").select("address", "time_step", "degree", "max_shared", F.coalesce("seen", F.lit(False)).alias("seen"))
+    found = components_before(thresholds_reached(counts, thresholds), asks.withColumn("k", F.explode(F.array(*map(F.lit, thresholds)))))
+    of = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    wide = [x for k in thresholds for x in (of(k, "named").alias(f"component_{k}"), of(k, "component_size").alias(f"size_{k}"))]
+    found = found.withColumn("named", F.when(F.col("component_size") > 1, F.col("component")))
+    return state.join(found.groupBy("address", "time_step").agg(*wide), ["address", "time_step"])
+
+
+def graph_features(steps: DataFrame, inputs: DataFrame, outputs: DataFrame, thresholds: tuple[int, ...] = THRESHOLDS) -> DataFrame:
+    """txid, time_step and 22 figures of both sides' addresses, each as it was before the transaction's step.
 
-    The step's new edges are mapped to the labels that hold before it, contracted
-    among themselves, and only the components they touch are relabelled.
+    A side without addresses has zeros and largest clusters of 1.
     """
-    edges = activations(events, threshold).checkpoint()
-    times = [r.active_from for r in edges.select("active_from").distinct().orderBy("active_from").collect()]  # one row a step
-    spark = edges.sparkSession
-    labels = spark.createDataFrame([], "node string, component string")
-    changes = None
-    for t in times:
-        new = edges.filter(F.col("active_from") == t)
-        nodes = new.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))
-        labels = labels.unionByName(nodes)
-        la, lb = labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        mapped = new.join(la, "a").join(lb, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a <> b")
-        merged = entity.components(mapped).withColumnRenamed("node", "old").withColumnRenamed("component", "to")
-        labels = labels.join(merged, F.col("component") == F.col("old"), "left").select("node", F.coalesce("to", "component").alias("component"), F.col("to").isNotNull().alias("moved")).checkpoint()
-        size = labels.groupBy("component").agg(F.count("*").alias("component_size"))
-        moved = labels.filter("moved").select("node", "component").join(size, "component").select("node", F.lit(t).alias("from_step"), "component", "component_size")
-        changes = moved if changes is None else changes.unionByName(moved)
-        labels = labels.drop("moved")
-    return changes if changes is not None else spark.createDataFrame([], "node string, from_step int, component string, component_size long")
-
-
-def component_before(members: DataFrame, changes: DataFrame) -> DataFrame:
-    """The last change strictly before each step: component_size, 1 where there is none."""
-    asks = members.select(F.col("address").alias("node"), "time_step").distinct()
-    line = asks.select("node", F.col("time_step").alias("at"), F.lit(1).alias("ask"), F.lit(None).cast("long").alias("size")).unionByName(changes.select("node", F.col("from_step").alias("at"), F.lit(0).alias("ask"), F.col("component_size").alias("size")))
-    order = Window.partitionBy("node").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    seen = line.withColumn("before", F.last("size", ignorenulls=True).over(order)).filter("ask = 1")
-    return seen.select(F.col("node").alias("address"), F.col("at").alias("time_step"), F.coalesce("before", F.lit(1)).alias("component_size"))
+    sides = {"input": inputs.join(steps, "txid"), "output": outputs.join(steps, "txid")}
+    counts = pair_counts(inputs, steps).checkpoint()
+    states = states_before(sides["input"].unionByName(sides["output"]), counts, thresholds).checkpoint()
+    out = steps.select("txid", "time_step")
+    z = lambda c, d=0: F.coalesce(c, F.lit(d))
+    for side, members in sides.items():
+        clusters = [x for k in thresholds for x in (F.countDistinct(f"component_{k}").alias(f"c{k}"), F.max(f"size_{k}").alias(f"s{k}"))]
+        per = members.join(states, ["address", "time_step"]).groupBy("txid").agg(
+            F.count("*").alias("n"), F.count_if(F.col("degree") > 0).alias("r"), F.max("degree").alias("d"), F.max("max_shared").alias("m"), F.count_if("seen").alias("seen"), *clusters
+        )
+        out = out.join(per, "txid", "left").select(
+            *out.columns, z("r").alias(f"{side}_repeated_cosponsor_count"), z(F.col("r") / F.col("n"), 0.0).alias(f"{side}_repeated_cosponsor_ratio"), z("d").alias(f"{side}_max_repeated_cosponsor_degree"), z("m").alias(f"{side}_max_shared_transaction_count"),
+            *(z(f"c{k}").alias(f"{side}_distinct_clusters_t{k}") for k in thresholds), *(z(f"s{k}", 1).alias(f"{side}_max_cluster_size_t{k}") for k in thresholds), z("seen").alias(f"entity_{side}_address_count"),
+        )
+    return out
+
+
+def first_states(steps: DataFrame, inputs: DataFrame, outputs: DataFrame, thresholds: tuple[int, ...] = THRESHOLDS) -> DataFrame:
+    """Each address at the first step that has it: its state before that step, so nothing has been seen of it."""
+    members = inputs.unionByName(outputs).join(steps, "txid")
+    first = members.groupBy("address").agg(F.min("time_step").alias("time_step"))
+    return states_before(first, pair_counts(inputs, steps), thresholds)

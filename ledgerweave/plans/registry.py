@@ -261,7 +261,7 @@ def entity_sides(spark, sf) -> DataFrame:
     inputs, outputs, steps = d.tx_inputs(spark, sf), d.tx_outputs(spark, sf), d.steps(spark, sf)
     addresses = inputs.union(outputs).select("address").distinct()
     pairs = _pairs(spark, sf).checkpoint()
-    clusters = {k: entity.cospend_clusters(pairs, addresses, k) for k in (1, 2, 3)}
+    clusters = entity.clusters_by_threshold(pairs, addresses, (1, 2, 3))
     evidence = entity.clustered_evidence(addresses, entity.cospend_degree(pairs), clusters).checkpoint()
     of_inputs, of_outputs = (entity.transaction_entity_evidence(steps, m, evidence, side, tuple(clusters)) for m, side in ((inputs, "input"), (outputs, "output")))
     return of_inputs.join(of_outputs, "txid")
@@ -371,7 +371,7 @@ def w10(spark, sf):
 
 
 def peeling(spark, sf):
-    steps, pairs = d.steps(spark, sf), _pred(spark, sf)
+    steps, pairs = d.steps(spark, sf), _pred(spark, sf).checkpoint()
     metrics = behavior.chain_metrics(behavior.longest_chains(steps, pairs), _values(spark, sf), steps)
     return behavior.peeling(steps, behavior.predecessor_summary(pairs), metrics)
 

@@ -58,8 +58,8 @@ def test_temporal_components(spark):
     steps = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (4, 4)], "txid long, time_step int")
     inputs = spark.createDataFrame([(1, "A"), (1, "B"), (2, "B"), (2, "C"), (3, "A"), (3, "C"), (4, "A"), (4, "D")], "txid long, address string")
     members = inputs.join(steps, "txid")
-    changes = temporal_graph.component_changes(temporal_graph.pair_events(inputs, steps), 1)
-    got = {(r.address, r.time_step): r.component_size for r in temporal_graph.component_before(members, changes).collect()}
+    states = temporal_graph.states_before(members, temporal_graph.pair_counts(inputs, steps))
+    got = {(r.address, r.time_step): r.size_1 for r in states.collect()}
     assert got == {("A", 1): 1, ("B", 1): 1, ("B", 2): 2, ("C", 2): 1, ("A", 3): 3, ("C", 3): 3, ("A", 4): 3, ("D", 4): 1}
 
 
