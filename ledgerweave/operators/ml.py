@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerweave.operators.ordering import value_counts
+from ledgerweave.operators.ordering import running_sums, value_counts
 
 
 def step_split(steps: DataFrame, train: float = 0.6, validation: float = 0.8) -> DataFrame:
@@ -101,6 +101,63 @@ def average_precision(df: DataFrame, score: str, positive: str) -> DataFrame:
     return cum.agg(F.try_divide(F.sum(F.col("p") * F.col("tp") / F.col("k")), F.sum("p")).alias("pr_auc"))
 
 
+def imputed(df: DataFrame, train: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` with nulls and NaN of ``columns`` filled by the medians of ``train``, and a 0/1 column ``<c>_missing`` for each that ``train`` lacks somewhere; and all feature names.
+
+    Nothing is learned from rows outside ``train``; a column that is null throughout becomes 0.
+    """
+    bad = lambda c: F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+    one = train.agg(*(F.percentile_approx(F.when(~bad(c), F.col(c).cast("double")), 0.5, 10_000).alias(c) for c in columns), *(F.max(bad(c).cast("int")).alias(f"{c}_missing") for c in columns)).first()
+    flags = [c for c in columns if one[f"{c}_missing"]]
+    filled = {c: F.when(bad(c), F.lit(one[c] if one[c] is not None else 0.0)).otherwise(F.col(c).cast("double")) for c in columns}
+    return df.withColumns({f"{c}_missing": bad(c).cast("double") for c in flags} | filled), [*columns, *(f"{c}_missing" for c in flags)]
+
+
+def ranked_areas(df: DataFrame, by: str, classes: int) -> DataFrame:
+    """``by``, class, positives, negatives, roc_auc and pr_auc of each class against the rest, from (by, label, probabilities).
+
+    All groups and classes are stacked into counts by score, and one ordered pass
+    over these gives every area; null where a group has only one kind.
+    """
+    each = df.select(by, "label", F.posexplode("probabilities").alias("c", "s")).filter(F.col("c") < classes)
+    counts = each.groupBy(by, "c", "s").agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("c")).alias("p"))
+    upto = running_sums(counts, [F.col(by).asc(), F.col("c").asc(), F.col("s").desc()], k=F.col("n"), tp=F.col("p"))
+    total = counts.groupBy(by, "c").agg(F.sum("n").alias("all"), F.sum("p").alias("pos"))
+    order = Window.orderBy(by, "c").rowsBetween(Window.unboundedPreceding, -1)  # groups times classes rows
+    total = total.select("*", F.coalesce(F.sum("all").over(order), F.lit(0)).alias("k0"), F.coalesce(F.sum("pos").over(order), F.lit(0)).alias("tp0"))
+    rows = upto.join(total, [by, "c"]).select(by, "c", "n", "p", (F.col("k") - F.col("k0")).alias("k"), (F.col("tp") - F.col("tp0")).alias("tp"), "all", "pos")
+    miss = F.col("n") - F.col("p")
+    areas = rows.groupBy(by, "c").agg(
+        F.max("pos").alias("positives"), (F.max("all") - F.max("pos")).alias("negatives"),
+        F.sum(miss * (F.col("tp") - F.col("p") + F.col("p") / 2)).alias("won"), F.sum(F.col("p") * F.col("tp") / F.col("k")).alias("gained"),
+    )
+    return areas.select(by, F.col("c").alias("class"), "positives", "negatives", F.try_divide("won", F.col("positives") * F.col("negatives")).alias("roc_auc"), F.try_divide("gained", "positives").alias("pr_auc"))
+
+
+def metrics_by(df: DataFrame, by: str, classes: int) -> DataFrame:
+    """``by``, n, accuracy, macro_f1, log_loss, brier, roc_auc and pr_auc (means over the classes that have both kinds) from (by, label, predicted, probabilities)."""
+    truth = F.get("probabilities", F.col("label").cast("int"))
+    brier = F.aggregate(F.transform("probabilities", lambda p, i: (p - (i == F.col("label")).cast("double")) * (p - (i == F.col("label")).cast("double"))), F.lit(0.0), lambda a, x: a + x)
+    rows = df.select(by, F.col("label").cast("int").alias("label"), "predicted", (-F.log(F.greatest(truth, F.lit(1e-15)))).alias("loss"), brier.alias("brier"))
+    cells = rows.groupBy(by, "label", "predicted").agg(F.count("*").alias("n"), F.sum("loss").alias("loss"), F.sum("brier").alias("brier"))
+    hit = F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0)
+    whole = cells.groupBy(by).agg((F.sum(hit) / F.sum("n")).alias("accuracy"), (F.sum("loss") / F.sum("n")).alias("log_loss"), (F.sum("brier") / F.sum("n")).alias("brier"), F.sum("n").alias("n"))
+    ends = cells.select(by, "n", hit.alias("h"), F.explode(F.array(F.struct(F.col("label").alias("c"), F.lit(1).alias("t")), F.struct(F.col("predicted").alias("c"), F.lit(0).alias("t")))).alias("e"))
+    f1 = ends.groupBy(by, "e.c").agg(F.sum("n").alias("both"), F.sum(F.col("h") * F.col("e.t")).alias("h"))
+    f1 = f1.groupBy(by).agg(F.avg(2 * F.col("h") / F.col("both")).alias("macro_f1"))
+    areas = ranked_areas(df, by, classes).groupBy(by).agg(F.avg("roc_auc").alias("roc_auc"), F.avg(F.when(F.col("positives") > 0, F.col("pr_auc"))).alias("pr_auc"))
+    return whole.join(f1, by).join(areas, by).select(by, "n", "accuracy", "macro_f1", "log_loss", "brier", "roc_auc", "pr_auc")
+
+
+METRICS = ("accuracy", "macro_f1", "log_loss", "brier", "roc_auc", "pr_auc")
+
+
+def window_deltas(metrics: DataFrame, by: str, early: str, late: str) -> DataFrame:
+    """metric, early, late and delta (late less early) of two of the groups of :func:`metrics_by`."""
+    one = lambda which: metrics.filter(F.col(by) == which).select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in METRICS))).alias("e")).select("e.metric", F.col("e.v").alias(which))
+    return one(early).join(one(late), "metric").select("metric", F.col(early).alias("early"), F.col(late).alias("late"), (F.col(late) - F.col(early)).alias("delta"))
+
+
 def fit_temperature(df: DataFrame, low: float = 0.05, high: float = 10.0, rounds: int = 24) -> float:
     """Temperature with the least log loss of (label, probabilities): golden-section search, one aggregation a round."""
     logits = df.select("label", F.transform("probabilities", lambda p: F.log(F.greatest(p, F.lit(1e-15)))).alias("z")).cache()
