@@ -13,7 +13,7 @@ from ledgerweave import domain as d
 from ledgerweave.operators import boosting, features, ml, trees
 from ledgerweave.plans.registry import query, rounded
 
-ITERATIONS = 8
+ITERATIONS = 4
 #: Level-wise trees with sampled rows and features, and leaf-limited trees over all of them.
 DEEP = boosting.Settings(iterations=ITERATIONS, rate=0.04, max_leaves=64, max_depth=6, least_rows=1, least_hessian=3.0, rows=0.85, features=0.85)
 WIDE = boosting.Settings(iterations=ITERATIONS, rate=0.08, max_leaves=31, least_rows=30)

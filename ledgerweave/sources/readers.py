@@ -6,6 +6,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerweave.functions import normalize
 from ledgerweave.operators import validate
@@ -32,12 +33,16 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Records under any of the known element names, namespaces ignored.  Nested lists become JSON text."""
+    """Records under any of the known element names, namespaces ignored.  Nested lists become JSON text; all else is the text as it stands."""
     found = None
     for tag in ROW_TAGS:
-        df = spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", True).option("inferSchema", True).option("primitivesAsString", True).load(path)
+        reader = spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", True)
+        df = reader.option("inferSchema", True).load(path)
         if not df.columns or set(df.columns) <= {"_VALUE"}:
             continue
+        # The names and lists are inferred, but no type: a date would lose its notation
+        plain = [T.StructField(f.name, f.dataType if isinstance(f.dataType, (T.ArrayType, T.StructType)) else T.StringType()) for f in df.schema]
+        df = reader.schema(T.StructType(plain)).load(path)
         df = df.select(*(F.to_json(c).alias(c) if t.startswith(("array", "struct")) else F.col(c).cast("string") for c, t in df.dtypes))
         found = df if found is None else found.unionByName(df, allowMissingColumns=True)
     if found is None:
@@ -48,8 +53,8 @@ def read_xml(spark: SparkSession, path: str) -> DataFrame:
 READERS = {".csv": read_csv, ".json": read_json, ".xml": read_xml}
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The reader is chosen by the path's suffix; a path that is missing or no file is refused."""
+def checked_path(spark: SparkSession, path: str) -> str:
+    """The path's suffix; a path of another format, or one that is missing or no file, is refused."""
     suffix = path[path.rfind(".") :].lower()
     if suffix not in READERS:
         raise ValueError(f"unsupported format {suffix!r}")
@@ -57,7 +62,12 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not files.exists(target) or not files.getFileStatus(target).isFile():
         raise FileNotFoundError(path)
-    return READERS[suffix](spark, path)
+    return suffix
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """The reader is chosen by the path's suffix."""
+    return READERS[checked_path(spark, path)](spark, path)
 
 
 def optional_parquet(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, bool]:
