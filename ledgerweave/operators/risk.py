@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerweave.operators.ordering import percentiles, running_sums, value_counts
+from ledgerweave.operators.ordering import percentiles, percentiles_by, running_sums, value_counts
 
 # Channel weights, agreement bonus by number of channels, bands.
 WEIGHTS = {"ml": 0.15, "anomaly": 0.20, "behavioral": 0.30, "entity": 0.20, "network": 0.15}
@@ -150,9 +150,11 @@ def by_step(alerts: DataFrame, first: int = 1, last: int = 49) -> DataFrame:
     """Every step of a range, also those without alerts."""
     r = F.col("risk_score")
     per = alerts.filter(F.col("time_step").between(first, last)).groupBy("time_step").agg(
-        F.count("*").alias("n"), F.round(F.avg(r), 4).alias("mean_risk"), F.round(F.percentile(r, F.lit(0.5)), 4).alias("median_risk"),
+        F.count("*").alias("n"), F.round(F.avg(r), 4).alias("mean_risk"),
         F.count_if(F.col("alert_priority") == "HIGH").alias("n_high"), F.count_if(F.col("alert_status") == "ACTIVE").alias("n_active"), F.count_if("top_alert_queue").alias("n_top"),
     )
+    median = percentiles_by(alerts.filter(F.col("time_step").between(first, last)), "time_step", "risk_score", {"m": 0.5})
+    per = per.join(median.select("time_step", F.round("m", 4).alias("median_risk")), "time_step")
     spine = alerts.sparkSession.range(first, last + 1).select(F.col("id").cast("int").alias("time_step"))
     return spine.join(per, "time_step", "left").fillna(0)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,20 +27,52 @@ def query(name: str, sql: str | None = None, *ctes: str):
     return register
 
 
-_MADE: dict[tuple[str, str, str], DataFrame] = {}
+#: Tables that several queries read, by application, function and the versions of the input files; at most so many are kept.
+_MADE: dict[tuple, tuple[DataFrame, str]] = {}
+MOST_MADE = 8
+
+
+def _files(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> tuple:
+    """Name, length and time of change of everything in a folder."""
+    files, target = _files(spark, sf_dir)
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in files.listStatus(target)))
+
+
+def forget(spark: SparkSession, keep: int = 0) -> None:
+    """Deletes all but the ``keep`` newest of the tables that :func:`made_once` holds."""
+    while len(_MADE) > keep:
+        _, path = _MADE.pop(next(iter(_MADE)))
+        try:
+            files, target = _files(spark, path)
+            files.delete(target, True)
+        except Exception:  # the application that made it may be gone, and its folder with it
+            pass
 
 
 def made_once(make: Query) -> Query:
-    """A table that several queries read is checkpointed by the first of them and read by the others of the application.
+    """A table that several queries read is written to the shared folder by the first of them and read by the others.
 
-    The tables below ``sf_dir`` are taken not to change while it runs.
+    It is made again when a file below ``sf_dir`` changes, and deleted when
+    ``MOST_MADE`` newer ones are held, by :func:`forget`, or as the session's folder is.
     """
 
     def get(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, sf_dir, make.__name__)
+        key = (spark.sparkContext.applicationId, sf_dir, make.__name__, _versions(spark, sf_dir))
         if key not in _MADE:
-            _MADE[key] = make(spark, sf_dir).checkpoint()
-        return _MADE[key]
+            df = make(spark, sf_dir)
+            folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+            if folder is None:
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            path = f"{folder.rstrip('/')}/made-{make.__name__}-{uuid.uuid4().hex}"
+            df.write.parquet(path)
+            forget(spark, MOST_MADE - 1)
+            _MADE[key] = (spark.read.schema(df.schema).parquet(path), path)
+        return _MADE[key][0]
 
     get.__doc__ = make.__doc__
     return get
@@ -370,22 +403,58 @@ def w10(spark, sf):
     return behavior.predecessor_summary(_pred(spark, sf)).withColumn("best_reduction", F.round(F.col("best_reduction") + 1e-9, 4))
 
 
+@made_once
+def predecessors(spark, sf) -> DataFrame:
+    return _pred(spark, sf)
+
+
+@made_once
+def chains(spark, sf) -> DataFrame:
+    return behavior.longest_chains(d.steps(spark, sf), predecessors(spark, sf))
+
+
 def peeling(spark, sf):
-    steps, pairs = d.steps(spark, sf), _pred(spark, sf).checkpoint()
-    metrics = behavior.chain_metrics(behavior.longest_chains(steps, pairs), _values(spark, sf), steps)
+    steps, pairs = d.steps(spark, sf), predecessors(spark, sf)
+    metrics = behavior.chain_metrics(chains(spark, sf), _values(spark, sf), steps)
     return behavior.peeling(steps, behavior.predecessor_summary(pairs), metrics)
 
 
-@query("g7_longest_chains")
+#: The chains step by step: each round of the recursion adds a step's transactions, with what is known of all earlier ones.
+CHAINS = [
+    "links AS (SELECT p.txid, p.previous, s.time_step FROM pred p JOIN steps s ON p.txid = s.txid WHERE p.reduction BETWEEN .05 AND .95)",
+    "st AS (SELECT row_number() OVER (ORDER BY time_step) AS i, time_step FROM (SELECT DISTINCT time_step FROM steps))",
+    "ch(txid, i, time_step, chain) USING KEY (txid) AS (SELECT txid, i, steps.time_step, [txid::VARCHAR] FROM steps JOIN st USING (time_step) WHERE i = 1 UNION "
+    "SELECT s.txid, st.i, s.time_step, coalesce(b.g.chain, [s.txid::VARCHAR]) FROM (SELECT max(i) + 1 AS i FROM ch) n JOIN st ON st.i = n.i JOIN steps s ON s.time_step = st.time_step "
+    "LEFT JOIN (SELECT txid, time_step, min({'n': -len(chain), 'chain': chain}) AS g FROM (SELECT l.txid, l.time_step, list_append(p.chain, l.txid::VARCHAR)[-10:] AS chain FROM links l JOIN recurring.ch p ON p.txid = l.previous) GROUP BY ALL) b ON b.txid = s.txid)",
+]
+PEELING = [
+    *CHAINS,
+    "vals AS (SELECT txid, round(sum(due), 4) AS value FROM raw GROUP BY txid)",
+    "pts AS (SELECT c.txid, len(c.chain) AS n, pos, v.value, s.time_step AS step FROM (SELECT txid, chain, unnest(chain)::BIGINT AS member, generate_subscripts(chain, 1) AS pos FROM ch WHERE len(chain) >= 3) c JOIN vals v ON v.txid = member JOIN steps s ON s.txid = member)",
+    "cuts AS (SELECT *, lag(value) OVER w AS before, step - lag(step) OVER w AS gap FROM pts WINDOW w AS (PARTITION BY txid ORDER BY pos))",
+    "cutr AS (SELECT *, CASE WHEN before > 0 THEN (before - value) / before END AS cut FROM cuts)",
+    "met AS (SELECT txid, any_value(n) AS chain_length, coalesce(bool_and(cut BETWEEN .05 AND .95) FILTER (WHERE pos > 1), true) AS chain_valid, max(step) - min(step) AS temporal_span, CASE WHEN arg_min(value, pos) > 0 THEN round((arg_min(value, pos) - arg_max(value, pos)) / arg_min(value, pos), 6) END AS total_reduction, "
+    "round(min(cut), 6) AS min_reduction, round(max(cut), 6) AS max_reduction, coalesce(bool_and(gap = 1) FILTER (WHERE pos > 1), true) AS all_gaps_one FROM cutr GROUP BY txid)",
+    "summ AS (SELECT txid, count(*) AS predecessor_count, sum(shared)::BIGINT AS shared_address_links, count(*) FILTER (WHERE ok) AS valid_predecessor_count, max(reduction) FILTER (WHERE ok) AS best_reduction, first(previous ORDER BY ok DESC, reduction DESC, previous::VARCHAR) FILTER (WHERE ok) AS best_previous, "
+    "bool_or(gap = 1) AS direct_continuation, coalesce(bool_or(ok), false) AS gradual_reduction FROM (SELECT *, coalesce(reduction BETWEEN .05 AND .95, false) AS ok FROM pred) GROUP BY txid)",
+    "peel0 AS (SELECT s.txid, s.time_step, coalesce(predecessor_count, 0) AS predecessor_count, coalesce(shared_address_links, 0) AS shared_address_links, coalesce(valid_predecessor_count, 0) AS valid_predecessor_count, best_reduction, best_previous, coalesce(direct_continuation, false) AS direct_continuation, "
+    "coalesce(gradual_reduction, false) AS gradual_reduction, coalesce(chain_length, 0) AS chain_length, coalesce(chain_valid, false) AS chain_valid, coalesce(temporal_span, 0) AS temporal_span, total_reduction, min_reduction, max_reduction, coalesce(all_gaps_one, false) AS all_gaps_one "
+    "FROM steps s LEFT JOIN summ ON s.txid = summ.txid LEFT JOIN met ON s.txid = met.txid)",
+    "peel AS (SELECT *, round(least(1.0, .25 * direct_continuation::INT + .25 * gradual_reduction::INT + .25 * chain_valid::INT + chain_valid::INT * .05 * least(greatest(chain_length - 3, 0), 4) + .1 * chain_valid::INT * all_gaps_one::INT + .1 * (shared_address_links >= 2)::INT), 6)::DOUBLE AS peeling_evidence_score, direct_continuation OR gradual_reduction AS peeling_candidate FROM peel0)",
+]
+
+
+@query("g7_longest_chains", "SELECT txid, time_step, array_to_string(chain, '>') AS chain FROM ch", *CHAINS)
 def g7(spark, sf):
-    return behavior.longest_chains(d.steps(spark, sf), _pred(spark, sf)).withColumn("chain", F.concat_ws(">", "chain"))
+    return chains(spark, sf).withColumn("chain", F.concat_ws(">", "chain"))
 
 
-@query("g8_f7_peeling")
+@query("g8_f7_peeling", "SELECT * FROM peel", *PEELING)
 def g8(spark, sf):
     return peeling(spark, sf)
 
 
-@query("j9_f10_behavioral_evidence")
+@query("j9_f10_behavioral_evidence", """SELECT *, CASE WHEN behavioral_evidence_score < .2 THEN 'LOW' WHEN behavioral_evidence_score < .5 THEN 'MODERATE' WHEN behavioral_evidence_score < .75 THEN 'HIGH' ELSE 'VERY_HIGH' END AS behavioral_level FROM (
+  SELECT p.txid, p.time_step, peeling_evidence_score, peeling_candidate, mixing_evidence_score, mixing_candidate, round(.5 * peeling_evidence_score + .5 * mixing_evidence_score, 6) AS behavioral_evidence_score, peeling_candidate::INT + mixing_candidate::INT AS behavioral_signal_count FROM peel p JOIN mixing m ON p.txid = m.txid)""", *PEELING)
 def j9(spark, sf):
     return behavior.behavioral_evidence(peeling(spark, sf), mixing(spark, sf))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave import domain as d
 from ledgerweave.operators import behavior, features, graph, network, profile, risk, validate
+from ledgerweave.operators.ordering import percentiles_by
 from ledgerweave.plans.registry import DEGREE, ENT, entity_sides, made_once, mixing, peeling, query, rounded
 
 # --- signals and fusion ----------------------------------------------------------------------------------------
@@ -190,8 +191,9 @@ def a22(spark, sf):
 @query("a21_a23_step_diagnostics", """SELECT time_step, count(*) AS n, round(avg(risk_score), 4) AS mean, round(stddev_pop(risk_score), 4) AS std, round(quantile_cont(risk_score, .95), 4) AS p95, round(quantile_cont(risk_score, .99), 4) AS p99, round(avg((behavioral_signal > .5)::INT), 4) AS behavioral_rate FROM scored GROUP BY 1""", *RISK)
 def a21(spark, sf):
     r = F.col("risk_score")
-    per = scored(spark, sf).groupBy("time_step").agg(F.count("*").alias("n"), F.avg(r).alias("mean"), F.stddev_pop(r).alias("std"), F.percentile(r, F.lit(0.95)).alias("p95"), F.percentile(r, F.lit(0.99)).alias("p99"), F.avg((F.col("behavioral_signal") > 0.5).cast("int")).alias("behavioral_rate"))
-    return rounded(per)
+    rows = scored(spark, sf)
+    per = rows.groupBy("time_step").agg(F.count("*").alias("n"), F.avg(r).alias("mean"), F.stddev_pop(r).alias("std"), F.avg((F.col("behavioral_signal") > 0.5).cast("int")).alias("behavioral_rate"))
+    return rounded(per.join(percentiles_by(rows, "time_step", "risk_score", {"p95": 0.95, "p99": 0.99}), "time_step"))
 
 
 def gates(table: str, conditions: dict[str, str], key: str | None = None) -> str:
