@@ -68,15 +68,22 @@ def needed(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return -(-n * percent // 100)
 
 
-def _frequent(width: int):
-    """Shingles that many rows of the partition have, with their counts."""
+_SIGNED = "doc_id long, content long, n long, sign binary, shingle long, count long"
+
+
+def _signs(width: int):
+    """Size and sign of each row's set; and at the end, shingles that many rows of the partition have, with their counts."""
+    names = [f.split()[0] for f in _SIGNED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, rough, parts = 0, np.zeros(1 << 20, np.int32), []
         for batch in batches:
             rows += batch.num_rows
             for part in slices(batch, 1):
-                every = np.concatenate(shingle_sets(part["text"], width) or [np.empty(0, np.uint64)])
+                sets = shingle_sets(part["text"], width)
+                none = pa.nulls(len(sets), pa.int64())
+                yield pa.record_batch([part["doc_id"], part["content"], pa.array([len(s) for s in sets], pa.int64()), pa.array([_sign(s) for s in sets], pa.binary()), none, none], names=names)
+                every = np.concatenate(sets or [np.empty(0, np.uint64)])
                 rough += np.bincount((every >> np.uint64(44)).astype(np.int64), minlength=1 << 20).astype(np.int32)
                 parts.append(every)
                 if sum(map(len, parts)) > 4_000_000:  # bounded: only what may still be frequent stays
@@ -85,7 +92,8 @@ def _frequent(width: int):
         if parts:
             found, n = np.unique(_common(parts, rough, least), return_counts=True)
             keep = n >= least
-            yield pa.record_batch([pa.array(found[keep].view(np.int64)), pa.array(n[keep])], names=["shingle", "n"])
+            none = pa.nulls(int(keep.sum()), pa.int64())
+            yield pa.record_batch([none, none, none, pa.nulls(len(none), pa.binary()), pa.array(found[keep].view(np.int64)), pa.array(n[keep])], names=names)
 
     return run
 
@@ -260,14 +268,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     rows = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID))).withColumn("content", F.xxhash64("text"))
-    frequent = rows.mapInArrow(_frequent(width), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    first = written(rows.mapInArrow(_signs(width), _SIGNED), "signs")
+    signed = first.filter("sign is not null").select("doc_id", "content", "n", "sign")
+    frequent = first.filter("shingle is not null").groupBy("shingle").agg(F.sum("count").alias("n"))
     top = frequent.orderBy(F.desc("n"), "shingle").limit(FREQUENT_KEPT).collect()
     key = np.array([r.shingle for r in top], np.int64).view(np.uint64)
     order = np.argsort(key)
     count = np.array([r.n for r in top], np.int64)[order]
-    signed = written(rows.mapInArrow(_prefixes(width, percent, key[order], count), "doc_id long, content long, n long, sign binary, prefix array<long>, sample array<long>"), "prefixes")
-
-    classes = signed.filter("n > 0").groupBy("sign").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "content")).alias("first"), F.count("*").alias("weight"), F.min("n").alias("n"), F.expr("min_by(struct(prefix, sample), doc_id)").alias("lists"))
+    # Prefixes and samples, the bulk of it, go to their classes without being written before.
+    listed = rows.mapInArrow(_prefixes(width, percent, key[order], count), "doc_id long, content long, n long, sign binary, prefix array<long>, sample array<long>")
+    classes = listed.filter("n > 0").groupBy("sign").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "content")).alias("first"), F.count("*").alias("weight"), F.min("n").alias("n"), F.expr("min_by(struct(prefix, sample), doc_id)").alias("lists"))
     # Where postings are many, a class goes by 64 bits of its sign, as shingles do.
     classes = written(classes.select("sign", F.xxhash64("sign").alias("node"), "first.*", "weight", "n", "lists.*"), "classes")
     sampled = classes.select("node", F.explode("sample").alias("shingle")).groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("m"))
