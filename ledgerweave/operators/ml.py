@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerweave.operators.ordering import running_sums, value_counts
@@ -101,16 +101,25 @@ def average_precision(df: DataFrame, score: str, positive: str) -> DataFrame:
     return cum.agg(F.try_divide(F.sum(F.col("p") * F.col("tp") / F.col("k")), F.sum("p")).alias("pr_auc"))
 
 
-def imputed(df: DataFrame, train: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str]]:
-    """``df`` with nulls and NaN of ``columns`` filled by the medians of ``train``, and a 0/1 column ``<c>_missing`` for each that ``train`` lacks somewhere; and all feature names.
+def _lacks(c: str) -> Column:
+    return F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
 
-    Nothing is learned from rows outside ``train``; a column that is null throughout becomes 0.
-    """
-    bad = lambda c: F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
-    one = train.agg(*(F.percentile_approx(F.when(~bad(c), F.col(c).cast("double")), 0.5, 10_000).alias(c) for c in columns), *(F.max(bad(c).cast("int")).alias(f"{c}_missing") for c in columns)).first()
-    flags = [c for c in columns if one[f"{c}_missing"]]
-    filled = {c: F.when(bad(c), F.lit(one[c] if one[c] is not None else 0.0)).otherwise(F.col(c).cast("double")) for c in columns}
-    return df.withColumns({f"{c}_missing": bad(c).cast("double") for c in flags} | filled), [*columns, *(f"{c}_missing" for c in flags)]
+
+def fit_imputer(train: DataFrame, columns: list[str]) -> dict:
+    """Medians of ``train`` (0 where a column is null throughout), and which columns lack values there."""
+    one = train.agg(*(F.percentile_approx(F.when(~_lacks(c), F.col(c).cast("double")), 0.5, 10_000).alias(c) for c in columns), *(F.max(_lacks(c).cast("int")).alias(f"{c}_missing") for c in columns)).first()
+    return {"columns": list(columns), "medians": {c: float(one[c]) if one[c] is not None else 0.0 for c in columns}, "flags": [c for c in columns if one[f"{c}_missing"]]}
+
+
+def impute(df: DataFrame, imputer: dict) -> tuple[DataFrame, list[str]]:
+    """``df`` with the medians in place of nulls and NaN, and a 0/1 column ``<c>_missing`` for each flagged column; and all feature names."""
+    filled = {c: F.when(_lacks(c), F.lit(imputer["medians"][c])).otherwise(F.col(c).cast("double")) for c in imputer["columns"]}
+    return df.withColumns({f"{c}_missing": _lacks(c).cast("double") for c in imputer["flags"]} | filled), [*imputer["columns"], *(f"{c}_missing" for c in imputer["flags"])]
+
+
+def imputed(df: DataFrame, train: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str]]:
+    """Both in one; nothing is learned from rows outside ``train``."""
+    return impute(df, fit_imputer(train, columns))
 
 
 def ranked_areas(df: DataFrame, by: str, classes: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerweave import domain as d
-from ledgerweave.operators import temporal_graph, validate
+from ledgerweave.operators import layout, temporal_graph, validate
 from ledgerweave.plans.registry import query, rounded
 from ledgerweave.plans.registry_risk import gates
 
@@ -71,3 +71,10 @@ def first_step_gates(features):
 @query("q9_first_step_state", gates("(SELECT * FROM steps JOIN input USING (txid) JOIN output USING (txid) WHERE time_step = (SELECT min(time_step) FROM steps))", {c: f"{c} = {v}" for c, v in _GATES.items()}, "txid"), *FEATURES)
 def q9(spark, sf):
     return first_step_gates(graph_features(spark, sf))
+
+
+@query("g10_address_history", """SELECT address, row_number() OVER o AS position, time_step, txid, role, time_step - lag(time_step) OVER o AS steps_since FROM (
+  SELECT address, time_step, txid, role FROM (SELECT *, 'INPUT' AS role FROM ins UNION ALL SELECT *, 'OUTPUT' FROM outs) JOIN steps USING (txid)) WINDOW o AS (PARTITION BY address ORDER BY time_step, txid::VARCHAR, role)""")
+def g10(spark, sf):
+    """Every address's appearances in order."""
+    return layout.address_history(layout.address_roles(d.steps(spark, sf), d.tx_inputs(spark, sf), d.tx_outputs(spark, sf)))

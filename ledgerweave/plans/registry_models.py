@@ -6,11 +6,13 @@ machine; they read all rows, and their number of iterations is stated here.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerweave import domain as d
-from ledgerweave.operators import boosting, features, ml, trees
+from ledgerweave.operators import artifacts, boosting, features, ml, trees
 from ledgerweave.plans.registry import query, rounded
 
 ITERATIONS = 4
@@ -91,3 +93,17 @@ def m11(spark, sf):
     s = F.round(1 / (1 + F.log1p("total_btc")), 3)
     tx = d.canonical(spark, sf).select(F.when(F.col("time_step") % 2 == 0, "even").otherwise("odd").alias("window"), (F.col("label") - 1).alias("label"), F.array(s, 1 - s, s * s).alias("probabilities"))
     return rounded(ml.ranked_areas(tx, "window", CLASSES), 6)
+
+
+@query("m3_m17_frozen_test_scores")
+def m17(spark, sf):
+    """The test steps scored by a model that was saved and read back."""
+    rows, columns = unified(spark, sf)
+    rows = rows.checkpoint()
+    train = rows.filter("part = 'train'")
+    imputer = ml.fit_imputer(train, columns)
+    filled, names = ml.impute(train, imputer)
+    model = boosting.fit(ml.balanced(filled), "txid", names, CLASSES, WIDE)
+    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()).rstrip('/')}/model-{uuid.uuid4().hex}"
+    artifacts.save(spark, path, model, imputer, [1, 2, 3])
+    return rounded(artifacts.SavedModel(spark, path).score(rows.filter("part = 'test'"), ["txid", "time_step"]).drop("probabilities"), 6)
