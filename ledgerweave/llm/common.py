@@ -25,15 +25,16 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     ``spark.checkpoint.dir`` of the session is used.  Where it is unset, a local
-    master gets a temporary folder of its own, any other master a folder in
-    the warehouse; a machine-local temporary folder never serves a cluster.
+    master gets a temporary folder of its own, and any other master is refused: no
+    default names a folder that all machines of a cluster share.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
-    if spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
         return tempfile.mkdtemp(prefix="ledgerweave-")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_ledgerweave_scratch"
+    raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
 
 
 def _remove(spark: SparkSession, path: str) -> None:
