@@ -40,7 +40,15 @@ def transaction_features(tx: DataFrame) -> DataFrame:
         "output_max_share": safe_divide(c("output_btc_max"), c("output_btc_total")),
         "input_mean_median_ratio": safe_divide(c("input_btc_mean"), c("input_btc_median")),
         "output_mean_median_ratio": safe_divide(c("output_btc_mean"), c("output_btc_median")),
+        "transaction_data_missing": F.greatest(*(c(x).isNull().cast("int") for x in ("total_btc", "fee_btc", "input_address_count", "output_address_count"))),
+        "input_output_value_ratio": safe_divide(c("input_btc_total"), c("output_btc_total")),
+        "input_output_value_difference": c("input_btc_total") - c("output_btc_total"),
     }
+    for side in ("input", "output"):
+        out[f"{side}_count_log1p"] = F.log1p(F.coalesce(f"{side}_address_count", F.lit(0.0)))
+        out[f"{side}_value_range_log1p"] = F.log1p(F.greatest(c(f"{side}_btc_max") - c(f"{side}_btc_min"), F.lit(0.0)))
+        out[f"{side}_max_mean_ratio"] = safe_divide(c(f"{side}_btc_max"), c(f"{side}_btc_mean"))
+        out[f"{side}_median_share"] = safe_divide(c(f"{side}_btc_median"), c(f"{side}_btc_total"))
     return tx.select("txid", *(v.alias(k) for k, v in out.items()))
 
 

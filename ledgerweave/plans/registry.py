@@ -137,10 +137,20 @@ _F1 = {
     "output_max_share": "output_btc_max / nullif(output_btc_total, 0)",
     "input_mean_median_ratio": "input_btc_mean / nullif(input_btc_median, 0)",
     "output_mean_median_ratio": "output_btc_mean / nullif(output_btc_median, 0)",
+    "transaction_data_missing": "(total_btc IS NULL OR fee_btc IS NULL OR input_address_count IS NULL OR output_address_count IS NULL)::INT",
+    "input_output_value_ratio": "input_btc_total / nullif(output_btc_total, 0)",
+    "input_output_value_difference": "input_btc_total - output_btc_total",
 }
+for _s in ("input", "output"):
+    _F1 |= {
+        f"{_s}_count_log1p": f"ln(1 + coalesce({_s}_address_count, 0))",
+        f"{_s}_value_range_log1p": f"CASE WHEN {_s}_btc_max IS NOT NULL THEN ln(1 + greatest({_s}_btc_max - {_s}_btc_min, 0)) ELSE 0 END",
+        f"{_s}_max_mean_ratio": f"{_s}_btc_max / nullif({_s}_btc_mean, 0)",
+        f"{_s}_median_share": f"{_s}_btc_median / nullif({_s}_btc_total, 0)",
+    }
 
 
-@query("f1_transaction_features", "SELECT txid, " + ", ".join(f"round({v}, 4) AS {k}" if k != "amount_features_missing" else f"{v} AS {k}" for k, v in _F1.items()) + " FROM tx")
+@query("f1_transaction_features", "SELECT txid, " + ", ".join(f"round({v}, 4) AS {k}" if not k.endswith("_missing") else f"{v} AS {k}" for k, v in _F1.items()) + " FROM tx")
 def f1(spark, sf):
     return rounded(features.transaction_features(d.canonical(spark, sf)))
 

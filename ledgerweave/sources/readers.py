@@ -104,7 +104,7 @@ class Import:
         checked = validate.validated(records, kind)
         fields = records.columns
         good = checked.filter("valid").select(*fields)
-        self.valid = validate.deduplicated(good, fields)
+        self.valid = validate.deduplicated(good, fields, F.struct(*sorted(fields)))
         self.rejects = checked.filter("not valid")
         counts = checked.agg(F.count("*").alias("records_read"), F.count_if("valid").alias("valid_records"), F.count_if(~F.col("valid")).alias("invalid_records"))
         kept = self.valid.agg(F.count("*").alias("unique_records"))
