@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerweave import domain as d
+from ledgerweave.operators import profile
 from ledgerweave.plans.registry import query
 from ledgerweave.sources import elements
 
@@ -42,3 +43,16 @@ def s29(spark, sf):
 ), _CANON)
 def p23(spark, sf):
     return elements.null_report(elements.network_canonical(_observed(spark, sf), "feed")).filter("column <> 'geo_country'")
+
+
+_KINDS = {"src_ip": "src_ip", "dst_ip": "dst_ip", "src_port": "src_port", "dst_port": "dst_port", "day": "strftime(timestamp, '%Y-%m-%d')", "country": "geo_country", "asn": "asn"}
+_STACKED = "kinds AS (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, ({v})::VARCHAR AS value FROM obs" for k, v in _KINDS.items()) + "".join(f" UNION ALL SELECT '{k}', unnest({s}) FROM tx" for s in ("input_wallets", "output_wallets") for k in (s, "wallets")) + ")"
+_MONEY = "money AS (SELECT 'input' AS part, input_btc_total AS v FROM tx UNION ALL SELECT 'output', output_btc_total FROM tx UNION ALL SELECT 'fee', fee_btc FROM tx)"
+
+
+@query("a16_a17_import_profile", "SELECT 'unique' AS part, kind AS name, count(DISTINCT value) AS n, NULL::DOUBLE AS percentage, NULL::DOUBLE AS amount FROM kinds WHERE value IS NOT NULL GROUP BY kind "
+       "UNION ALL SELECT kind, value, count(*), round(count(*) * 100 / sum(count(*)) OVER (PARTITION BY kind), 2), NULL FROM kinds WHERE value IS NOT NULL AND kind IN ('day', 'country', 'asn') GROUP BY kind, value "
+       + "".join(f"UNION ALL SELECT part, '{k}', count(*), NULL, round({v} + 1e-7, 2) FROM money WHERE v IS NOT NULL GROUP BY part " for k, v in {"total": "sum(v)", "mean": "avg(v)", "median": "quantile_cont(v, .5)", "min": "min(v)", "max": "max(v)"}.items()), _STACKED, _MONEY)
+def a16(spark, sf):
+    """Unique values, distributions and money of the whole import, in long form."""
+    return profile.import_profile(d.canonical(spark, sf), d.observations(spark, sf)).withColumn("amount", F.round(F.col("amount") + 1e-7, 2))
