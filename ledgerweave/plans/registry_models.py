@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerweave import domain as d
-from ledgerweave.operators import artifacts, boosting, features, ml, trees
+from ledgerweave.operators import artifacts, boosting, features, ml, positional, trees
 from ledgerweave.plans.registry import query, rounded
 
 ITERATIONS = 4
@@ -107,3 +107,21 @@ def m17(spark, sf):
     path = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()).rstrip('/')}/model-{uuid.uuid4().hex}"
     artifacts.save(spark, path, model, imputer, [1, 2, 3])
     return rounded(artifacts.SavedModel(spark, path).score(rows.filter("part = 'test'"), ["txid", "time_step"]).drop("probabilities"), 6)
+
+
+_J2 = "j2 AS (SELECT row_number() OVER (ORDER BY txid) - 1 AS ordinal, txid, round(ln(1 + greatest(total_btc, 0)), 4) AS log_total_btc, len(list_intersect(input_wallets, output_wallets)) AS wallet_overlap_count, time_step FROM tx)"
+
+
+@query("j2_m22_blocks_by_position", "SELECT ordinal, txid, log_total_btc, wallet_overlap_count, time_step_transaction_count FROM j2 JOIN (SELECT time_step, count(*) AS time_step_transaction_count FROM steps GROUP BY 1) USING (time_step)", _J2)
+def j2(spark, sf):
+    """Feature blocks that are stored apart, in the same order, as one table by position."""
+    tx = d.canonical(spark, sf)
+    blocks = {"amounts": features.transaction_features(tx), "wallets": features.wallet_features(tx), "times": features.temporal_features(d.steps(spark, sf))}
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
+    found = {}
+    for name, block in blocks.items():
+        path = f"{folder}/block-{name}-{uuid.uuid4().hex}"
+        positional.write_ordered(block, path, "txid")
+        found[name] = positional.numbered(spark, path)
+    whole = positional.side_by_side(found, "txid")
+    return rounded(whole.select("ordinal", "txid", "log_total_btc", "wallet_overlap_count", "time_step_transaction_count"))

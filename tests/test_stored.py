@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerweave.operators import artifacts, boosting, layout, ml
+from ledgerweave.operators import artifacts, boosting, layout, ml, positional
 from ledgerweave.sources.readers import write_text
 
 
@@ -85,3 +85,19 @@ def test_history_of_an_address_reads_one_bucket(spark, tmp_path):
     with pytest.raises(KeyError):
         layout.history_of(spark, "stored.roles", "nobody")
     spark.sql("DROP DATABASE stored CASCADE")
+
+
+def test_blocks_by_position(spark, tmp_path):
+    rows = spark.range(1000).select(F.col("id").alias("txid"), (F.col("id") * 2).alias("a"), (F.col("id") * 3).alias("b"))
+    for name, n in (("a", 7), ("b", 3)):
+        positional.write_ordered(rows.select("txid", name).repartition(n), str(tmp_path / name), "txid")
+    a, b = (positional.numbered(spark, str(tmp_path / n)) for n in "ab")
+    assert [r.ordinal for r in a.orderBy("txid").collect()] == list(range(1000))
+    got = positional.side_by_side({"a": a, "b": b}, "txid")
+    assert got.columns == ["ordinal", "txid", "a", "b"] and got.filter("ordinal <> txid or a <> 2 * txid or b <> 3 * txid").count() == 0
+    for change, reason in ((b.filter("txid < 900"), "unequal length"), (b.withColumn("txid", F.when(F.col("txid") == 5, 6).otherwise(F.col("txid"))), r"\{'b': 1\}"), (b.withColumnRenamed("b", "a"), "more than one block: a")):
+        with pytest.raises(ValueError, match=reason):
+            positional.side_by_side({"a": a, "b": change}, "txid")
+    twice = [x.withColumn("txid", F.when(F.col("txid") == 5, 6).otherwise(F.col("txid"))) for x in (a, b)]
+    with pytest.raises(ValueError, match="repeat"):
+        positional.side_by_side({"a": twice[0], "b": twice[1]}, "txid")
