@@ -59,26 +59,38 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
 
 #: Two primes, and a base for each.
 _PRIMES = ((2_147_483_647, 1_103_515_245), (2_147_483_629, 1_664_525_077))
-_prime_powers = [[np.ones(1, np.uint64), np.ones(1, np.uint64)] for _ in _PRIMES]
+#: Powers that a worker keeps for the next text; longer texts make the rest anew.
+_POWERS_KEPT = (1 << 20) + (1 << 17)
+_prime_powers = [[np.ones(1, np.uint32), np.ones(1, np.uint32)] for _ in _PRIMES]
 
 
-def _powers_modulo(k: int, n: int) -> list[np.ndarray]:
+def _powers_modulo(k: int, which: int, n: int) -> np.ndarray:
+    """Powers 0 .. n - 1 of the base of prime ``k`` (``which`` 0) or of its inverse (1)."""
     prime, base = _PRIMES[k]
-    for which, factor in enumerate((base, pow(base, -1, prime))):
-        have = _prime_powers[k][which]
-        while len(have) < n:
-            have = np.concatenate([have, have * np.uint64(pow(factor, len(have), prime)) % np.uint64(prime)])
+    factor = base if which == 0 else pow(base, -1, prime)
+    have = _prime_powers[k][which]
+    while len(have) < n:
+        more = have[: -(-n // 65536) * 65536 - len(have)].astype(np.uint64)
+        more *= np.uint64(pow(factor, len(have), prime))
+        more %= np.uint64(prime)
+        have = np.concatenate([have, more.astype(np.uint32)])
+    if len(have) <= _POWERS_KEPT:
         _prime_powers[k][which] = have
-    return _prime_powers[k]
+    return have
 
 
 def second_running(values: np.ndarray) -> list[np.ndarray]:
     """Running sums for :func:`second_hash` over bytes, or over second hashes of words."""
     out = []
     for k, (prime, _) in enumerate(_PRIMES):
-        reduced = values.astype(np.uint64) % np.uint64(prime - 1) + np.uint64(1) if values.dtype != np.uint8 else values.astype(np.uint64) + np.uint64(1)
+        reduced = values.astype(np.uint64)
+        if values.dtype != np.uint8:
+            reduced %= np.uint64(prime - 1)
+        reduced += np.uint64(1)
+        reduced *= _powers_modulo(k, 0, len(values))[: len(values)]
+        reduced %= np.uint64(prime)
         sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(reduced * _powers_modulo(k, len(values) + 1)[0][: len(values)] % np.uint64(prime), out=sums[1:])
+        np.cumsum(reduced, out=sums[1:])
         out.append(sums)
     return out
 
@@ -87,8 +99,10 @@ def second_hash(sums: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> n
     """62 bits of each span, mixed, which share nothing with :func:`span_hash`."""
     halves = []
     for k, (prime, _) in enumerate(_PRIMES):
-        p = np.uint64(prime)
-        halves.append((sums[k][end] - sums[k][start]) % p * _powers_modulo(k, len(sums[k]))[1][start] % p)
+        part = (sums[k][end] - sums[k][start]) % np.uint64(prime)
+        part *= _powers_modulo(k, 1, len(sums[k]))[start]
+        part %= np.uint64(prime)
+        halves.append(part)
     return mix((halves[0] << np.uint64(31)) | halves[1])
 
 
