@@ -1,12 +1,16 @@
 """Components, spanning forests and states before each step, against plain walks over small graphs."""
 
 import random
+import re
+from datetime import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerweave.operators import forests, graph, temporal_graph
-from ledgerweave.plans import registry_graph
+from ledgerweave.operators.kept import kept
+from ledgerweave.plans import registry, registry_graph
 
 
 def labels(edges):
@@ -154,3 +158,39 @@ def test_shortest_paths_against_a_plain_walk(spark, sent, monkeypatch):
         got = [r.node for r in graph.shortest_path(df, source, target, most, sent).orderBy("hop").collect()]
         assert got == walk(source, target, most)
     assert made.count(["a", "b"]) == 4  # the edges are made once a search, not once a round
+
+
+def test_a_forest_of_many_nodes_is_not_made_anew_a_batch(monkeypatch):
+    calls, plain = [], forests.kruskal
+    monkeypatch.setattr(forests, "HELD", 20)
+    monkeypatch.setattr(forests, "kruskal", lambda e: calls.append(len(e)) or plain(e))
+    path = pd.DataFrame({"a": [f"n{i}" for i in range(1000)], "b": [f"n{i + 1}" for i in range(1000)]})
+    out = list(forests._local([])(path[i : i + 10] for i in range(0, 1000, 10)))
+    assert sum(map(len, out)) == 1000
+    assert sum(calls) < 5000  # edges that were looked at; in proportion to those given
+
+
+def test_equal_fees_are_one_value_whatever_the_order_of_adding(spark, tmp_path):
+    orders = [(k, 1, "F", 1.0, datetime(1996, 1, k + 1), "1") for k in range(3)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    fees = [(0, (0.1, 0.2, 0.3)), (1, (0.3, 0.2, 0.1)), (2, (0.1, 0.2, 0.4))]
+    lines = [(k, i, i, price, 0.0, 1.0) for k, prices in fees for i, price in enumerate(prices)]
+    lines = spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_extendedprice double, l_discount double, l_tax double")
+    lines.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r["column"]: r.distinct for r in registry.QUERIES["a26_column_audit"](spark, str(tmp_path)).collect()}
+    assert got["fee_btc"] == 2
+
+
+def test_pairs_of_predecessors_move_once(spark, sf_dir, capsys):
+    registry._pred(spark, sf_dir).groupBy("txid").agg(F.count("*")).explain()
+    plan = capsys.readouterr().out
+    assert "hashpartitioning(txid" in plan and "hashpartitioning(previous" not in plan and "hashpartitioning(txid#" in plan
+    assert not re.search(r"hashpartitioning\(txid#\d+L, previous", plan)
+
+
+def test_a_step_reads_its_own_folder(spark):
+    df = spark.createDataFrame([(k, k % 5) for k in range(50)], "txid long, time_step int")
+    step = kept(df, "time_step", "txid").filter("time_step = 3")
+    assert sorted(r.txid for r in step.collect()) == list(range(3, 50, 5))
+    assert all("time_step=3" in f for f in {r.f for r in step.select(F.input_file_name().alias("f")).collect()})
+    assert kept(df.limit(0), "time_step", "txid").count() == 0
