@@ -1,7 +1,6 @@
 """Components, spanning forests and states before each step, against plain walks over small graphs."""
 
 import random
-import re
 from datetime import datetime
 
 import pandas as pd
@@ -181,16 +180,22 @@ def test_equal_fees_are_one_value_whatever_the_order_of_adding(spark, tmp_path):
     assert got["fee_btc"] == 2
 
 
-def test_pairs_of_predecessors_move_once(spark, sf_dir, capsys):
-    registry._pred(spark, sf_dir).groupBy("txid").agg(F.count("*")).explain()
-    plan = capsys.readouterr().out
-    assert "hashpartitioning(txid" in plan and "hashpartitioning(previous" not in plan and "hashpartitioning(txid#" in plan
-    assert not re.search(r"hashpartitioning\(txid#\d+L, previous", plan)
-
-
 def test_a_step_reads_its_own_folder(spark):
     df = spark.createDataFrame([(k, k % 5) for k in range(50)], "txid long, time_step int")
     step = kept(df, "time_step", "txid").filter("time_step = 3")
     assert sorted(r.txid for r in step.collect()) == list(range(3, 50, 5))
     assert all("time_step=3" in f for f in {r.f for r in step.select(F.input_file_name().alias("f")).collect()})
     assert kept(df.limit(0), "time_step", "txid").count() == 0
+
+
+def test_asks_before_any_edge_need_no_search(spark, monkeypatch):
+    searched = []
+    plain = forests.components
+    monkeypatch.setattr(forests, "components", lambda *a, **k: searched.append(1) or plain(*a, **k))
+    e = spark.createDataFrame([(1, "a", "b", 2), (1, "b", "c", 4), (2, "a", "b", 5)], "k int, a string, b string, active_from int")
+    asks = lambda rows: spark.createDataFrame(rows, "k int, address string, time_step int")
+    early = forests.components_before(e, asks([(1, "a", 2), (1, "c", 4), (2, "b", 5), (2, "c", 9)])).collect()
+    assert sorted((r.k, r.address, r.component, r.component_size) for r in early) == [(1, "a", "a", 1), (1, "c", "c", 1), (2, "b", "b", 1), (2, "c", "c", 1)]
+    assert not searched
+    both = forests.components_before(e, asks([(1, "c", 4), (1, "c", 5)])).collect()
+    assert sorted((r.time_step, r.component_size) for r in both) == [(4, 1), (5, 3)] and searched
