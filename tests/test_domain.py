@@ -257,6 +257,23 @@ def test_transaction_entity_evidence_has_real_clusters_of_both_sides(spark, tmp_
     assert got[3].input_repeated_addresses == 3 and got[4].output_repeated_addresses == 2
 
 
+def test_links_grow_with_the_inputs_and_not_with_their_pairs(spark, tmp_path, monkeypatch):
+    from ledgerweave.operators import entity
+
+    lines = [(1, k, 100 + k) for k in range(40)] + [(2, k, 7) for k in (3, 5, 200)] + [(3, 300, 300)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = spark.createDataFrame([(t, "1995-02-01") for t in (1, 2, 3, 4)], "o_orderkey long, o_orderdate string")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    linked, plain = [], entity.threshold_components
+    monkeypatch.setattr(entity, "threshold_components", lambda edges, *a, **k: linked.append(edges.count()) or plain(edges, *a, **k))
+    got = {r.txid: r for r in entry.queries()["j7_transaction_entity_evidence"](spark, str(tmp_path)).collect()}
+    assert linked == [39 + 2 + 1]  # a star a transaction and one pair that two of them spend, not 780 and 3 pairs
+    one = got[1]
+    assert (one.input_repeated_addresses, one.input_shared_count_max, one.input_cluster_size_max_t1, one.input_cluster_size_max_t2) == (2, 2, 41, 2)
+    assert (one.input_distinct_clusters_t1, one.input_distinct_clusters_t2, one.input_distinct_clusters_t3, one.output_distinct_clusters_t1) == (1, 39, 40, 40)
+    assert (got[3].input_shared_count_max, got[3].output_cluster_size_max_t1, got[4].input_distinct_clusters_t1) == (0, 1, 0)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -3,6 +3,7 @@
 import random
 from datetime import datetime
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -199,3 +200,19 @@ def test_asks_before_any_edge_need_no_search(spark, monkeypatch):
     assert not searched
     both = forests.components_before(e, asks([(1, "c", 4), (1, "c", 5)])).collect()
     assert sorted((r.time_step, r.component_size) for r in both) == [(4, 1), (5, 3)] and searched
+
+
+def test_a_forest_is_that_of_taking_edges_one_by_one():
+    rng = np.random.default_rng(8)
+    for n, m in ((1, 3), (2, 5), (9, 12), (200, 150), (200, 2000)):
+        edges = pd.DataFrame({"a": rng.integers(0, n, m), "b": rng.integers(0, n, m)})
+        group = {x: {x} for x in range(n)}
+        want = []
+        for x, y in zip(edges["a"], edges["b"], strict=True):
+            want.append(group[x] is not group[y])
+            if want[-1]:
+                whole = group[x] | group[y]
+                group |= dict.fromkeys(whole, whole)
+        assert forests.kruskal(edges).index.tolist() == [i for i, w in enumerate(want) if w]
+        stars = pd.concat(forests._stars(iter([edges])))
+        assert all(min(group[x]) == c for x, c in zip(stars["node"], stars["component"], strict=True)) and set(stars["node"]) == {*edges["a"], *edges["b"]}
