@@ -211,3 +211,29 @@ def test_areas_without_one_kind(spark):
     df = spark.createDataFrame([("a", 0, [0.5, 0.5]), ("a", 0, [0.4, 0.6])], "w string, label int, probabilities array<double>")
     assert [(r["class"], r.roc_auc, r.pr_auc) for r in ml.ranked_areas(df, "w", 2).orderBy("class").collect()] == [(0, None, 1.0), (1, None, None)]
     assert ml.ranked_areas(df.limit(0).withColumn("w", F.lit("a")), "w", 2).collect() == []
+
+
+def test_isolation_scores_are_those_of_rows_that_walk_alone():
+    rng = np.random.default_rng(4)
+
+    def walk(tree, row):
+        while isinstance(tree, tuple):
+            tree = tree[2] if row[tree[0]] < tree[1] else tree[3]
+        return tree
+
+    for known in (rng.normal(size=(500, 3)), np.round(rng.normal(size=(40, 3))), np.zeros((9, 3)), np.zeros((0, 3))):
+        forest = ml.IsolationForest(20).fit(known)
+        rows = np.vstack([rng.normal(size=(50, 3)), known[:5], [[np.inf, -np.inf, 0.0]]])
+        want = [2 ** (-np.mean([walk(t, r) for t in forest.trees]) / max(forest.norm, 1e-9)) for r in rows]
+        assert forest.score(rows).tolist() == pytest.approx(want, rel=1e-12)
+        assert len(forest.score(rows[:0])) == 0
+
+
+def test_model_data_read_the_transactions_once(spark, sf_dir, monkeypatch):
+    from ledgerweave.plans import registry_more
+
+    read, plain = [], registry_more.d.canonical
+    monkeypatch.setattr(registry_more.d, "canonical", lambda *a: read.append(1) or plain(*a))
+    data = registry_more.dataset(spark, sf_dir)
+    assert len(read) == 1 and data.columns[-2:] == ["label", "part"]
+    assert data.count() == data.select("txid").distinct().count() == plain(spark, sf_dir).count()
