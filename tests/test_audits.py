@@ -75,3 +75,18 @@ def test_percentiles_by_group(spark):
 
 def test_registered():
     assert {"q1_chains_replayed", "q8_j21_alerts_replayed", "d12_unknown_ends"} <= set(registry.SQL) and registry_audits.q1
+
+
+def test_unknown_ends_make_the_edges_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    rows = spark.createDataFrame([("tx:1", "wallet:a"), ("wallet:b", "tx:1"), ("ip:9", "tx:3"), ("x:1", "tx:1")], "source string, target string")
+    names = lambda *n: spark.createDataFrame([(x,) for x in n], "node_id string")
+    got = audits.unknown_ends(rows.mapInPandas(seen, "source string, target string"), {"tx": names("tx:1"), "wallet": names("wallet:a", "wallet:b"), "ip": names("ip:9")})
+    assert {r.check: r.failures for r in got.collect()} == {"other": 1, "tx": 1, "wallet": 0, "ip": 0}
+    assert read.value == 4
