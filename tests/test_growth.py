@@ -20,3 +20,21 @@ def test_predecessors_are_made_once_and_not_moved(spark):
     first = next(i for i, line in enumerate(plan) if "Join" in line)
     assert "block" in plan[first]
     assert not any("Aggregate" in line for line in plan[:first])
+
+
+def test_lone_predecessors_are_not_carried_through_the_rounds(spark, monkeypatch):
+    steps = spark.createDataFrame([(t, 1) for t in range(1, 31)] + [(50, 3), (60, 5), (70, 20)], "txid long, time_step int")
+    links = [(50, t, 0.5) for t in range(1, 31)] + [(60, 50, 0.5), (60, 2, 0.5), (60, 30, 0.5), (70, 60, 0.99)]
+    rounds = []
+    whole = behavior.kept
+
+    def counted(df, by=None, key=None):
+        out = whole(df, by, key)
+        if by is not None:
+            rounds.append(out.count())
+        return out
+
+    monkeypatch.setattr(behavior, "kept", counted)
+    got = {r.txid: r.chain for r in behavior.longest_chains(steps, spark.createDataFrame(links, "txid long, previous long, reduction double")).collect()}
+    assert got[50] == ["1", "50"] and got[60] == ["1", "50", "60"] and got[70] == ["70"] and got[2] == ["2"] and len(got) == 33
+    assert sum(rounds) == 3  # the smallest lone predecessor of 50 and of 60, and the link from 60 to 50
