@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from ledgerweave.operators import behavior
+import numpy as np
+import pyarrow as pa
+
+from ledgerweave.operators import behavior, boosting
+from ledgerweave.plans import registry_models
 
 
 def _optimized(df) -> list[str]:
@@ -38,3 +42,30 @@ def test_lone_predecessors_are_not_carried_through_the_rounds(spark, monkeypatch
     got = {r.txid: r.chain for r in behavior.longest_chains(steps, spark.createDataFrame(links, "txid long, previous long, reduction double")).collect()}
     assert got[50] == ["1", "50"] and got[60] == ["1", "50", "60"] and got[70] == ["70"] and got[2] == ["2"] and len(got) == 33
     assert sum(rounds) == 3  # the smallest lone predecessor of 50 and of 60, and the link from 60 to 50
+
+
+def test_of_two_leaves_of_a_split_the_smaller_is_counted():
+    rng = np.random.default_rng(3)
+    bins, scores, label = rng.integers(0, 40, (500, 2)).astype(np.uint8), rng.normal(size=(500, 2)), rng.integers(0, 2, 500).astype(np.int32)
+    label[bins[:, 0] < 10] = 1
+    batch = pa.record_batch([pa.array([r.tobytes() for r in bins], pa.binary()), pa.array([r.tobytes() for r in scores], pa.binary()), pa.array(label), pa.array(np.ones(500)), pa.array(np.arange(500))], names=["bins", "scores", "label", "weight", "draw"])
+    trees, before = [boosting.Growing(), boosting.Growing()], [{}, {}]
+    for level in range(3):
+        found = pa.Table.from_batches(list(boosting._histograms(trees, 2, 0, 1.0)([batch]))).to_pandas()
+        for k, tree in enumerate(trees):
+            mine = found[found["k"] == k]
+            assert mine["leaf"].nunique() == (1 if level == 0 else len(tree.open) // 2)
+            before[k] = boosting.level_sums(tree, mine, 2, before[k])
+            assert sorted(before[k]) == sorted(tree.open)
+            at = tree.leaves(bins)
+            for node in tree.open:
+                assert np.array_equal(before[k][node][2, 1, :40], np.bincount(bins[at == node, 1], minlength=40))
+            boosting.grow_level(tree, {slot: before[k][node] for slot, node in enumerate(tree.open)}, np.ones(2, bool), boosting.Settings(least_rows=5))
+
+
+def test_features_of_a_transaction_come_from_one_pass(spark):
+    rows, columns = registry_models.unified(spark, "/root/testdata/sf0.001")
+    plan = _optimized(rows)
+    assert sum("Relation" in line and "l_partkey" in line for line in plan) == 1
+    assert rows.count() == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+    assert len(columns) == len(set(columns)) == 44 and columns[0] == "amount_features_missing" and columns[-1] == "is_late_period"
