@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from ledgerweave.operators import behavior, boosting
+from ledgerweave.operators import behavior, boosting, entity
 from ledgerweave.plans import registry_models
 
 
@@ -69,3 +69,21 @@ def test_features_of_a_transaction_come_from_one_pass(spark):
     assert sum("Relation" in line and "l_partkey" in line for line in plan) == 1
     assert rows.count() == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
     assert len(columns) == len(set(columns)) == 44 and columns[0] == "amount_features_missing" and columns[-1] == "is_late_period"
+
+
+def test_tasks_that_count_pairs_grow_with_the_pairs(spark, monkeypatch):
+    rows = [(t, f"A{(t + 3 * k) % 17}") for t in range(40) for k in range(5)] + [(1, "A1"), (None, "A1"), (None, "A2")]
+    inputs = spark.createDataFrame(rows, "txid long, address string")
+    want = {}
+    for t in range(40):
+        mine = sorted({a for u, a in rows if u == t})
+        for i, a in enumerate(mine):
+            for b in mine[i + 1 :]:
+                want[a, b] = want.get((a, b), 0) + 1
+    parts = []
+    for limit in (100, 25):
+        monkeypatch.setattr(entity, "PAIRS_A_TASK", limit, raising=False)
+        found = entity.cospend_pairs(inputs)
+        assert {(r.a, r.b): r.shared_count for r in found.collect()} == want
+        parts.append(found.rdd.getNumPartitions())
+    assert parts == [7, 25]
