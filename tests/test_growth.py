@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from ledgerweave.operators import behavior, boosting, entity
-from ledgerweave.plans import registry_models
+from ledgerweave.plans import registry_models, registry_more
 
 
 def _optimized(df) -> list[str]:
@@ -87,3 +87,8 @@ def test_tasks_that_count_pairs_grow_with_the_pairs(spark, monkeypatch):
         assert {(r.a, r.b): r.shared_count for r in found.collect()} == want
         parts.append(found.rdd.getNumPartitions())
     assert parts == [7, 25]
+
+
+def test_a_fit_does_not_make_its_rows_anew(spark):
+    plan = _optimized(registry_more._predicted(spark, "/root/testdata/sf0.001", "logistic"))
+    assert not any("l_orderkey" in line or "o_orderkey" in line for line in plan)
