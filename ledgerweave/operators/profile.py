@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerweave.operators.kept import kept
 from ledgerweave.operators.ordering import percentiles_by
 
 from ledgerweave.operators import risk
@@ -103,30 +104,33 @@ def case_ranking(rows: DataFrame, k: int) -> DataFrame:
     return top.withColumn("case_rank", F.row_number().over(order))
 
 
-def import_profile(tx: DataFrame, observations: DataFrame) -> DataFrame:
+def import_profile(tx: DataFrame, addresses: DataFrame, observations: DataFrame) -> DataFrame:
     """The whole profile of an import in long form: part, name, n, percentage, amount.
 
     ``unique``: distinct addresses, ports, days, countries, AS numbers and wallets;
     ``day``, ``country`` and ``asn``: every value with its rows and their percentage;
     ``input``, ``output`` and ``fee``: total, mean, median, min, max and the rows that have an
-    amount.  All values of all kinds are counted in one stacked pass, and medians come
-    from ranges of distinct values, so no kind meets in one task.
+    amount.  ``addresses`` are raw pairs as of ``domain.address_rows``, of the transactions in
+    ``tx`` alone: only distinct wallets are counted, so no list of a transaction's is gathered.
+    All values of observations are counted in one stacked pass, wallets in another, counts and
+    amounts are kept, and medians come from ranges of distinct values, so no kind meets in one task.
     """
     c = F.col
+    none = F.lit(None).cast("double")
     kinds = {"src_ip": c("src_ip"), "dst_ip": c("dst_ip"), "src_port": c("src_port"), "dst_port": c("dst_port"), "day": F.date_format("timestamp", "yyyy-MM-dd"), "country": c("geo_country"), "asn": c("asn")}
     stacked = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.cast("string").alias("value")) for k, v in kinds.items()))).alias("e")
-    seen = observations.select(stacked).select("e.*")
-    each = lambda side, kind: tx.select(F.lit(kind).alias("kind"), F.explode(side).alias("value"))
-    for side in ("input_wallets", "output_wallets"):
-        seen = seen.unionByName(each(side, side)).unionByName(each(side, "wallets"))
-    counts = seen.filter("value is not null").groupBy("kind", "value").agg(F.count("*").alias("n"))
+    counts = kept(observations.select(stacked).select("e.*").filter("value is not null").groupBy("kind", "value").agg(F.count("*").alias("n")))
     totals = counts.groupBy("kind").agg(F.count("*").alias("values"), F.sum("n").alias("total"))
-    none = F.lit(None).cast("double")
-    unique = totals.select(F.lit("unique").alias("part"), c("kind").alias("name"), c("values").alias("n"), none.alias("percentage"), none.alias("amount"))
+    sides = F.explode(F.array(*(F.struct(c(f"{side}_address").alias("value"), F.lit(side == "input").alias("spent")) for side in ("input", "output")))).alias("e")
+    wallets = addresses.select(sides).select("e.*").filter("value is not null").groupBy("value").agg(F.bool_or("spent").alias("input"), F.bool_or(~c("spent")).alias("output"))
+    wallets = wallets.agg(F.count_if("input").alias("input_wallets"), F.count_if("output").alias("output_wallets"), F.count("*").alias("wallets"))
+    wallets = wallets.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), c(k).alias("values")) for k in wallets.columns))).alias("e")).select("e.*").filter("values > 0")
+    unique = totals.select("kind", "values").unionByName(wallets).select(F.lit("unique").alias("part"), c("kind").alias("name"), c("values").alias("n"), none.alias("percentage"), none.alias("amount"))
     shown = counts.filter(c("kind").isin("day", "country", "asn")).join(totals, "kind")
     shown = shown.select(c("kind").alias("part"), c("value").alias("name"), "n", F.round(c("n") * 100 / c("total"), 2).alias("percentage"), none.alias("amount"))
-    amounts = F.explode(F.array(*(F.struct(F.lit(k).alias("part"), c(v).alias("v")) for k, v in (("input", "input_btc_total"), ("output", "output_btc_total"), ("fee", "fee_btc"))))).alias("e")
-    money = tx.select(amounts).select("e.*").filter("v is not null")
+    columns = {"input": "input_btc_total", "output": "output_btc_total", "fee": "fee_btc"}
+    amounts = F.explode(F.array(*(F.struct(F.lit(k).alias("part"), c(v).alias("v")) for k, v in columns.items()))).alias("e")
+    money = kept(tx.select(*columns.values())).select(amounts).select("e.*").filter("v is not null")
     figures = money.groupBy("part").agg(F.sum("v").alias("total"), F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"), F.count("*").alias("n")).join(percentiles_by(money, "part", "v", {"median": 0.5}), "part")
     named = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), c(k).alias("v")) for k in ("total", "mean", "median", "min", "max")))).alias("e")
     return unique.unionByName(shown).unionByName(figures.select("part", "n", named).select("part", "e.name", "n", none.alias("percentage"), c("e.v").alias("amount")))

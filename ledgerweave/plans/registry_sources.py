@@ -55,4 +55,5 @@ _MONEY = "money AS (SELECT 'input' AS part, input_btc_total AS v FROM tx UNION A
        + "".join(f"UNION ALL SELECT part, '{k}', count(*), NULL, round({v} + 1e-7, 2) FROM money WHERE v IS NOT NULL GROUP BY part " for k, v in {"total": "sum(v)", "mean": "avg(v)", "median": "quantile_cont(v, .5)", "min": "min(v)", "max": "max(v)"}.items()), _STACKED, _MONEY)
 def a16(spark, sf):
     """Unique values, distributions and money of the whole import, in long form."""
-    return profile.import_profile(d.canonical(spark, sf), d.observations(spark, sf)).withColumn("amount", F.round(F.col("amount") + 1e-7, 2))
+    addresses = d.address_rows(spark, sf).join(d.steps(spark, sf).select("txid"), "txid", "left_semi")
+    return profile.import_profile(d.canonical(spark, sf), addresses, d.observations(spark, sf)).withColumn("amount", F.round(F.col("amount") + 1e-7, 2))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from ledgerweave.operators import behavior, boosting, entity
-from ledgerweave.plans import registry_models, registry_more
+from ledgerweave.operators import behavior, boosting, entity, profile
+from ledgerweave.plans import registry, registry_models, registry_more, registry_sources  # noqa: F401  the last adds to the first
 
 
 def _optimized(df) -> list[str]:
@@ -92,3 +93,25 @@ def test_tasks_that_count_pairs_grow_with_the_pairs(spark, monkeypatch):
 def test_a_fit_does_not_make_its_rows_anew(spark):
     plan = _optimized(registry_more._predicted(spark, "/root/testdata/sf0.001", "logistic"))
     assert not any("l_orderkey" in line or "o_orderkey" in line for line in plan)
+
+
+def test_an_import_profile_gathers_no_lists(spark, sf_dir):
+    plan = _optimized(registry.QUERIES["a16_a17_import_profile"](spark, sf_dir))
+    assert not any("collect_set" in line or "sort_array" in line for line in plan)
+    assert sum("Relation" in line and "l_partkey" in line for line in plan) == 1
+    assert not any("l_extendedprice" in line and "Aggregate" in line for line in plan)
+    assert not any("Relation" in line and "user_id" in line for line in plan)
+
+
+def test_an_import_profile_counts_each_wallet_once(spark):
+    tx = spark.createDataFrame([(1, 10.0, 9.0, 0.5), (2, 4.0, None, 0.25), (3, None, None, None)], "txid long, input_btc_total double, output_btc_total double, fee_btc double")
+    addresses = spark.createDataFrame([(1, "W1", "W2"), (1, "W1", "W3"), (2, "W2", "W9"), (2, None, "W9"), (2, "W4", None)], "txid long, input_address string, output_address string")
+    seen = spark.createDataFrame([("a", "x", 1, 5, "C1", 7), ("b", "x", 1, None, "C1", None), ("a", "y", 1, 6, None, 7)], "src_ip string, dst_ip string, src_port int, dst_port int, geo_country string, asn long")
+    seen = seen.withColumn("timestamp", F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    got = {(r.part, r.name): (r.n, r.percentage, r.amount) for r in profile.import_profile(tx, addresses, seen).collect()}
+    unique = {name: n for (part, name), (n, _, _) in got.items() if part == "unique"}
+    assert unique == {"src_ip": 2, "dst_ip": 2, "src_port": 1, "dst_port": 2, "day": 1, "country": 1, "asn": 1, "input_wallets": 3, "output_wallets": 3, "wallets": 5}
+    assert got["country", "C1"] == (2, 100.0, None) and got["asn", "7"] == (2, 100.0, None) and got["day", "2024-01-02"] == (3, 100.0, None)
+    assert got["input", "median"] == (2, None, 7.0) and got["input", "total"] == (2, None, 14.0) and got["output", "mean"] == (1, None, 9.0) and got["fee", "max"] == (2, None, 0.5)
+    assert len(got) == 10 + 3 + 15
+    assert profile.import_profile(tx.limit(0), addresses.limit(0), seen.limit(0)).collect() == []
