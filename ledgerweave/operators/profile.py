@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerweave.operators.kept import kept
-from ledgerweave.operators.ordering import percentiles_by
+from ledgerweave.operators.ordering import percentile_of_few
 
 from ledgerweave.operators import risk
 
@@ -113,7 +113,7 @@ def import_profile(tx: DataFrame, addresses: DataFrame, observations: DataFrame)
     amount.  ``addresses`` are raw pairs as of ``domain.address_rows``, of the transactions in
     ``tx`` alone: only distinct wallets are counted, so no list of a transaction's is gathered.
     All values of observations are counted in one stacked pass, wallets in another, counts and
-    amounts are kept, and medians come from ranges of distinct values, so no kind meets in one task.
+    amounts are kept, and medians come from ranges of the values next to them, so no kind meets in one task.
     """
     c = F.col
     none = F.lit(None).cast("double")
@@ -131,6 +131,6 @@ def import_profile(tx: DataFrame, addresses: DataFrame, observations: DataFrame)
     columns = {"input": "input_btc_total", "output": "output_btc_total", "fee": "fee_btc"}
     amounts = F.explode(F.array(*(F.struct(F.lit(k).alias("part"), c(v).alias("v")) for k, v in columns.items()))).alias("e")
     money = kept(tx.select(*columns.values())).select(amounts).select("e.*").filter("v is not null")
-    figures = money.groupBy("part").agg(F.sum("v").alias("total"), F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"), F.count("*").alias("n")).join(percentiles_by(money, "part", "v", {"median": 0.5}), "part")
+    figures = money.groupBy("part").agg(F.sum("v").alias("total"), F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"), F.count("*").alias("n")).join(percentile_of_few(money, "part", "v", 0.5).withColumnRenamed("value", "median"), "part")
     named = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), c(k).alias("v")) for k in ("total", "mean", "median", "min", "max")))).alias("e")
     return unique.unionByName(shown).unionByName(figures.select("part", "n", named).select("part", "e.name", "n", none.alias("percentage"), c("e.v").alias("amount")))

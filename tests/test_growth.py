@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from ledgerweave.operators import behavior, boosting, entity, profile
+from ledgerweave.operators import behavior, boosting, entity, ordering, profile
 from ledgerweave.plans import registry, registry_models, registry_more, registry_sources  # noqa: F401  the last adds to the first
 
 
@@ -115,3 +116,28 @@ def test_an_import_profile_counts_each_wallet_once(spark):
     assert got["input", "median"] == (2, None, 7.0) and got["input", "total"] == (2, None, 14.0) and got["output", "mean"] == (1, None, 9.0) and got["fee", "max"] == (2, None, 0.5)
     assert len(got) == 10 + 3 + 15
     assert profile.import_profile(tx.limit(0), addresses.limit(0), seen.limit(0)).collect() == []
+
+
+def test_only_values_next_to_the_median_are_put_in_order(spark, monkeypatch):
+    ordered, whole = [], ordering.running_sums
+
+    def counted(df, order, **sums):
+        ordered.append(df.count())
+        return whole(df, order, **sums)
+
+    monkeypatch.setattr(ordering, "running_sums", counted)
+    tx = spark.range(5000).select(F.col("id").alias("txid"), (F.col("id") * 1.0).alias("input_btc_total"), (F.col("id") % 2 * 3.0).alias("output_btc_total"), F.lit(None).cast("double").alias("fee_btc"))
+    none = spark.createDataFrame([], "input_address string, output_address string, src_ip string, dst_ip string, src_port int, dst_port int, geo_country string, asn long, timestamp timestamp")
+    got = {(r.part, r.name): r.amount for r in profile.import_profile(tx, none, none).collect()}
+    assert got["input", "median"] == 2499.5 and got["output", "median"] == 1.5 and len(got) == 10
+    assert sum(ordered) < 400  # of 5002 distinct amounts
+
+
+def test_a_percentile_of_few_groups_is_exact_whatever_its_window(spark):
+    rng = np.random.default_rng(5)
+    groups = {"normal": rng.normal(size=801), "skewed": rng.exponential(size=400) ** 6, "equal": np.full(50, 2.0), "one": np.array([-3.0]), "two": np.array([1.0, 4.0]), "steps": rng.integers(0, 3, 300) * 1.0}
+    rows = spark.createDataFrame([(k, float(x)) for k, xs in groups.items() for x in xs] + [("one", None), ("none", None)], "g string, v double").repartition(3)
+    for share in (0.5, 0.95):
+        for margin in (0.01, 0.0, -0.04):  # the last bounds a window that holds nothing, so the whole group is ordered
+            got = {r.g: r.value for r in ordering.percentile_of_few(rows, "g", "v", share, margin).collect()}
+            assert got == {k: pytest.approx(float(np.percentile(xs, 100 * share))) for k, xs in groups.items()}
