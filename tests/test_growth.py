@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerweave.operators import behavior, boosting, entity, ordering, profile
-from ledgerweave.plans import registry, registry_models, registry_more, registry_sources  # noqa: F401  the last adds to the first
+from ledgerweave.plans import registry, registry_models, registry_more, registry_risk, registry_sources  # noqa: F401  the last adds to the first
 
 
 def _optimized(df) -> list[str]:
@@ -46,6 +46,26 @@ def test_lone_predecessors_are_not_carried_through_the_rounds(spark, monkeypatch
     assert sum(rounds) == 3  # the smallest lone predecessor of 50 and of 60, and the link from 60 to 50
 
 
+def test_plans_of_chains_do_not_grow_with_the_rounds(spark):
+    steps = spark.createDataFrame([(t, t) for t in range(1, 15)], "txid long, time_step int")
+    links = spark.createDataFrame([(t, t - 1, 0.5) for t in range(2, 15)] + [(9, 3, 0.5)], "txid long, previous long, reduction double")
+    found = behavior.longest_chains(steps, links)
+    assert sum("Relation " in line for line in _optimized(found)) == 2  # the linked transactions, and all rounds in one scan
+    got = {r.txid: r.chain for r in found.collect()}
+    assert got == {t: [str(k) for k in range(max(1, t - 9), t + 1)] for t in range(1, 15)}
+
+
+def test_the_entity_signal_searches_one_threshold(spark, sf_dir, monkeypatch):
+    asked, plain = [], entity.threshold_components
+    monkeypatch.setattr(entity, "threshold_components", lambda edges, weight, thresholds: asked.append(thresholds) or plain(edges, weight, thresholds))
+    registry.forget(spark)
+    whole = registry.entity_sides(spark, sf_dir)
+    got = registry_risk.entity_signal(spark, sf_dir)
+    assert asked == [(1, 2, 3), (1,)]
+    want = registry_risk.risk.entity_signal(whole, registry_risk.ENTITY, ("time_step", *registry_risk.COUNTS))
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
 def test_of_two_leaves_of_a_split_the_smaller_is_counted():
     rng = np.random.default_rng(3)
     bins, scores, label = rng.integers(0, 40, (500, 2)).astype(np.uint8), rng.normal(size=(500, 2)), rng.integers(0, 2, 500).astype(np.int32)
