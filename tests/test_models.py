@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -66,6 +67,23 @@ def test_contributions_equal_all_subsets(seed):
     assert got.sum(axis=1) + tree.expected()[of] == pytest.approx(tree.value[tree.leaves(x), of], abs=1e-12)
 
 
+def test_contributions_of_many_rows_are_those_of_one():
+    rng, rows = random.Random(9), np.random.default_rng(9)
+    tree = random_tree(rng, 5, 6, 3)
+    tree.value[:, 1:] = 0.0  # as a boosted tree, which gives to one class
+    x, of = rows.uniform(-1.5, 1.5, (200, 5)), rows.integers(0, 3, 200)
+    got = tree.contributions(x, of)
+    assert got == pytest.approx(np.vstack([tree.contributions(x[i : i + 1], of[i : i + 1]) for i in range(200)]), abs=1e-12)
+    assert got[:5] == pytest.approx(np.array([shapley(tree, x[i], of[i]) for i in range(5)]), abs=1e-12)
+    assert got.any() and not got[of > 0].any()
+
+
+def test_queries_grow_all_iterations_of_the_models():
+    from ledgerweave.plans import registry_models
+
+    assert (registry_models.WIDE.iterations, registry_models.WIDE.max_leaves) == (300, 31) and (registry_models.DEEP.iterations, registry_models.DEEP.max_depth) == (500, 6)
+
+
 @pytest.fixture(scope="module")
 def points(spark):
     rng = random.Random(3)
@@ -170,6 +188,33 @@ def test_sampling_of_rows_and_features(points):
     assert model.margin(x) == pytest.approx(again.margin(x), abs=1e-6)
 
 
+@pytest.mark.parametrize("settings", [boosting.Settings(iterations=4, rate=0.3, max_leaves=6, least_rows=10), boosting.Settings(iterations=4, rate=0.3, max_leaves=32, max_depth=3, least_rows=1, least_hessian=2.0, rows=0.8, features=0.6)])
+def test_one_task_grows_the_trees_of_the_rounds(points, settings, monkeypatch):
+    data = points.withColumns({"again": F.col("x") * 2, "same": F.col("y") + 1, "none": F.lit(0.0)})
+    columns = ["none", "x", "again", "y", "same", "z"]
+    one = boosting.fit(data, "id", columns, 3, settings)
+    made = []
+
+    class Watched(boosting.Rounds):
+        def __init__(self, spark):
+            super().__init__(spark)
+            made.append(self)
+
+    monkeypatch.setattr(boosting, "Rounds", Watched)
+    monkeypatch.setattr(boosting, "ONE_TASK", 0)
+    rounds = boosting.fit(data, "id", columns, 3, settings)
+    assert [(a.feature.tolist(), a.cut.tolist(), a.left.tolist()) for a in one.trees] == [(b.feature.tolist(), b.cut.tolist(), b.left.tolist()) for b in rounds.trees]
+    assert all(a.value == pytest.approx(b.value, abs=1e-9) and a.cover == pytest.approx(b.cover) for a, b in zip(one.trees, rounds.trees, strict=True))
+    assert {f for t in one.trees for f in t.feature.tolist()} >= {-1, 1, 3}
+    assert [p.name for p in Path(made[0].path.removeprefix("file:")).iterdir() if not p.name.startswith(".")] == ["2"]  # the scores of earlier rounds are gone
+
+
+def test_of_equal_features_the_first_allowed_is_counted():
+    same = [(0, 0), (1, 1), (1, 1), (1, 3), (0, 0)]
+    assert boosting.counted_features(same, np.ones(5, bool)).tolist() == [True, True, False, True, False]
+    assert boosting.counted_features(same, np.array([False, False, True, True, True])).tolist() == [False, False, True, True, True]
+
+
 def test_imputation_learns_from_train_alone(spark):
     df = spark.createDataFrame([(1, 1.0, None, None), (2, 3.0, 5.0, None), (3, float("nan"), 7.0, None), (4, 100.0, None, 2.0)], "id int, a double, b double, c double")
     train = df.filter("id < 4")
