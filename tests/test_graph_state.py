@@ -127,6 +127,19 @@ def test_graph_features_equal_a_walk_over_the_steps(spark):
     assert found["entity_input_address_count"] == sum(t == 1 for t in steps.values()) and sum(found.values()) == found["entity_input_address_count"]
 
 
+def test_members_are_made_once_for_the_features(spark, monkeypatch):
+    steps = spark.createDataFrame([(1, 1), (2, 2), (3, None)], "txid long, time_step int")
+    inputs = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "a"), (2, "b"), (3, "a"), (3, "c")], "txid long, address string")
+    plans, whole = [], temporal_graph.kept
+    monkeypatch.setattr(temporal_graph, "kept", lambda df: plans.append((df.columns, df._jdf.queryExecution().optimizedPlan().toString())) or whole(df))
+    got = {r.txid: r for r in temporal_graph.graph_features(steps, inputs, inputs).collect()}
+    assert (got[2].input_repeated_cosponsor_count, got[2].input_max_shared_transaction_count, got[2].input_max_cluster_size_t1, got[1].input_max_cluster_size_t1) == (0, 1, 3, 1)
+    assert [c for c, _ in plans] == [["txid", "address", "time_step"]] * 2 + [["a", "b", "time_step", "n", "upto"], ["address", "time_step"], plans[-1][0]]
+    assert all("Join" not in p for c, p in plans[2:4])  # pairs and asks come from the kept members
+    pairs = temporal_graph.pair_counts(inputs, steps).collect()
+    assert sorted((r.a, r.b, r.time_step, r.n, r.upto) for r in pairs) == [("a", "b", 1, 1, 1), ("a", "b", 2, 1, 2), ("a", "c", 1, 1, 1), ("b", "c", 1, 1, 1)]
+
+
 @pytest.mark.parametrize("sent", [1000, 0])
 def test_shortest_paths_against_a_plain_walk(spark, sent, monkeypatch):
     edges = [(f"e{i}", a, b) for i, (a, b, _) in enumerate(random_edges(5, nodes=40, n=48))]
