@@ -140,6 +140,15 @@ def test_members_are_made_once_for_the_features(spark, monkeypatch):
     assert sorted((r.a, r.b, r.time_step, r.n, r.upto) for r in pairs) == [("a", "b", 1, 1, 1), ("a", "b", 2, 1, 2), ("a", "c", 1, 1, 1), ("b", "c", 1, 1, 1)]
 
 
+def test_the_first_step_is_checked_without_later_ones(spark, sf_dir, monkeypatch):
+    asked, whole = [], temporal_graph.graph_features
+    monkeypatch.setattr(temporal_graph, "graph_features", lambda s, i, o: asked.append(s) or whole(s, i, o))
+    got = registry_graph.q9(spark, sf_dir).collect()
+    first = registry_graph.d.steps(spark, sf_dir).agg(F.min("time_step")).first()[0]
+    assert {r.time_step for r in asked[0].collect()} == {first} and asked[0].count() == registry_graph.d.steps(spark, sf_dir).filter(F.col("time_step") == first).count()
+    assert {r.check: r.failures for r in got} == dict.fromkeys([*registry_graph._GATES, "unique_key"], 0)
+
+
 @pytest.mark.parametrize("sent", [1000, 0])
 def test_shortest_paths_against_a_plain_walk(spark, sent, monkeypatch):
     edges = [(f"e{i}", a, b) for i, (a, b, _) in enumerate(random_edges(5, nodes=40, n=48))]
